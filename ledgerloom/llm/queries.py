@@ -7,30 +7,80 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_vectors
 from .exact_dedup import DigestIndex
+from .jaccard_join import near_texts
+from .language_id import identify
 from .mixing import mix_plan
+from .packing import pack
 from .quotations import formatted
+from .token_files import round_trip
+from .toxicity import score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
     return index.add(table(spark, sf_dir, "documents")).drop("known")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.withColumn("position", F.round(F.get("takes", F.lit(0))["position"], 9)).drop("source", "takes")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_exact_dedup, op8_mixing)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_chat_formatting,
+        op3_toxicity,
+        op4_exact_dedup,
+        op5_ngram_jaccard_join,
+        op6_embedding_near_dedup,
+        op7_token_ids,
+        op8_mixing,
+        op9_packing,
+        op10_language_id,
+    )
+}
 
 ORACLES = {
     "op2_chat_formatting": r"""
