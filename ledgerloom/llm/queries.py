@@ -14,6 +14,7 @@ from .language_id import identify
 from .mixing import mix_plan
 from .packing import pack
 from .quotations import formatted
+from .repeats import remove_repeats
 from .token_files import round_trip
 from .toxicity import score
 
@@ -29,6 +30,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("ranges")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_chat_formatting,
         op3_toxicity,
         op4_exact_dedup,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,13 @@ def running_total(df: DataFrame, order: list[str], value: str, total: str) -> Da
         .withColumn(total, F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_part", "_base")
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner works when the driver's JVM collects garbage, which a driver with little to do may
+    not do for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
