@@ -78,16 +78,17 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float,
     return np.append(used, -1), weights(np.arange(len(z)), penalty), n
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 60_000, shards: int = 16, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 60_000, shard_rows: int = 5_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and their weights, from about ``rows`` labelled documents at most.
 
     The sample is the labelled rows whose hashed id falls below a share of the hash range, so it is
-    bounded by ``rows`` whatever the tables' sizes. It is dealt over ``shards`` tasks that each run
-    FTRL; a coordinate's weight is the mean over the shards that have moved it, by how far they have.
+    bounded by ``rows`` whatever the tables' sizes. It is dealt out to tasks of ``shard_rows`` that each
+    run FTRL; a coordinate's weight is the mean over the shards that have moved it, by how far they have.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     n = marked.count()
     share = min(1.0, rows / max(n, 1))
+    shards = max(1, round(min(n, rows) / shard_rows))
     sample = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumnRenamed("doc_id", "_id")
 
     def featured(batches):
