@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Deletes an execution's shuffle files when it ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,10 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there, so a lost executor
-    costs a read and no recomputation, and values such as partition numbers are fixed."""
+    costs a read and no recomputation, and values such as partition numbers are fixed. The shuffle
+    files behind the table, which nothing needs any more, go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,13 +75,3 @@ def running_total(df: DataFrame, order: list[str], value: str, total: str) -> Da
         .withColumn(total, F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_part", "_base")
     )
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
-
-    Its cleaner works when the driver's JVM collects garbage, which a driver with little to do may
-    not do for half an hour.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
