@@ -83,7 +83,7 @@ def parse_date(text, day_first: bool = True) -> Column:
     """A date from day, month and year parts in any usual form; null if it is none."""
     t = F.lower(F.trim(_col(text)))
     iso = F.regexp_extract(t, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 0) != ""
-    a = F.regexp_extract(t, r"^(\d{1,4})[-/. ]", 1).cast("int")
+    a = F.regexp_extract(t, r"^(\d{1,4})[-/. ]", 1).try_cast("int")
     middle = F.regexp_extract(t, r"^\d{1,4}[-/. ]+([a-z]+|\d{1,2})[-/. ]", 1)
     c = F.regexp_extract(t, r"^\d{1,4}[-/. ]+(?:[a-z]+|\d{1,2})[-/. ]+(\d{1,4})", 1)
     names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])

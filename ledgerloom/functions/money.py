@@ -69,33 +69,33 @@ def invert_rate(num, scale, digits: int = 10) -> Column:
 
 def split_vat(gross) -> tuple[Column, Column]:
     """Base and tax of a gross amount at 11 percent; the base is rounded half up on the absolute."""
-    g = _col(gross)
+    g = _col(gross).cast("long")
     base = div(F.abs(g) * 100 + 55, 111)
     base = F.signum(g).cast("int") * base
     return base, g - base
 
 
 def vat_on(base) -> Column:
-    return div(_col(base) * 22 + 100, 200)
+    return div(_col(base).cast("long") * 22 + 100, 200)
 
 
 def withholding(base, rate_bp) -> Column:
     """Tax withheld on a base, half up."""
-    return half_up(_col(base) * _col(rate_bp), 10_000)
+    return half_up(_col(base).cast("long") * _col(rate_bp), 10_000)
 
 
 def withheld_from_net(net, rate_bp, vat_percent: int) -> Column:
     """The tax withheld behind a payment that arrived net of it, half up."""
-    return half_up(_col(net) * _col(rate_bp), F.lit(10_000 + 100 * vat_percent) - _col(rate_bp))
+    return half_up(_col(net).cast("long") * _col(rate_bp), F.lit(10_000 + 100 * vat_percent) - _col(rate_bp))
 
 
 def percent_one_decimal(part, whole) -> Column:
     """Tenths of a percent, truncating; null if the base isn't positive."""
-    return F.when(_col(whole) > 0, div(_col(part) * 1000, F.greatest(_col(whole), F.lit(1))))
+    return F.when(_col(whole) > 0, div(_col(part).cast("long") * 1000, F.greatest(_col(whole), F.lit(1))))
 
 
 def percent_half_up(part, whole) -> Column:
-    return F.when(_col(whole) > 0, half_up(_col(part) * 100, F.greatest(_col(whole), F.lit(1))))
+    return F.when(_col(whole) > 0, half_up(_col(part).cast("long") * 100, F.greatest(_col(whole), F.lit(1))))
 
 
 def _cleaned(text, units: str) -> tuple[Column, Column, Column]:
@@ -147,7 +147,7 @@ def corporate_tax(taxable, turnover, months: int = 12) -> Column:
     """22 percent of the taxable income; for a yearly turnover of at most 50 billion the share that
     belongs to its first 4.8 billion is taxed at half the rate. Both parts are rounded down; a turnover
     of fewer months counts for the year."""
-    base, year = F.greatest(_col(taxable), F.lit(0)).cast("long"), div(_col(turnover) * 12, months)
+    base, year = F.greatest(_col(taxable), F.lit(0)).cast("long"), div(_col(turnover).cast("long") * 12, months)
     first = F.lit(4_800_000_000)
     share = div(base.cast("decimal(18,0)") * first.cast("decimal(10,0)"), F.greatest(year, F.lit(1)))
     eased = F.when(year <= 0, 0).when(year <= first, base).when(year <= 50_000_000_000, share).otherwise(0)
@@ -158,9 +158,9 @@ def progressive_tax(taxable) -> Column:
     """Annual tax over the layers of taxable income."""
     # Upper end and percent of each layer.
     layers = [(60_000_000, 5), (250_000_000, 15), (500_000_000, 25), (5_000_000_000, 30), (None, 35)]
-    low, total = 0, F.lit(0).cast("long")
+    low, total, taxable = 0, F.lit(0).cast("long"), _col(taxable).cast("long")
     for high, percent in layers:
-        top = _col(taxable) if high is None else F.least(_col(taxable), F.lit(high))
+        top = taxable if high is None else F.least(taxable, F.lit(high).cast("long"))
         total = total + div(F.greatest(F.lit(0), top - low) * percent, 100)
         low = high
     return total
