@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -17,39 +17,24 @@ def components(edges: DataFrame) -> DataFrame:
     nodes. Null ends and loops are left out.
     """
     links = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stage(links, "links")
-    seen = None
-    while True:
-        mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    links, seen = marked(links)
+    while seen[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stage(large, "links")
+        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = stage(small.filter("a <> b").distinct(), "links")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-class Sets:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+        links, mark = marked(small.filter("a <> b").distinct())
+        if mark == seen:
+            break
+        seen = mark
+    roots = links.select("b").distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+def marked(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a staged table, and their number and a sum of hashes, taken as they are written."""
+    seen = Observation()
+    hashes = F.xxhash64("a", "b").cast("decimal(38,0)")
+    kept = stage(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(hashes).alias("hashes")), "links")
+    return kept, (seen.get["n"], seen.get["hashes"])

@@ -14,13 +14,15 @@ from .shared import stage
 
 #: Counters of how often shingles occur; they only order shingles, rare ones first.
 COUNTERS = 1 << 18
+#: Bits of a set's parity sketch, and rows of a list's block.
+BITS, BLOCK = 1024, 1_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, width: int, limit: int = 500_000):
+    def __init__(self, width: int, limit: int = 300_000):
         self.width, self.limit, self.known = width, limit, {}
         self.factors = np.random.default_rng(5).integers(1, 1 << 62, size=width, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,10 +57,15 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
 
 def _count(width: int):
     def run(batches):
-        shingler, total = Shingler(width), np.zeros(COUNTERS, dtype=np.int64)
+        shingler, total, held, n = Shingler(width), np.zeros(COUNTERS, dtype=np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += 0 if text is None else np.bincount(_counter(shingler.shingles(text)), minlength=COUNTERS)
+                held.append(_counter(shingler.shingles(text)))
+                n += len(held[-1])
+                if n >= COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, n = [], 0
+        total += np.bincount(np.concatenate([*held, np.zeros(0, dtype=np.int64)]), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
 
@@ -66,12 +73,16 @@ def _count(width: int):
 
 
 def _sign(width: int, percent: int, counts: bytes):
-    """doc_id, n, digest of the set (null for none), prefix: its rarest shingles, in order."""
+    """doc_id, n, digest of the set (null for none), prefix: its rarest shingles, in order, and sketch.
+
+    A bit of the sketch is the parity of the shingles that hash to it. So two sketches differ in no
+    more bits than the sets have shingles of one only.
+    """
 
     def run(batches):
         shingler, often = Shingler(width), np.frombuffer(counts, dtype="<i8")
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler.shingles(text)
                 n = len(s)
@@ -80,7 +91,11 @@ def _sign(width: int, percent: int, counts: bytes):
                 some = n + percent * -n // 100 + 1 if n else 0  # n - ceil(n * percent / 100) + 1
                 at = np.lexsort((s, often[_counter(s)]))[:some]
                 prefixes.append(s[at].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "digest", "prefix"])
+                sketches.append(np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n", "digest", "prefix", "sketch"],
+            )
 
     return run
 
@@ -113,8 +128,8 @@ def _similar(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -147,15 +162,103 @@ def _may_link(percent: int):
     return fits & (early | (F.col("n") == F.col("m"))) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) + F.least("pos", "pos2") >= least)
 
 
+GROUP = ["token", "kind", "bi", "bj"]
+
+
+def _across(percent: int):
+    """Rows of the block pairs of lists, in order, to pairs (a, b) of different components that sizes,
+    places and sketches allow to link. Pairs are tried as matrices and only what is left is written."""
+
+    def pairs(rows):
+        kind, bi, bj = (rows[k][0] for k in ("kind", "bi", "bj"))
+        blk, main = np.array(rows["blk"]), np.array(rows["main"])
+        ids, n, pos, comp = (np.array(rows[k], dtype=np.int64) for k in ("id", "n", "pos", "component"))
+        bits = np.unpackbits(np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8)).reshape(len(ids), BITS).astype(np.float32) * 2 - 1
+        if kind == 0:
+            x, y = np.flatnonzero(main), np.flatnonzero(~main)
+        elif bi == bj:
+            x = y = np.arange(len(ids))
+        else:
+            x, y = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+        if not len(x) or not len(y):
+            return ids[:0], ids[:0]
+        nx, ny, px, py = n[x][:, None], n[y][None, :], pos[x][:, None], pos[y][None, :]
+        short = np.minimum(nx, ny)
+        place = np.where(nx <= ny, px, py)
+        least = -(-percent * (nx + ny) // (100 + percent))
+        fits = (100 * short >= percent * np.maximum(nx, ny)) & (comp[x][:, None] != comp[y][None, :])
+        fits &= (place < short + (-2 * percent * short) // (100 + percent) + 1) | (nx == ny)
+        fits &= np.minimum(nx - px, ny - py) + np.minimum(px, py) >= least
+        fits &= (BITS - bits[x] @ bits[y].T) / 2 <= nx + ny - 2 * least
+        if kind == 1 and bi == bj:
+            fits &= np.tri(len(ids), k=-1, dtype=bool)
+        i, j = np.nonzero(fits)
+        i, j = ids[x[i]], ids[y[j]]
+        return np.minimum(i, j), np.maximum(i, j)
+
+    def run(batches):
+        names = [*GROUP, "blk", "main", "id", "n", "pos", "component", "sketch"]
+        held, last, out = {}, None, ([], [])
+
+        def close():
+            if held and len(held["id"]) > 1:
+                for o, v in zip(out, pairs(held)):
+                    o.append(v)
+
+        def written():
+            found = pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, dtype=np.int64)])) for o in out], ["a", "b"])
+            for o in out:
+                o.clear()
+            return found
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.names.index(k)).to_pylist() for k in names]
+            marks = list(zip(*columns[:4]))
+            start = 0
+            for k in range(1, len(marks) + 1):
+                if k == len(marks) or marks[k] != marks[start]:
+                    if marks[start] != last:
+                        close()
+                        held, last = {c: [] for c in names}, marks[start]
+                    for c, v in zip(names, columns):
+                        held[c] += v[start:k]
+                    start = k
+            yield written()
+        close()
+        yield written()
+
+    return run
+
+
+def _blocks_of(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of lists with several components, dealt out as pairs of blocks: those of a list's main
+    component against all others, and the others against each other."""
+    parts = lists.groupBy("token", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("first"), F.max("k").alias("most"), F.sum("k").alias("total")).filter("parts > 1")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    several = several.select("token", "first", blocks(F.col("most")).alias("nm"), blocks(F.col("total") - F.col("most")).alias("ns"))
+    rows = lists.join(several, "token").withColumn("main", F.col("component") == F.col("first"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("ns"))).cast("int"))
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("bi"), j.alias("bj"))
+    others = F.sequence(F.lit(0), F.col("ns") - 1)
+    mine = F.transform(others, lambda j: pair(0, F.col("blk"), j))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: pair(0, i, F.col("blk")))
+    with_others = F.transform(others, lambda j: pair(1, F.least("blk", j), F.greatest("blk", j)))
+    rows = rows.withColumn("pair", F.explode(F.when(F.col("main"), mine).otherwise(F.concat(with_main, with_others))))
+    rows = rows.select("token", "pair.kind", "pair.bi", "pair.bj", "blk", "main", "id", "n", "pos", "component")
+    return rows.join(placed.select("id", "sketch"), "id")
+
+
 def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents with one shingle set are one class. Shingles are ordered by how often they occur in all
     documents; a class's prefix is so many of its rarest that classes which link have one in common.
     Classes with the same prefix and size form a group. Every group is paired with the first, by a
-    hash, of each shingle's list; the pairs are verified on whole sets and linked. Then what a list
-    has in different components is paired by component and expanded to members, and verified too, so
-    that no link between components is missed, while a list whose members are linked already costs
+    hash, of each shingle's list, and a group's members with their first; the pairs are verified on
+    whole sets and linked. Then, so that no link is missed, whatever a list still has in different
+    components is compared, in blocks, by size, place and a parity sketch, all of which only rule out
+    what can't link, and what is left is verified too. A list whose members are linked already costs
     no pairs. Components of both rounds' links are the result.
 
     A null text is empty. Documents without words have no shingles and are components of their own.
@@ -167,37 +270,33 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     # COUNTERS rows at most
     for row in docs.select("text").mapInArrow(_count(width), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         counts[row["counter"]] = row["n"]
-    signed = stage(docs.mapInArrow(_sign(width, percent, counts.astype("<i8").tobytes()), "doc_id long, n long, digest binary, prefix binary"), "signed")
+    signed = stage(docs.mapInArrow(_sign(width, percent, counts.astype("<i8").tobytes()), "doc_id long, n long, digest binary, prefix binary, sketch binary"), "signed")
 
-    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
     classes = stage(classes, "classes")
-    groups = stage(classes.groupBy("n", "prefix").agg(F.min("id").alias("id"), F.count("*").alias("members")), "groups")
-
-    # first round: a list's groups with its first, and a group's members with its first
-    postings = stage(groups.select("id", "n", "prefix").mapInArrow(_tokens, "token long, pos int, id long, n long"), "postings")
-    firsts = postings.groupBy("token").agg(F.count("*").alias("_k"), F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id")).alias("first")).filter("_k > 1")
-    pairs = postings.join(firsts, "token").select("id", "n", "pos", F.col("first.id").alias("id2"), F.col("first.n").alias("m"), F.col("first.pos").alias("pos2"))
-    pairs = pairs.filter("id <> id2").filter(_may_link(percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    inside = classes.join(groups.filter("members > 1").select("n", "prefix", F.col("id").alias("first")), ["n", "prefix"]).filter("id <> first")
-    inside = inside.select(F.col("first").alias("a"), F.col("id").alias("b"))
+    groups = stage(classes.groupBy("n", "prefix").agg(F.min("id").alias("group"), F.count("*").alias("members")), "groups")
+    members = classes.join(groups.filter("members > 1").select("n", "prefix", "group"), ["n", "prefix"]).select("group", "id")
+    members = stage(members, "members")
+
+    # shingles that several classes have in their prefixes, by group
+    postings = groups.mapInArrow(_tokens, "token long, pos int, n long, group long, members long")
+    shared = postings.groupBy("token").agg(F.sum("members").alias("k")).filter("k > 1").select("token")
+    postings = stage(postings.join(shared, "token", "left_semi"), "postings")
+
+    firsts = postings.groupBy("token").agg(F.min_by(F.struct("group", "n", "pos"), F.xxhash64("group")).alias("first"))
+    pairs = postings.join(firsts, "token").select("group", "n", "pos", F.col("first.group").alias("group2"), F.col("first.n").alias("m"), F.col("first.pos").alias("pos2"))
+    pairs = pairs.filter("group <> group2").filter(_may_link(percent)).select(F.least("group", "group2").alias("a"), F.greatest("group", "group2").alias("b"))
+    inside = members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))
     pairs = stage(pairs.unionByName(inside).distinct(), "pairs")
     links = _verified(docs, pairs, width, percent)
-    joined = components(links)
-
-    # second round: what a list, or a group, still has in different components
-    placed = classes.join(joined, F.col("id") == F.col("node"), "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("component"))
-    placed = stage(placed, "placed")
-    postings = stage(placed.mapInArrow(_tokens, "token long, pos int, id long, n long, component long"), "postings")
-    parts = postings.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    parts = stage(parts.join(parts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi"), "parts")
-    other = parts.select("token", F.col("component").alias("component2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    across = parts.join(other, "token").filter("component < component2").filter(f"100 * high >= {percent} * low2 and 100 * high2 >= {percent} * low")
-    across = stage(across.select("token", "component", "component2"), "across")
-    right = postings.select("token", F.col("component").alias("component2"), F.col("id").alias("id2"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
-    pairs2 = across.join(postings, ["token", "component"]).join(right, ["token", "component2"]).filter(_may_link(percent))
-    pairs2 = pairs2.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    pairs2 = stage(pairs2, "pairs")
-    links2 = _verified(docs, pairs2, width, percent)
+
+    placed = classes.select("id", "sketch").join(components(links), F.col("id") == F.col("node"), "left")
+    placed = stage(placed.select("id", "sketch", F.coalesce("component", "id").alias("component")), "placed")
+    expanded = postings.filter("members = 1").withColumn("id", F.col("group")).unionByName(postings.filter("members > 1").join(members, "group"))
+    lists = stage(expanded.select("token", "pos", "n", "id").join(placed.select("id", "component"), "id"), "lists")
+    dealt = _blocks_of(lists, placed).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    pairs2 = dealt.mapInArrow(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    links2 = _verified(docs, stage(pairs2, "pairs"), width, percent)
     joined = components(links.unionByName(links2))
 
     answer = stage(classes.join(joined, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component")), "answer")

@@ -147,7 +147,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         wide = 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1_000_000):
                 rows = [(k, p, coded[p * wide : p * wide + wide]) for k, coded in enumerate(x + end for x in encode([t or "" for t in texts[a:b]])) for p in range(-(-len(coded) // wide))]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -67,8 +67,8 @@ class Code:
         self.codes = np.zeros(len(lengths), dtype=np.uint64)
         self.codes[symbols] = ((np.cumsum(spans) - spans) >> (limit - self.lengths[symbols])).astype(np.uint64)
         fill = (1 << limit) - int(spans.sum())
-        self.symbol_at = np.concatenate([np.repeat(symbols, spans), np.zeros(fill, dtype=np.int64)]).astype(np.uint32)
-        self.length_at = np.concatenate([np.repeat(self.lengths[symbols], spans), np.ones(fill, dtype=np.int64)])
+        # an id and, in the low byte, the length of its code
+        self.table = np.concatenate([np.repeat(symbols << 8 | self.lengths[symbols], spans), np.ones(fill, dtype=np.int64)]).astype(np.uint32)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """The bits and the checkpoints."""
@@ -91,13 +91,15 @@ class Code:
         words = np.concatenate([np.frombuffer(bits, dtype=">u4"), np.zeros(2, dtype=">u4")]).astype(np.uint64)
         pairs = (words[:-1] << np.uint64(32)) | words[1:]
         out = np.zeros((STEP, len(at)), dtype=np.uint32)
+        table = self.table
         shift = np.uint64(64 - self.limit)
         last = len(pairs) - 1
         for step in range(min(STEP, n)):
             seen = (pairs[np.minimum(at >> 5, last)] << (at & 31).astype(np.uint64)) >> shift
-            out[step] = self.symbol_at[seen]
-            at += self.length_at[seen]
-        return out.T.reshape(-1)[:n]
+            got = table[seen]
+            out[step] = got
+            at += got & 255
+        return out.T.reshape(-1)[:n] >> 8
 
 
 def _blocks(path: str, end_id: int):
@@ -121,7 +123,7 @@ def _blocks(path: str, end_id: int):
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1_000_000):
                 for doc, coded in zip(ids[a:b], encode([t or "" for t in texts[a:b]])):
                     docs.append(doc)
                     sizes.append(len(coded) // 4 + 1)

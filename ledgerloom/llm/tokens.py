@@ -6,9 +6,14 @@ import json
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
-#: White space that a unit may not hold: two in a row, or any but a space and a newline.
-ODD = re.compile(r"\s\s|[^\S \n]")
+#: White space other than a space and a newline, and what Python alone takes for white space.
+ODD = re.compile(r"[^\S \n]")
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+DOUBLE = ("  ", "\n\n", " \n", "\n ")
+#: Letters and the marks behind them, which no tokenizer here merges; an apostrophe may begin a suffix.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Encoder:
@@ -18,14 +23,16 @@ class Encoder:
     between two of them can be encoded on its own and remembered:
 
     - byte-level BPE without a normalizer splits before a space and around a newline, where no other
-      white space stands next to it;
-    - BPE that drops white space splits at it.
+      white space stands next to it; a unit is a word with the space or the newline before it;
+    - BPE that drops white space splits at it; a unit is a word.
 
-    Texts with other white space or with the start of a special token, and any other kind of
-    tokenizer, are encoded whole. At most ``limit`` units are remembered; beyond, memory starts anew.
+    Both split between letters and the mark behind them. Texts with other white space or with the
+    start of a special token, and any other kind of tokenizer, are encoded whole. Units are held in
+    two generations of at most ``limit``; one that is met again moves to the newer. Other white space
+    shows in units that are new; once it does, every text is looked through for it first.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,51 +45,75 @@ class Encoder:
         drops = splits.get("type") == "Sequence" and splits["pretokenizers"][0].get("behavior") == "Removed" and splits["pretokenizers"][0].get("invert")
         self.special = tuple(x["content"][:2] for x in kind.get("added_tokens", []))
         self.mode = "led" if levels and not before else "words" if drops and r"[^\s\p{L}\p{N}]+" in splits["pretokenizers"][0]["pattern"].get("Regex", "") else "whole"
-        self.limit, self.led, self.bare = limit, {}, {}
+        self.limit, self.new, self.old, self.marks = limit, {}, {}, {}
+        self.strict = False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], units: set[str], lead: str) -> None:
-        new = [x for x in units if x not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._encode([lead + x for x in part])))
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [pack(f"<{len(x)}I", *x) for x in (c.ids for c in coded)]
+
+    def _written(self, unit: str) -> str:
+        """A unit as it stands in a text."""
+        return unit if self.mode == "words" or unit[:1] == "\n" else " " + unit
+
+    def _learn(self, units: set[str]) -> None:
+        """Puts units into the newer generation, those with marks behind their letters by parts."""
+        old, new, parts, need = self.old, self.new, {}, set()
+        for u in units:
+            got = old.get(u)
+            if got is not None:
+                new[u] = got
+                continue
+            split = WORD_AND_MARKS.fullmatch(u)
+            if split and split[1].lower().isalpha():
+                stem, marks = parts[u] = split.groups()
+                if stem not in new:
+                    got = old.get(stem)
+                    if got is not None:
+                        new[stem] = got
+                    else:
+                        need.add(stem)
+                if marks not in self.marks:
+                    self.marks[marks] = self._encode([marks])[0]
+            else:
+                need.add(u)
+                if self.mode == "led" and not self.strict and ODD.search(u[1:] if u[:1] == "\n" else u):
+                    self.strict = True
+        need = list(need)
+        new.update(zip(need, self._encode([self._written(u) for u in need])))
+        for u, (stem, marks) in parts.items():
+            new[u] = new[stem] + self.marks[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens."""
-        if len(self.led) + len(self.bare) > self.limit:
-            self.led, self.bare = {}, {}
-        whole = [i for i, t in enumerate(texts) if self.mode == "whole" or any(x in t for x in self.special) or (self.mode == "led" and ODD.search(t))]
+        if len(self.marks) > self.limit:
+            self.marks = {}
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
         out: list[bytes] = [b""] * len(texts)
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        skip = set(whole)
-        if self.mode == "words":
-            split = {i: t.split() for i, t in enumerate(texts) if i not in skip}
-            units: set[str] = set()
-            for words in split.values():
-                units.update(words)
-            self._learn(self.bare, units, "")
-            get = self.bare.__getitem__
-            for i, words in split.items():
-                out[i] = b"".join(map(get, words))
-            return out
-        lines = {i: [x.split(" ") for x in t.split("\n")] for i, t in enumerate(texts) if i not in skip}
-        heads, units = {"\n"}, set()
-        for rows in lines.values():
-            for row in rows:
-                heads.add(row[0])
-                units.update(row[1:])
-        heads.discard("")
-        self._learn(self.bare, heads, "")
-        self._learn(self.led, units, " ")
-        self.bare[""] = b""
-        newline, bare, led = self.bare["\n"], self.bare.__getitem__, self.led.__getitem__
-        for i, rows in lines.items():
-            out[i] = newline.join(bare(row[0]) + b"".join(map(led, row[1:])) for row in rows)
+        units: list[str] = []
+        spans = []
+        for i, t in enumerate(texts):
+            odd = any(x in t for x in SEPARATORS) if self.mode == "words" else any(x in t for x in DOUBLE) or (self.strict and ODD.search(t))
+            if self.mode == "whole" or odd or any(x in t for x in self.special):
+                out[i] = self._encode([t])[0]
+            elif t:
+                # a text's first word has no space before it
+                head, *rest = ["", *t.split()] if self.mode == "words" else t.replace("\n", " \n").split(" ")
+                spans.append((i, len(units), len(rest), head))
+                units += rest
+        found = list(map(self.new.get, units))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            strict = self.strict
+            self._learn({units[i] for i in missing})
+            if self.strict and not strict:
+                return self.encode(texts)
+            for i in missing:
+                found[i] = self.new[units[i]]
+        heads = iter(self._encode([s[3] for s in spans]))
+        for i, at, n, head in spans:
+            out[i] = next(heads) + b"".join(found[at : at + n])
         return out
 
 
