@@ -6,7 +6,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -16,6 +16,8 @@ from .shared import stage
 COUNTERS = 1 << 18
 #: Bits of a set's parity sketch, and rows of a list's block.
 BITS, BLOCK = 1024, 1_000
+#: Groups of each shingle's list that all others are paired with.
+FIRSTS = 3
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -124,6 +126,20 @@ def _set_of(width: int):
     return run
 
 
+def _sketched(percent: int):
+    """The pairs (a, b) whose sketches allow the similarity, from a, b, their sizes and sketches."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
+            least = -(-percent * (n + m) // (100 + percent))
+            keep = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64) <= n + m - 2 * least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
@@ -140,7 +156,8 @@ def _similar(percent: int):
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets are as similar as asked."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # as a table, so that the plan knows its size: a small one is sent to the texts, which then don't move
+    needed = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = stage(texts.mapInArrow(_set_of(width), "id long, items binary"), "sets")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
@@ -254,12 +271,12 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     Documents with one shingle set are one class. Shingles are ordered by how often they occur in all
     documents; a class's prefix is so many of its rarest that classes which link have one in common.
-    Classes with the same prefix and size form a group. Every group is paired with the first, by a
-    hash, of each shingle's list, and a group's members with their first; the pairs are verified on
-    whole sets and linked. Then, so that no link is missed, whatever a list still has in different
-    components is compared, in blocks, by size, place and a parity sketch, all of which only rule out
-    what can't link, and what is left is verified too. A list whose members are linked already costs
-    no pairs. Components of both rounds' links are the result.
+    Classes with the same prefix and size form a group. Every group is paired with the first three, by
+    a hash, of each shingle's list, and a group's members with their first; sizes, places and parity
+    sketches rule out what can't link, the rest is verified on whole sets and linked. This tries all
+    pairs of a list of up to four classes. Then, so that no link is missed, whatever a longer list
+    still has in different components is compared in blocks in the same way. A list whose members are
+    linked already costs no pairs. Components of both rounds' links are the result.
 
     A null text is empty. Documents without words have no shingles and are components of their own.
     A null doc_id links with nothing and has a null component. Rows that repeat a doc_id share its
@@ -280,18 +297,26 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     # shingles that several classes have in their prefixes, by group
     postings = groups.mapInArrow(_tokens, "token long, pos int, n long, group long, members long")
-    shared = postings.groupBy("token").agg(F.sum("members").alias("k")).filter("k > 1").select("token")
-    postings = stage(postings.join(shared, "token", "left_semi"), "postings")
-
-    firsts = postings.groupBy("token").agg(F.min_by(F.struct("group", "n", "pos"), F.xxhash64("group")).alias("first"))
-    pairs = postings.join(firsts, "token").select("group", "n", "pos", F.col("first.group").alias("group2"), F.col("first.n").alias("m"), F.col("first.pos").alias("pos2"))
-    pairs = pairs.filter("group <> group2").filter(_may_link(percent)).select(F.least("group", "group2").alias("a"), F.greatest("group", "group2").alias("b"))
+    shared = postings.groupBy("token").agg(F.sum("members").alias("k"), F.count("*").alias("g")).filter("k > 1")
+    # in a list that isn't long, every class meets every other through the first ones
+    shared = shared.select("token", ((F.col("k") > F.col("g")) | (F.col("g") > FIRSTS + 1)).alias("long"))
+    postings = stage(postings.join(shared, "token"), "postings")
+
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("group"), "group")
+    firsts = postings.select("token", F.col("group").alias("group2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.row_number().over(by_hash).alias("k"))
+    firsts = firsts.filter(F.col("k") <= FIRSTS).drop("k")
+    pairs = postings.join(firsts, "token").filter("group <> group2").filter(_may_link(percent)).select(F.least("group", "group2").alias("a"), F.greatest("group", "group2").alias("b"))
     inside = members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))
-    pairs = stage(pairs.unionByName(inside).distinct(), "pairs")
+    tried = stage(pairs.unionByName(inside).distinct(), "tried")
+    x = classes.select(F.col("id").alias("a"), "n", F.col("sketch").alias("x"))
+    y = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    pairs = tried.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_sketched(percent), "a long, b long")
+    pairs = stage(pairs, "pairs")
     links = _verified(docs, pairs, width, percent)
 
     placed = classes.select("id", "sketch").join(components(links), F.col("id") == F.col("node"), "left")
     placed = stage(placed.select("id", "sketch", F.coalesce("component", "id").alias("component")), "placed")
+    postings = postings.filter("long")
     expanded = postings.filter("members = 1").withColumn("id", F.col("group")).unionByName(postings.filter("members > 1").join(members, "group"))
     lists = stage(expanded.select("token", "pos", "n", "id").join(placed.select("id", "component"), "id"), "lists")
     dealt = _blocks_of(lists, placed).repartition(*GROUP).sortWithinPartitions(*GROUP)
