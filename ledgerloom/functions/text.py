@@ -26,6 +26,8 @@ CHANNEL_WORDS = (
 ).split()
 # Legal forms of bodies.
 LEGAL_FORMS = "PT CV UD PD TBK FIRMA FA KOPERASI PERSERO PERUM YAYASAN".split()
+# Forms and titles, which identify no one.
+NO_NAMES = "PT CV TBK UD PD KOPERASI YAYASAN BAPAK IBU BPK".split()
 TRANSFER_HINT = r"TRSF|\bTRF\b|TRANSFER|PINDAH ?BUKU|PEMINDAHAN|OVERBOOK|SETOR TUNAI|TARIK TUNAI"
 
 
@@ -63,6 +65,11 @@ def normal_name(name) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(_col(name)), rf"\b({forms})\b\.?", ""), "[^A-Z0-9]", "")
 
 
+def plain_words(text) -> Column:
+    """A text in capitals, its words of letters and digits with one space between."""
+    return F.trim(F.regexp_replace(F.upper(_col(text)), "[^A-Z0-9]+", " "))
+
+
 def tax_id(text) -> Column:
     """Digits of a tax id; 16 digits that lead with 0 are the 15 behind it."""
     digits = F.regexp_replace(_col(text), r"\D", "")

@@ -153,7 +153,15 @@ def j18(b):
     ),
 )
 def j17(b):
-    return ar.settlement_candidates(receipts(b), items(b))
+    paid = receipts(b).join(b.contact().select("contact_id", "entity_id", F.col("contact_name").alias("description")), "contact_id")
+    paid = paid.select("*", F.col("contact_id").alias("receipt_id"), F.lit("IN").alias("direction"), F.to_date(F.lit(AS_OF)).alias("day"), F.lit(None).cast("string").alias("account"))
+    opened = items(b).join(b.contact().select("contact_id", "contact_name"), "contact_id")
+    return ar.settlement_candidates(
+        paid,
+        opened.select(
+            "*", F.lit("IN").alias("direction"), F.col("invoice_id").cast("string").alias("number"), F.lit("1130").alias("account"), F.lit(0).cast("long").alias("expected_tax")
+        ),
+    )
 
 
 @register(

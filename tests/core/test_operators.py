@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from fractions import Fraction
 
 from pyspark.sql import functions as F
@@ -116,3 +117,37 @@ def test_stream_appends_each_row_once(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("landed").count() == 3
     spark.sql("drop table landed")
+
+
+def test_settlement_candidates_match_loop(spark):
+    rng = random.Random(17)
+    names = ["PT Sinar Jaya", "CV Budi Karya", "Toko Makmur", "PT", "Sinar Abadi"]
+    items = []
+    for i in range(120):
+        c = rng.randrange(5)
+        issued = None if rng.random() < 0.1 else day(rng.randrange(40))
+        items.append((i, c % 2, rng.choice(["IN", "OUT"]), c, names[c], f"INV/{i:03d}", rng.choice(["1130", "1131"]), issued, day(rng.randrange(40, 60)), rng.choice([-5, 0, 50, 98, 100]), rng.choice([None, 0, 2])))
+    texts = [None, "TRSF sinar  jaya", "BUDI KARYA", "bayar INV-007", "MAKMUR, toko", "ABADI 1"]
+    receipts = [(r, r % 2, rng.choice(["IN", "OUT"]), day(rng.randrange(40)), rng.choice([0, 48, 50, 98, 100]), rng.choice([None, 0, 1, 2, 3]), rng.choice([None, "1130"]), rng.choice(texts)) for r in range(40)]
+    got = receivables.settlement_candidates(
+        spark.createDataFrame(receipts, "receipt_id long, entity_id int, direction string, day date, receipt long, contact_id long, account string, description string"),
+        spark.createDataFrame(items, "invoice_id long, entity_id int, direction string, contact_id long, contact_name string, number string, account string, issue_date date, due_date date, open long, expected_tax long"),
+    ).collect()
+    norm = lambda s: re.sub("[^A-Z0-9]+", " ", (s or "").upper()).strip()
+    want = {}
+    for r, e, d, at, free, contact, account, text in receipts:
+        found = []
+        for i, e2, d2, c, name, number, account2, issued, due, opened, tax in items:
+            if (e, d) != (e2, d2) or opened <= 0 or free <= 0:
+                continue
+            words = [w for w in norm(name).split() if len(w) >= 3 and w not in ("PT", "CV")]
+            named = bool(words) and all(w in norm(text).split() for w in words) or f" {norm(number)} " in f" {norm(text)} "
+            exact, same = free in (opened, opened - (tax or 0)), c == contact
+            if same or ((exact or named) and (issued is None or issued <= at)):
+                score = 2 if opened == free else 1 if opened > free else 0
+                found.append((-same, -(exact and named), -exact, -named, -(account == account2), -score, due, i))
+        want[r] = [x[-1] for x in sorted(found)]
+    have = {r[0]: [] for r in receipts}
+    for x in sorted(got, key=lambda x: x["rank"]):
+        have[x.receipt_id].append(x.invoice_id)
+    assert have == want and max(map(len, want.values())) > 3 and any(x.item_contact_id != x.contact_id for x in got)
