@@ -28,6 +28,16 @@ CHANNEL_WORDS = (
 LEGAL_FORMS = "PT CV UD PD TBK FIRMA FA KOPERASI PERSERO PERUM YAYASAN".split()
 # Forms and titles, which identify no one.
 NO_NAMES = "PT CV TBK UD PD KOPERASI YAYASAN BAPAK IBU BPK".split()
+# Banks and their products, and words of moving own money; neither names a third party.
+BANK_WORDS = (
+    "BANK GIRO TABUNGAN BCA BJB BLU BNI BRI BRITAMA BSI BTN BTPN CIMB CITI CITIBANK DANAMON DBS DIGIBANK DKI HSBC "
+    "JAGO JAKONE JATIM JENIUS MANDIRI MAYBANK MDR MEGA NIAGA NISP OCBC OCTO PANIN PERMATA SEABANK SIMPEDES SINARMAS "
+    "SMBC TAHAPAN UOB XPRESI"
+).split()
+OWN_TRANSFER_WORDS = (
+    "PEMILIK OWNER SENDIRI ANTAR REKENING REK SWEEP INTERNAL MODAL KEMBALI PENGEMBALIAN TALANGAN OPERASIONAL MASUK "
+    "KELUAR MCM INHOUSETRF INHOUSE NBMB TGL JAM WIB SDR SDRI BPK IBU NO REF CABANG KCP BERITA NOREK ESB"
+).split()
 TRANSFER_HINT = r"TRSF|\bTRF\b|TRANSFER|PINDAH ?BUKU|PEMINDAHAN|OVERBOOK|SETOR TUNAI|TARIK TUNAI"
 
 
@@ -47,6 +57,42 @@ def is_generic_key(key) -> Column:
     return F.size(F.array_except(words, F.array(*map(F.lit, CHANNEL_WORDS)))) == 0
 
 
+def own_name_pattern(name) -> Column:
+    """A regular expression of what a merchant key prints of an own name; null if that is under three letters.
+
+    It is a run of at least two of its words (one if there is but one), the last of them possibly cut to
+    three letters or more, with or without a legal form in front."""
+    words = F.filter(F.split(merchant_key(name), " "), lambda w: (w != "") & ~w.isin(LEGAL_FORMS))
+    n = F.size(words)
+    least = F.least(F.lit(2), n)
+    cuts = lambda w: F.array_join(F.transform(F.sequence(F.lit(3), F.length(w) - 1), lambda k: F.substring(w, 1, k)), "|")
+
+    def run(m):
+        whole = F.array_join(F.slice(words, 1, m), " ")
+        last = F.get(words, m)
+        cut = F.when((m < n) & (F.length(last) > 3) & (m + 1 >= least), F.concat(whole, F.when(m > 0, " ").otherwise(""), F.lit("(?:"), cuts(last), F.lit(")")))
+        return F.array(cut, F.when((m >= least) & (m > 0), whole))
+
+    runs = F.flatten(F.transform(F.sequence(n, F.lit(0)), run))
+    body = F.array_join(F.filter(runs, lambda r: r.isNotNull()), "|")
+    pattern = F.concat(F.lit(f"(?<![^ ])(?:(?:{'|'.join(LEGAL_FORMS)}) )?(?:"), body, F.lit(")(?![^ ])"))
+    return F.when((n > 0) & (F.length(F.array_join(words, " ")) >= 3), pattern)
+
+
+def third_party_name(description, patterns) -> Column:
+    """Who a description names besides the own names (an array of ``own_name_pattern``), else null."""
+    shorter = lambda text, p: F.trim(F.regexp_replace(F.regexp_replace(text, p, " "), " +", " "))
+    rest = F.aggregate(_col(patterns), F.regexp_replace(merchant_key(description), r"\s+", " "), shorter)
+    known = [*BANK_WORDS, *OWN_TRANSFER_WORDS, *CHANNEL_WORDS]
+    return F.nullif(F.array_join(F.filter(F.split(rest, " "), lambda w: w.rlike("^[A-Z]{2,}$") & ~w.isin(known)), " "), F.lit(""))
+
+
+def mentions(description, names) -> Column:
+    """Whether a description holds one of the names (an array, in capitals) as whole words."""
+    text = F.upper(_col(description))
+    return F.exists(_col(names), lambda n: F.regexp_like(text, F.concat(F.lit(r"(^|[^A-Z0-9])\Q"), n, F.lit(r"\E($|[^A-Z0-9])"))))
+
+
 def row_hash(day, amount, description, balance) -> Column:
     parts = [F.date_format(_col(day), "yyyy-MM-dd"), _col(amount).cast("string"), _col(description), F.coalesce(_col(balance).cast("string"), F.lit(""))]
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 24)

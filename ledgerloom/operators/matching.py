@@ -6,36 +6,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import business_days_apart
-from ..functions.text import TRANSFER_HINT, is_generic_key, merchant_key, normal_name
+from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, third_party_name
 from .ledger import total
 
 
-def transfer_edges(lines: DataFrame, within: int = 2) -> DataFrame:
-    """Pairs of opposite amounts in different bank accounts, at most two business days apart,
-    where both descriptions look like a transfer. The amount is the join key and the dates, in cells of
-    ``within`` + 3 days, a second one, so that an amount that is common doesn't meet itself at all dates."""
+def transfer_lines(lines: DataFrame, entity: DataFrame | None = None) -> DataFrame:
+    """Adds ``third_party`` (whom the description names besides the own entities, else null) and
+    ``hinted`` (it has a transfer word or an own name, and is neither matched nor taken out of a pair).
+
+    ``entity`` (entity_id, entity_name) holds the group's own names, those of the line's client if both
+    sides have client_id. ``matched`` and ``pair_refused`` are read if they are there."""
+    free = F.lit(True)
+    for flag in ("matched", "pair_refused"):
+        if flag in lines.columns:
+            free = free & ~F.coalesce(flag, F.lit(False))
+    empty = F.array().cast("array<string>")
+    if entity is None:
+        rows = lines.withColumn("_names", empty).withColumn("_patterns", empty)
+    else:
+        by = "client_id" if {"client_id"} <= set(lines.columns) & set(entity.columns) else "_group"
+        if by == "_group":
+            lines, entity = lines.withColumn(by, F.lit(1)), entity.withColumn(by, F.lit(1))
+        name = F.upper("entity_name")
+        bare = F.array_join(F.filter(F.split(name, r"\s+"), lambda w: (w != "") & ~w.isin(LEGAL_FORMS)), " ")
+        own = entity.select(by, name.alias("name"), F.when(F.length(bare) >= 3, bare).alias("bare"), own_name_pattern("entity_name").alias("pattern"))
+        words = F.size(F.filter(F.split(F.coalesce(merchant_key("name"), F.lit("")), " "), lambda w: (w != "") & ~w.isin(LEGAL_FORMS)))
+        longest = F.array_sort(F.collect_list(F.when(F.col("pattern").isNotNull(), F.struct((-words).alias("n"), "pattern"))))
+        own = own.groupBy(by).agg(
+            F.array_distinct(F.concat(F.collect_list("name"), F.collect_list("bare"))).alias("_names"), F.transform(longest, lambda x: x["pattern"]).alias("_patterns")
+        )
+        rows = lines.join(F.broadcast(own), by, "left").withColumn("_names", F.coalesce("_names", empty)).withColumn("_patterns", F.coalesce("_patterns", empty)).drop("_group")
+    rows = rows.withColumn("third_party", third_party_name("description", "_patterns"))
+    hint = F.upper("description").rlike(TRANSFER_HINT) | mentions("description", "_names")
+    return rows.withColumn("hinted", F.coalesce(hint & free, F.lit(False))).drop("_names", "_patterns")
+
+
+def transfer_edges(lines: DataFrame, within: int = 2, entity: DataFrame | None = None) -> DataFrame:
+    """Pairs of opposite amounts in different bank accounts, at most two business days apart, where
+    both descriptions look like a transfer and name no third party. The amount is the join key and the
+    dates, in cells of ``within`` + 3 days, a second one, so that an amount that is common doesn't meet
+    itself at all dates."""
     width = within + 3
-    hinted = lines.filter(F.upper("description").rlike(TRANSFER_HINT)).withColumn("_cell", F.floor(F.unix_date("day") / width))
+    hinted = transfer_lines(lines, entity).filter("hinted and third_party is null").withColumn("_cell", F.floor(F.unix_date("day") / width))
     outs = hinted.filter("amount < 0").select(F.col("line_id").alias("out_id"), (-F.col("amount")).alias("amount"), F.col("day").alias("out_day"), F.col("bank_account").alias("out_account"), F.col("entity_id").alias("out_entity"), "_cell")
     ins = hinted.filter("amount > 0").select(F.col("line_id").alias("in_id"), "amount", F.col("day").alias("in_day"), F.col("bank_account").alias("in_account"), F.col("entity_id").alias("in_entity"), F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"))
     pairs = outs.join(ins, ["amount", "_cell"]).filter("out_account <> in_account")
     return pairs.filter(business_days_apart("out_day", "in_day") <= within).drop("_cell")
 
 
-def transfer_pairs(lines: DataFrame) -> DataFrame:
+def _degrees(edges: DataFrame) -> DataFrame:
+    n_out, n_in = F.count("*").over(Window.partitionBy("out_id")), F.count("*").over(Window.partitionBy("in_id"))
+    return edges.withColumn("n_in", n_out).withColumn("n_out", n_in)
+
+
+SURE = "n_in = 1 and n_out = 1"
+
+
+def transfer_pairs(lines: DataFrame, entity: DataFrame | None = None) -> DataFrame:
     """An edge with no rival on either side is a pair (clearing within an entity, intercompany
     between two); all others are suggestions."""
-    edges = transfer_edges(lines)
-    n_out, n_in = F.count("*").over(Window.partitionBy("out_id")), F.count("*").over(Window.partitionBy("in_id"))
-    edges = edges.withColumn("n_in", n_out).withColumn("n_out", n_in)
-    sure = (F.col("n_in") == 1) & (F.col("n_out") == 1)
-    return edges.select(
+    return _degrees(transfer_edges(lines, entity=entity)).select(
         "out_id", "in_id", "amount", "n_in", "n_out",
         F.when(F.col("out_entity") == F.col("in_entity"), "1199").otherwise("1190").alias("account"),
-        F.when(sure, 99).otherwise(80).alias("confidence_pct"),
+        F.when(F.expr(SURE), 99).otherwise(80).alias("confidence_pct"),
     )
 
 
+def transfer_suggestions(lines: DataFrame, entity: DataFrame | None = None) -> DataFrame:
+    """Each line that has rivals, with the account of its first possible other half and the others
+    (line_id, day, amount) of its group: an outgoing line, its candidates and their other outgoing lines.
+    Lines are in the order of their day and id; a line is in the first group that holds it."""
+    edges = _degrees(transfer_edges(lines, entity=entity)).filter(f"not ({SURE})")
+    edges = edges.withColumn("_out", F.struct("out_day", "out_id")).withColumn("_in", F.struct("in_day", "in_id"))
+    account = F.when(F.col("out_entity") == F.col("in_entity"), "1199").otherwise("1190")
+    ins = edges.groupBy("in_id").agg(F.min("_out").alias("owner"), F.min_by(account, "_out").alias("account"))
+    near = edges.join(ins.select("in_id", "owner"), "in_id")
+    outs = near.groupBy("out_id").agg(F.min("owner").alias("owner"), F.min_by(account, "_in").alias("account"))
+    placed = outs.withColumnRenamed("out_id", "line_id").unionByName(ins.withColumnRenamed("in_id", "line_id"))
+    cores = placed.select(F.col("owner")["out_id"].alias("owner_id")).distinct()
+    reach = edges.join(cores, F.col("out_id") == F.col("owner_id")).select("owner_id", "in_id")
+    held = reach.join(edges, "in_id")
+    members = held.select("owner_id", F.col("out_id").alias("line_id"), F.col("out_day").alias("day"), (-F.col("amount")).alias("amount"))
+    members = members.unionByName(held.select("owner_id", F.col("in_id").alias("line_id"), F.col("in_day").alias("day"), "amount")).distinct()
+    groups = members.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("day", "line_id", "amount"))).alias("_all"))
+    rows = placed.withColumn("owner_id", F.col("owner")["out_id"]).join(groups, "owner_id")
+    return rows.select("line_id", "account", F.lit(80).alias("confidence_pct"), F.filter("_all", lambda x: x["line_id"] != F.col("line_id")).alias("others"))
+
+
 def own_name_lines(lines: DataFrame, entity: DataFrame) -> DataFrame:
     """Unpaired lines with a transfer hint whose description names an own entity."""
     names = F.broadcast(entity.select(F.col("entity_id").alias("named_id"), F.col("entity_name").alias("name")))

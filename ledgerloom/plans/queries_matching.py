@@ -25,7 +25,7 @@ EDGES = f"""
 
 @register("j3_transfer_edges", with_views("bank_line", "select * from ed").replace(" select * from ed", "," + EDGES + " select * from ed"))
 def j3(b):
-    return mt.transfer_edges(b.bank_line())
+    return mt.transfer_edges(b.bank_line(), entity=b.entity())
 
 
 PAIRS = """, pa as (
@@ -35,7 +35,7 @@ PAIRS = """, pa as (
 
 @register("j4_transfer_pairs", with_views("bank_line", "select 1").replace(" select 1", "," + EDGES + PAIRS + " select * from pa"))
 def j4(b):
-    return mt.transfer_pairs(b.bank_line())
+    return mt.transfer_pairs(b.bank_line(), b.entity())
 
 
 @register("j5_own_name_lines", with_views("bank_line entity", f"select line_id, min(e.entity_id) as named_id from bank_line b join entity e on regexp_matches(upper(description), '\\b' || entity_name || '\\b') where {HINT} group by 1"))
@@ -295,7 +295,7 @@ def c8(b):
     lines = b.bank_line()
     rules = b.spark.createDataFrame(RULES, "pattern string, priority int, rule_account string")
     memory = b.spark.createDataFrame([("PT ERROR JAYA", "OUT", "7100")], "merchant string, direction string, memory_account string")
-    return mt.classified(lines, mt.transfer_pairs(lines), rules, memory)
+    return mt.classified(lines, mt.transfer_pairs(lines, b.entity()), rules, memory)
 
 
 @register("a33_automation_share", with_views("bank_line", f"select month(day)::int as month, count(*) as n_lines, count(*) filter ({HINT}) as n_auto, count(*) filter ({HINT}) * 1000 // count(*) as share from bank_line group by 1"))

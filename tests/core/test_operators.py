@@ -151,3 +151,26 @@ def test_settlement_candidates_match_loop(spark):
     for x in sorted(got, key=lambda x: x["rank"]):
         have[x.receipt_id].append(x.invoice_id)
     assert have == want and max(map(len, want.values())) > 3 and any(x.item_contact_id != x.contact_id for x in got)
+
+
+def test_transfers_leave_third_parties_out(spark):
+    entity = spark.createDataFrame([(5, "PT GEMILANG MAHAKARYA NUSA"), (6, "PT BELIFI")], "entity_id int, entity_name string")
+    texts = {
+        "TRSF E-BANKING DB 0108/FTSCY/WS95051 PT PURCHASE JAYA": "PT PURCHASE JAYA", "TRSF PT GEMILANG MAHAKAR": None, "TRSF KE BELIFI": None, "TRSF PT BELIFI": None, "BAYAR PT BELIFI": None,
+        "TRANSFER GEMILANG": "GEMILANG", "TRSF BELIFIX": "BELIFIX", "TRSF BEL BCA": None, "TRSF BELIFI ANDI": "ANDI", "TRSF GEMILANG MAHAKARYA NUSA BELIFI SENDIRI": None, "TRSF CV BUDI": "CV BUDI", "FEE": "FEE",
+    }
+    lines = [(i, 1 + i % 2, 5, day(0), (-1) ** i * (100 + i), x) for i, x in enumerate(texts)]
+    schema = "line_id long, bank_account int, entity_id int, day date, amount long, description string"
+    got = {r.description: r for r in matching.transfer_lines(spark.createDataFrame(lines, schema), entity).collect()}
+    assert {k: r.third_party for k, r in got.items()} == texts
+    assert not got["FEE"].hinted and got["BAYAR PT BELIFI"].hinted
+    rows = [
+        (1, 1, 5, day(0), -100, "TRSF BELIFI", False, False), (2, 2, 6, day(1), 100, "BAYAR PT BELIFI", False, False), (3, 3, 5, day(0), 100, "TRSF PT PURCHASE JAYA", False, False),
+        (4, 1, 5, day(0), -70, "TRSF", False, False), (5, 2, 5, day(0), 70, "TRSF", False, True), (6, 3, 5, day(0), 70, "TRSF", True, False),
+        (7, 1, 5, day(0), -50, "TRSF", False, False), (8, 2, 5, day(0), 50, "TRSF", False, False), (9, 3, 6, day(1), 50, "TRSF", False, False), (10, 1, 5, day(1), -50, "TRSF", False, False),
+    ]
+    df = spark.createDataFrame(rows, schema + ", matched boolean, pair_refused boolean")
+    pairs = matching.transfer_pairs(df, entity).collect()
+    assert sorted((p.out_id, p.in_id, p.account, p.confidence_pct) for p in pairs) == [(1, 2, "1190", 99), (7, 8, "1199", 80), (7, 9, "1190", 80), (10, 8, "1199", 80), (10, 9, "1190", 80)]
+    said = {r.line_id: (r.account, sorted(x.line_id for x in r.others)) for r in matching.transfer_suggestions(df, entity).collect()}
+    assert said == {7: ("1199", [8, 9, 10]), 8: ("1199", [7, 9, 10]), 9: ("1190", [7, 8, 10]), 10: ("1199", [7, 8, 9])}
