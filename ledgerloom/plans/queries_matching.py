@@ -178,7 +178,7 @@ WORDS = ", ".join(f"'{w}'" for w in t.CHANNEL_WORDS)
 
 @register("p2_generic_keys", with_views("bank_line", f"select line_id, len(list_filter(string_split(upper(substr(description, 1, 9)), ' '), lambda w: regexp_full_match(w, '[A-Z]{{2,}}') and w not in ({WORDS}))) = 0 as generic from bank_line"))
 def p2(b):
-    return b.bank_line().select("line_id", t.is_generic_key(F.substring("description", 1, 9)).alias("generic"))
+    return b.bank_line().select("line_id", t.is_generic_key("description").alias("generic"))
 
 
 @register(
@@ -191,8 +191,7 @@ def p2(b):
     ),
 )
 def p3(b):
-    lines = b.bank_line().withColumn("value", m.div("amount", 100) * 100).withColumn("short", F.substring("description", 1, 7))
-    return lines.select("line_id", t.row_hash_in_file("day", "value", "short", F.lit(None).cast("long"), "bank_account", "line_id").alias("hash"))
+    return b.bank_line().select("line_id", t.row_hash_in_file("day", "amount", "description", F.lit(None).cast("long"), "bank_account", "line_id").alias("hash"))
 
 
 @register(

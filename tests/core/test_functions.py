@@ -83,3 +83,22 @@ def test_text(spark):
         t.merchant_key("x"), t.is_generic_key(F.lit("BI FAST OUTGOING")), t.is_generic_key(F.lit("PT PAKAN")), t.normal_name(F.lit("PT. Maju, Jaya Tbk")), t.tax_id(F.lit("0012.3456.7890.1234")), t.amount_marker(F.lit("1.000,00 CR"))
     ).first()
     assert list(row) == ["PT PAKAN JAYA", True, False, "MAJUJAYA", "012345678901234", "CR"]
+
+
+def test_generic_keys_and_row_hashes_read_whole_texts(spark, monkeypatch):
+    from hashlib import sha1
+
+    from ledgerloom.plans import catalog, model
+
+    catalog.load()
+
+    d = dt.date(2024, 1, 1)
+    rows = [(1, 1, d, 199, "PAYMENT 0001 PT PURCHASE JAYA"), (2, 1, d, 101, "PAYMENT 0001 PT PURCHASE JAYA"), (3, 1, d, 199, "PAYMENT 0002"), (4, 1, d, 199, "PAYMENT 0002"), (5, 2, d, 199, "PAYMENT 0002"), (6, 1, d, 199, "PAYMENT 0002")]
+    lines = spark.createDataFrame(rows, "line_id long, bank_account int, day date, amount long, description string")
+    monkeypatch.setattr(model.Books, "bank_line", lambda self: lines)
+    generic = {r.line_id: r.generic for r in catalog.QUERIES["p2_generic_keys"](spark, "").collect()}
+    assert generic == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True}
+    cut = lambda s: sha1(s.encode()).hexdigest()[:24]
+    base = {i: cut(f"2024-01-01|{amount}|{text}|") for i, _, _, amount, text in rows}
+    got = {r.line_id: r.hash for r in catalog.QUERIES["p3_row_hashes"](spark, "").collect()}
+    assert got == base | {4: cut(base[4] + "|#1"), 6: cut(base[6] + "|#2")}
