@@ -2,8 +2,8 @@
 
 A message's lines are parsed into quote levels (the leading ``>`` marks). A run of lines of one level
 is a passage. Quoted passages are normalised and hashed, and joined to the messages of the same
-conversation that wrote the same passage, line or whole text themselves. The earliest such message
-before the quoting one is what it answers; a message that quotes nothing known answers the turn
+conversation that wrote the same passage, line or whole text themselves; a quote of several lines also
+to those that wrote these lines one after the other. The earliest such message before the quoting one is what it answers; a message that quotes nothing known answers the turn
 before it.
 """
 
@@ -39,6 +39,35 @@ def passages(messages: DataFrame) -> DataFrame:
     return runs.withColumn("text", F.array_join("lines", "\n")).withColumn("norm", normalised(F.col("text")))
 
 
+def _line_hashes(lines: Column) -> Column:
+    """The hashes of the lines that aren't blank."""
+    return F.transform(F.filter(F.transform(lines, normalised), lambda x: x != ""), lambda x: F.sha2(x, 256))
+
+
+def _joint(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, ""), 256)
+
+
+def link_stretches(linked: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sets ``origin`` for quotes without one whose lines an earlier turn wrote one after the other.
+
+    Blank lines don't count. Only stretches that begin with a quote's first line and have its number of
+    lines are hashed, so a line that is common costs one hash for each length that is quoted with it."""
+    linked = stage(linked, "quotes")
+    heads = linked.filter("origin is null and size(hashes) > 1").select("conv_id", F.col("hashes")[0].alias("head"), F.size("hashes").alias("m")).distinct()
+    if heads.isEmpty():
+        return linked
+    ordered = F.array_sort(F.collect_list(F.struct("passage", "lines")))
+    bodies = runs.filter("level = 0").join(heads.select("conv_id").distinct(), "conv_id", "left_semi").groupBy(*KEY).agg(F.flatten(F.transform(ordered, lambda x: x["lines"])).alias("lines"))
+    bodies = bodies.select(*KEY, _line_hashes(F.col("lines")).alias("hashes"))
+    spots = bodies.select(*KEY, F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "head")).join(heads, ["conv_id", "head"]).filter("pos + m <= n")
+    spots = spots.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "m")).alias("spots"))
+    stretches = bodies.join(spots, KEY).select("conv_id", "turn", F.explode(F.transform("spots", lambda x: _joint(F.slice("hashes", x["pos"] + 1, x["m"])))).alias("joint"))
+    first = stretches.groupBy("conv_id", "joint").agg(F.min("turn").alias("_first"))
+    rows = linked.withColumn("joint", _joint(F.col("hashes"))).join(first, ["conv_id", "joint"], "left")
+    return rows.withColumn("origin", F.coalesce("origin", F.when(F.col("_first") < F.col("turn"), F.col("_first")))).drop("joint", "_first")
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, copy, role, answers_turn, depth, n_quotes, n_linked, text.
 
@@ -65,8 +94,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         .filter("norm != ''")
     )
     first = written.groupBy("conv_id", F.sha2("norm", 256).alias("hash")).agg(F.min("turn").alias("origin"))
-    quoted = runs.filter("level > 0 and norm != ''").select(*KEY, "passage", "level", F.sha2("norm", 256).alias("hash"))
+    quoted = runs.filter("level > 0 and norm != ''").select(*KEY, "passage", "level", F.sha2("norm", 256).alias("hash"), _line_hashes(F.col("lines")).alias("hashes"))
     linked = quoted.join(first, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    linked = link_stretches(linked, runs)
     quotes = linked.groupBy(*KEY).agg(
         F.count("*").alias("n_quotes"),
         F.count("origin").alias("n_linked"),

@@ -120,6 +120,30 @@ def test_quotations(spark):
     assert link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotations_of_several_lines_of_a_longer_message(spark):
+    rows = [
+        (1, 0, "user", "L1\nL2\n\nL3\nL4"),
+        (1, 1, "assistant", "L2\nL4\nL3"),
+        (1, 2, "user", "> L2\n> l3\nfirst"),
+        (1, 3, "assistant", "> L2\n> L4\nsecond"),
+        (1, 4, "user", "> L1\n> L3\nskips one"),
+        (1, 5, "assistant", "> L3\n> L4\n> L5\none too many"),
+        (1, 6, "user", "> Z1\n> Z2\nlater only"),
+        (1, 7, "assistant", "Z0\nZ1\nZ2"),
+        (1, 8, "user", "A\n> x\nB\nC"),
+        (1, 9, "assistant", ">> A\n>> B\n> L3\n>\n> L4\nboth"),
+        (2, 0, "user", "other"),
+        (2, 1, "user", "> L2\n> L3\nof another conversation"),
+        (2, 2, "user", "x\nx\nx\ny"),
+        (2, 3, "user", "> x\n> x\n> y\nz"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = {2: (0, 1, 1), 3: (1, 1, 1), 4: (3, 1, 0), 5: (4, 1, 0), 6: (5, 1, 0), 8: (7, 1, 0), 9: (0, 2, 2)}
+    assert {k: (r.answers_turn, r.n_quotes, r.n_linked) for k in want for r in [got[1, k]]} == want
+    assert got[1, 2].depth == 1 and got[1, 3].depth == 2
+    assert got[2, 1].n_linked == 0 and (got[2, 3].answers_turn, got[2, 3].n_linked) == (2, 1)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     bad = ["scum", "moron"]
