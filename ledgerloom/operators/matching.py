@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import business_days_apart
-from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, third_party_name
+from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, tax_id, third_party_name
 from .ledger import total
 
 
@@ -100,23 +103,108 @@ def own_name_lines(lines: DataFrame, entity: DataFrame) -> DataFrame:
     return rows.groupBy("line_id").agg(F.min("named_id").alias("named_id"))
 
 
-def one_to_one(docs: DataFrame, book: DataFrame) -> DataFrame:
-    """Documents and book rows of one key (entity, amount), paired in the order of their dates.
-
-    Within a key neither side has a preference besides dates, so the greedy choice of the nearest
-    becomes a pairing by rank, which is a window and a join."""
-    rank = lambda df, day, i: df.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id", "amount").orderBy(day, i)))
-    return rank(docs, "doc_day", "doc_id").join(rank(book, "book_day", "book_id"), ["entity_id", "amount", "rank"], "full_outer")
+# Words of a text that identify no one.
+NAME_NOISE = "PT CV TBK UD PERSERO INDONESIA TRSF TRANSFER DARI BANKING KE DB CR".split()
 
 
-def duplicate_entries(lines: DataFrame, days: int = 3) -> DataFrame:
-    """Entries of an entity with the same lines, at most ``days`` apart. Each is held against the
-    next of its signature, so a signature that is common costs no pairs."""
+def one_to_one(docs: DataFrame, book: DataFrame) -> DataFrame:
+    """Documents and book rows of one entity and amount, matched one to one; all others stay alone.
+
+    Documents choose in the order of day and id among the free book rows: the same tax id first, then a
+    shared name word of four letters or more, then the nearest day, then the least id. ``tax_id`` and
+    ``text`` are read where a side has them. The choice of a document hangs on all earlier ones of its
+    key, so a key is one task's group; its rows are looked up by tax id, word and day, not all by all."""
+
+    def side(df, name):
+        digits = tax_id("tax_id") if "tax_id" in df.columns else F.lit(None).cast("string")
+        text = F.split(F.upper("text"), "[^A-Z0-9]+") if "text" in df.columns else F.lit(None).cast("array<string>")
+        words = F.array_distinct(F.filter(text, lambda w: (F.length(w) >= 4) & ~w.isin(NAME_NOISE)))
+        return df.select("entity_id", "amount", f"{name}_id", f"{name}_day", F.nullif(digits, F.lit("")).alias("tax"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+
+    docs, book = side(docs, "doc"), side(book, "book")
+    types = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *book.schema.fields]}
+    schema = f"entity_id {types['entity_id']}, amount {types['amount']}, rank int, doc_id {types['doc_id']}, doc_day date, book_id {types['book_id']}, book_day date"
+    return docs.groupBy("entity_id", "amount").cogroup(book.groupBy("entity_id", "amount")).applyInPandas(_choose, schema)
+
+
+def _choose(docs, book):
+    import pandas as pd
+
+    docs, book = docs.sort_values(["doc_day", "doc_id"]), book.sort_values(["book_day", "book_id"])
+    rows = list(zip(book["book_day"], book["book_id"], book["tax"], book["words"]))
+    free, days = list(range(len(rows))), [r[0] for r in rows]
+    by_tax, by_word = defaultdict(set), defaultdict(set)
+    for k, (_, _, tax, words) in enumerate(rows):
+        if tax:
+            by_tax[tax].add(k)
+        for w in words:
+            by_word[w].add(k)
+    out = []
+    for day, doc_id, tax, words in zip(docs["doc_day"], docs["doc_id"], docs["tax"], docs["words"]):
+        near = (by_tax.get(tax) if tax else None) or set().union(*(by_word[w] for w in words if w in by_word))
+        if not near and free:
+            at = bisect_left(days, day)
+            # the first of its day on either side has the least id
+            near = {free[at]} if at < len(free) else set()
+            near |= {free[bisect_left(days, days[at - 1])]} if at else set()
+        best = min(near, key=lambda k: (abs((rows[k][0] - day).days), rows[k][1]), default=None)
+        out.append((doc_id, day, *((None, None) if best is None else (rows[best][1], rows[best][0]))))
+        if best is not None:
+            at = bisect_left(free, best)
+            del free[at], days[at]
+            by_tax[rows[best][2]].discard(best)
+            for w in rows[best][3]:
+                by_word[w].discard(best)
+    out += [(None, None, rows[k][1], rows[k][0]) for k in free]
+    some = docs if len(docs) else book
+    found = pd.DataFrame(out, columns=["doc_id", "doc_day", "book_id", "book_day"], dtype=object)
+    found.insert(0, "entity_id", some["entity_id"].iloc[0])
+    found.insert(1, "amount", some["amount"].iloc[0])
+    found.insert(2, "rank", range(1, len(out) + 1))
+    return found
+
+
+def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, since: str | None = None) -> DataFrame:
+    """Disjoint pairs of entries of an entity with the same lines, at most ``days`` apart: each entry
+    takes the first later one that is free and allowed.
+
+    Entries of kind OPENING or RECLASS and those under ``materiality`` never pair, nor do two of kind
+    BANK, nor two of one ``import_id`` whose ``memo`` differs; the later one is not before ``since``.
+    Columns that aren't there exclude nothing. Only entries with a neighbour near enough are grouped."""
+    has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
     signature = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "account", "debit", "credit"))), "|"))
-    entries = lines.groupBy("entity_id", "entry_id").agg(F.min("day").alias("day"), signature.alias("signature"), total("debit").alias("amount"))
+    memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")
+    entries = lines.groupBy("entity_id", "entry_id").agg(
+        F.min("day").alias("day"), signature.alias("signature"), total("debit").alias("amount"),
+        has("entry_kind").cast("string").alias("kind"), has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo"),
+    )
+    entries = entries.filter(~F.coalesce("kind", F.lit("")).isin("OPENING", "RECLASS") & (F.col("amount") >= materiality))
     order = Window.partitionBy("entity_id", "signature").orderBy("day", "entry_id")
-    rows = entries.withColumn("other_id", F.lead("entry_id").over(order)).withColumn("other_day", F.lead("day").over(order))
-    return rows.filter(F.date_diff("other_day", "day") <= days).select("entity_id", "entry_id", "other_id", "day", "other_day", "amount")
+    near = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
+    entries = entries.withColumn("_near", near).filter("_near").drop("_near")
+    entries = entries.withColumn("since", F.lit(since).cast("date"))
+    types = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
+    schema = f"entity_id {types['entity_id']}, entry_id {types['entry_id']}, other_id {types['entry_id']}, day date, other_day date, amount {types['amount']}"
+
+    def pairs(rows):
+        import pandas as pd
+
+        rows = rows.sort_values(["day", "entry_id"]).to_dict("records")
+        out, used = [], set()
+        for i, x in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y = rows[j]
+                if i in used or (y["day"] - x["day"]).days > days:
+                    break
+                late = not pd.isna(y["since"]) and y["day"] < y["since"]
+                same_file = x["import_id"] is not None and x["import_id"] == y["import_id"] and x["memo"] != y["memo"]
+                if j in used or late or same_file or x["kind"] == y["kind"] == "BANK":
+                    continue
+                used |= {i, j}
+                out.append((x["entity_id"], x["entry_id"], y["entry_id"], x["day"], y["day"], x["amount"]))
+        return pd.DataFrame(out, columns=["entity_id", "entry_id", "other_id", "day", "other_day", "amount"])
+
+    return entries.groupBy("entity_id", "signature").applyInPandas(pairs, schema)
 
 
 def overlapping_ranges(rows: DataFrame, key: str, start: str, end: str, row_id: str) -> DataFrame:

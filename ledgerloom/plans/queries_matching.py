@@ -67,8 +67,8 @@ def j6(b):
 )
 def j12(b):
     lines = b.bank_line().withColumn("value", m.div(F.abs("amount"), 1000))
-    docs = lines.filter("amount > 0").select(F.col("line_id").alias("doc_id"), "entity_id", F.col("value").alias("amount"), F.col("day").alias("doc_day"))
-    book = lines.filter("amount < 0").select(F.col("line_id").alias("book_id"), "entity_id", F.col("value").alias("amount"), F.col("day").alias("book_day"))
+    docs = lines.filter("amount > 0").select(F.col("line_id").alias("doc_id"), "entity_id", F.col("value").alias("amount"), F.col("day").alias("doc_day"), F.col("description").alias("text"))
+    book = lines.filter("amount < 0").select(F.col("line_id").alias("book_id"), "entity_id", F.col("value").alias("amount"), F.col("day").alias("book_day"), F.col("description").alias("text"))
     return mt.one_to_one(docs, book)
 
 

@@ -174,3 +174,33 @@ def test_transfers_leave_third_parties_out(spark):
     assert sorted((p.out_id, p.in_id, p.account, p.confidence_pct) for p in pairs) == [(1, 2, "1190", 99), (7, 8, "1199", 80), (7, 9, "1190", 80), (10, 8, "1199", 80), (10, 9, "1190", 80)]
     said = {r.line_id: (r.account, sorted(x.line_id for x in r.others)) for r in matching.transfer_suggestions(df, entity).collect()}
     assert said == {7: ("1199", [8, 9, 10]), 8: ("1199", [7, 9, 10]), 9: ("1190", [7, 8, 10]), 10: ("1199", [7, 8, 9])}
+
+
+def test_one_to_one_matches_loop(spark):
+    rng = random.Random(12)
+    row = lambda i: (i, rng.randrange(3), rng.randrange(4), day(rng.randrange(12)), rng.choice([None, None, "0123456789012345", "12.345.678.901.234-5", "9"]), rng.choice([None, "PT SINAR ABADI", "sinar", "BUDI", "TRANSFER", "abadi jaya"]))
+    docs, book = [row(i) for i in range(150)], [row(i) for i in range(1000, 1140)]
+    docs += [(500, 9, 9, day(10), None, None)]
+    book += [(1500, 9, 9, day(1), None, None), (1501, 9, 9, day(10), None, None)]
+    schema = "{0}_id long, entity_id int, amount long, {0}_day date, tax_id string, text string"
+    got = matching.one_to_one(spark.createDataFrame(docs, schema.format("doc")), spark.createDataFrame(book, schema.format("book"))).collect()
+    digits = lambda s: re.sub(r"\D", "", s or "")[-15:]
+    words = lambda s: {w for w in re.split("[^A-Z0-9]+", (s or "").upper()) if len(w) >= 4} - {"TRANSFER"}
+    free, want = {b[0]: b for b in book}, set()
+    for i, e, a, at, tax, text in sorted(docs, key=lambda x: (x[3], x[0])):
+        score = lambda b: 2 if tax and digits(tax) == digits(b[4]) else 1 if words(text) & words(b[5]) else 0  # noqa: B023, E731
+        best = min((b for b in free.values() if b[1:3] == (e, a)), key=lambda b: (-score(b), abs((b[3] - at).days), b[0]), default=None)
+        want.add((i, free.pop(best[0])[0] if best else None))
+    want |= {(None, b) for b in free}
+    assert len(got) == len(want) and {(r.doc_id, r.book_id) for r in got} == want and (500, 1501) in want
+
+
+def test_duplicate_entries_are_disjoint_and_exclude(spark):
+    entries = [("a", 0, 50, "MANUAL", None, "m"), ("b", 1, 50, "MANUAL", None, "m"), ("c", 2, 50, "MANUAL", None, "m"), ("d", 9, 50, "BANK", None, "m"), ("e", 9, 50, "BANK", None, "m"), ("f", 10, 50, "MANUAL", None, "m"),
+               ("g", 20, 50, "OPENING", None, "m"), ("h", 20, 50, "MANUAL", None, "m"), ("i", 30, 50, "IMPORTED", "1", "x"), ("j", 30, 50, "IMPORTED", "1", "y"), ("k", 31, 50, "IMPORTED", "1", " X"), ("l", 40, 5, "MANUAL", None, "m"), ("m", 40, 5, "MANUAL", None, "m")]
+    rows = [(1, e, day(n), acc, d, c, kind, file, memo) for e, n, amount, kind, file, memo in entries for acc, d, c in (("1", amount, 0), ("2", 0, amount))]
+    df = spark.createDataFrame(rows, "entity_id int, entry_id string, day date, account string, debit long, credit long, entry_kind string, import_id string, memo string")
+    pairs = lambda **k: sorted((r.entry_id, r.other_id) for r in matching.duplicate_entries(df, **k).collect())
+    assert pairs(materiality=10) == [("a", "b"), ("d", "f"), ("i", "k")]
+    assert pairs() == [("a", "b"), ("d", "f"), ("i", "k"), ("l", "m")]
+    assert pairs(since="2024-01-03") == [("a", "c"), ("d", "f"), ("i", "k"), ("l", "m")]
