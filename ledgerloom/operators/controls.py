@@ -25,7 +25,7 @@ def entry_checks(lines: DataFrame, locked_before: str) -> DataFrame:
 
 
 def entity_controls(tb: DataFrame, proof: DataFrame) -> DataFrame:
-    """The month-close checks of each entity, from one trial balance and the subledger proof."""
+    """Seven of the month-close checks of each entity (the README lists the others), from one trial balance and the subledger proof."""
     of = lambda cond, sign=1: total(F.when(cond, F.col("net") * sign))
     asset, liability = F.col("type") == "ASSET", F.col("type") == "LIABILITY"
     wrong = (asset & (F.col("kind") != "INTERCOMPANY") & (F.col("net") < 0)) | (liability & (F.col("net") > 0))
