@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stage
+from .shared import stage, unstage
+from .tokens import slices
 
 #: Counters of how often shingles occur; they only order shingles, rare ones first.
 COUNTERS = 1 << 18
-#: Bits of a set's parity sketch, and rows of a list's block.
+#: Bits of a set's short parity sketch, and rows of a list's block.
 BITS, BLOCK = 1024, 1_000
+#: Postings that are written at once.
+POSTINGS = 100_000
 #: Groups of each shingle's list that all others are paired with.
 FIRSTS = 3
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -74,41 +77,65 @@ def _count(width: int):
     return run
 
 
-def _sign(width: int, percent: int, counts: bytes):
-    """doc_id, n, digest of the set (null for none), prefix: its rarest shingles, in order, and sketch.
+def _sketch(s: np.ndarray) -> bytes:
+    """A bit for each place in a power of two of BITS or more, no fewer than the set has shingles: the
+    parity of the shingles that hash to it. So two sketches differ in no more bits than the sets have
+    shingles of one only, and the two halves of a sketch, one over the other, are the next shorter one."""
+    bits = max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length, folded to ``size`` bytes."""
+    x = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    while x.shape[1] > size:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
-    A bit of the sketch is the parity of the shingles that hash to it. So two sketches differ in no
-    more bits than the sets have shingles of one only.
-    """
+
+def _sign(width: int, percent: int, counts: bytes):
+    """doc_id, t, n, digest of the set (null for none), prefix: its rarest shingles, in order, its
+    sketch, and that folded to BITS."""
 
     def run(batches):
         shingler, often = Shingler(width), np.frombuffer(counts, dtype="<i8")
         for batch in batches:
-            sizes, digests, prefixes, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingler.shingles(text)
-                n = len(s)
-                sizes.append(n)
-                digests.append(blake2b(s.tobytes(), digest_size=16).digest() if n else None)
-                some = n + percent * -n // 100 + 1 if n else 0  # n - ceil(n * percent / 100) + 1
-                at = np.lexsort((s, often[_counter(s)]))[:some]
-                prefixes.append(s[at].astype("<u8").tobytes())
-                sketches.append(np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n", "digest", "prefix", "sketch"],
-            )
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                sizes, digests, prefixes, sketches, wides = [], [], [], [], []
+                for text in texts[a:b]:
+                    s = shingler.shingles(text)
+                    n = len(s)
+                    sizes.append(n)
+                    digests.append(blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+                    some = n + percent * -n // 100 + 1 if n else 0  # n - ceil(n * percent / 100) + 1
+                    at = np.lexsort((s, often[_counter(s)]))[:some]
+                    prefixes.append(s[at].astype("<u8").tobytes())
+                    wides.append(_sketch(s))
+                    sketches.append(_folded(wides[-1:], BITS // 8).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).slice(a, b - a) for k in (0, 1)),
+                        pa.array(sizes, pa.int64()),
+                        *(pa.array(x, pa.binary()) for x in (digests, prefixes, sketches, wides)),
+                    ],
+                    ["doc_id", "t", "n", "digest", "prefix", "sketch", "wide"],
+                )
 
     return run
 
 
 def _tokens(batches):
-    """Postings: each shingle of a prefix, its place there, and the rest of the row."""
+    """Postings: each shingle of a prefix, its place there, and the rest of the row, about POSTINGS at a time."""
     for batch in batches:
         names = [n for n in batch.schema.names if n != "prefix"]
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            prefixes = [np.frombuffer(p, dtype="<i8") for p in part.column(part.schema.names.index("prefix")).to_pylist()]
+        prefix = batch.column(batch.schema.names.index("prefix"))
+        ends = np.cumsum([len(p.as_buffer()) // 8 for p in prefix])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // POSTINGS)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            prefixes = [np.frombuffer(p, dtype="<i8") for p in prefix.slice(a, b - a).to_pylist()]
             sizes = [len(p) for p in prefixes]
             rest = part.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays(
@@ -121,25 +148,43 @@ def _set_of(width: int):
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.shingles(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "items"])
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingler.shingles(t).astype("<u8").tobytes() for t in texts[a:b]], pa.binary())], ["id", "items"])
 
     return run
 
 
 def _sketched(percent: int):
-    """The pairs (a, b) whose sketches allow the similarity, from a, b, their sizes and sketches."""
+    """The pairs (a, b) and the bits that differ, where sketches allow the similarity, from a, b, their
+    sizes and sketches. Of two sketches the longer is folded."""
 
     def run(batches):
         for batch in batches:
             n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            by_size: dict[tuple[int, int], list[int]] = {}
+            for i, (p, q) in enumerate(zip(x, y)):
+                by_size.setdefault((len(p), len(q)), []).append(i)
+            apart = np.zeros(len(x), dtype=np.int64)
+            for (p, q), at in by_size.items():
+                for k in range(0, len(at), max(1, (1 << 22) // max(p, q))):
+                    some = at[k : k + max(1, (1 << 22) // max(p, q))]
+                    apart[some] = np.bitwise_count(_folded([x[i] for i in some], min(p, q)) ^ _folded([y[i] for i in some], min(p, q))).sum(axis=1, dtype=np.int64)
             least = -(-percent * (n + m) // (100 + percent))
-            keep = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64) <= n + m - 2 * least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "apart"])
+            yield found.filter(pa.array(apart <= n + m - 2 * least))
 
     return run
 
 
+def _allowed(pairs: DataFrame, classes: DataFrame, sketch: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, with ``apart``, that these sketches allow to link."""
+    x = classes.select(F.col("id").alias("a"), "n", F.col(sketch).alias("x"))
+    y = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col(sketch).alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_sketched(percent), "a long, b long, apart long")
+
+
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
@@ -154,15 +199,18 @@ def _similar(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets are as similar as asked."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are as similar as asked, from one text of each class."""
     # as a table, so that the plan knows its size: a small one is sent to the texts, which then don't move
-    needed = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
-    texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = stage(classes.select("id", "doc", F.col("t").alias("_t")).join(ids, "id"), "needed")
+    texts = docs.join(needed, (docs["doc_id"] == needed["doc"]) & (docs["t"] == needed["_t"])).groupBy("id").agg(F.first("text").alias("text"))
     sets = stage(texts.mapInArrow(_set_of(width), "id long, items binary"), "sets")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long"), "similar")
+    found = stage(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long"), "similar")
+    unstage(sets)
+    return found
 
 
 def _may_link(percent: int):
@@ -266,6 +314,31 @@ def _blocks_of(lists: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.join(placed.select("id", "sketch"), "id")
 
 
+def _still_apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with these as x and y."""
+    of = lambda end, name: joined.select(F.col("node").alias(end), F.col("component").alias(name))
+    rows = pairs.select("a", "b", "apart").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    rows = rows.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).filter("x <> y")
+    return stage(rows.select("a", "b", "apart", "x", "y"), "left")
+
+
+def _joining(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame, joined: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` and, of the pairs that sketches allow, enough verified ones that no pair that links is
+    left between two components; and the components of all: first each component's nearest pair is
+    verified, then all pairs that are still apart."""
+    left = _still_apart(pairs, joined)
+    ends = left.select("x", "apart", "a", "b").unionByName(left.select(F.col("y").alias("x"), "apart", "a", "b"))
+    near = ends.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("_near")).select("_near.a", "_near.b").distinct()
+    near = stage(near, "nearest")
+    for some in (near, None):
+        some = some if some is not None else _still_apart(left.join(near, ["a", "b"], "left_anti"), joined)
+        if some.isEmpty():
+            break
+        links = stage(links.unionByName(_verified(docs, classes, some, width, percent)), "links")
+        joined = stage(components(links), "joined")
+    return links, joined
+
+
 def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -276,31 +349,43 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sketches rule out what can't link, the rest is verified on whole sets and linked. This tries all
     pairs of a list of up to four classes. Then, so that no link is missed, whatever a longer list
     still has in different components is compared in blocks in the same way. A list whose members are
-    linked already costs no pairs. Components of both rounds' links are the result.
+    linked already costs no pairs, and of two components only the nearest pair is verified unless that
+    fails. Components of both rounds' links are the result.
 
     A null text is empty. Documents without words have no shingles and are components of their own.
-    A null doc_id links with nothing and has a null component. Rows that repeat a doc_id share its
-    component. An empty table gives an empty result. Other columns are not read.
+    A null doc_id links with nothing and has a null component. Rows with shingles that repeat a doc_id
+    share its component and are linked by each of their texts. A very long text is one set like any
+    other; batches are cut by size. An empty table gives an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     counts = np.zeros(COUNTERS, dtype=np.int64)
     # COUNTERS rows at most
     for row in docs.select("text").mapInArrow(_count(width), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         counts[row["counter"]] = row["n"]
-    signed = stage(docs.mapInArrow(_sign(width, percent, counts.astype("<i8").tobytes()), "doc_id long, n long, digest binary, prefix binary, sketch binary"), "signed")
+    signed = docs.mapInArrow(_sign(width, percent, counts.astype("<i8").tobytes()), "doc_id long, t long, n long, digest binary, prefix binary, sketch binary, wide binary")
+    signed = stage(signed, "signed")
 
-    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+    several = signed.filter("digest is not null and doc_id is not null")
+    classes = several.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("_first"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "wide")])
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), F.col("_first.doc_id").alias("doc"), F.col("_first.t").alias("t"), "digest", "n", "prefix", "sketch", "wide")
     classes = stage(classes, "classes")
     groups = stage(classes.groupBy("n", "prefix").agg(F.min("id").alias("group"), F.count("*").alias("members")), "groups")
     members = classes.join(groups.filter("members > 1").select("n", "prefix", "group"), ["n", "prefix"]).select("group", "id")
     members = stage(members, "members")
 
+    # classes of one doc_id, which rows that repeat it with another text have
+    twice = several.groupBy("doc_id").agg(F.min("digest").alias("_low"), F.max("digest").alias("_high")).filter("_low <> _high").select("doc_id")
+    own = several.select("doc_id", "digest").join(twice, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest").select("doc_id", "id").distinct()
+    own = stage(own, "own")
+    twins = own.join(own.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
+
     # shingles that several classes have in their prefixes, by group
     postings = groups.mapInArrow(_tokens, "token long, pos int, n long, group long, members long")
     shared = postings.groupBy("token").agg(F.sum("members").alias("k"), F.count("*").alias("g")).filter("k > 1")
     # in a list that isn't long, every class meets every other through the first ones
     shared = shared.select("token", ((F.col("k") > F.col("g")) | (F.col("g") > FIRSTS + 1)).alias("long"))
     postings = stage(postings.join(shared, "token"), "postings")
+    unstage(groups)
 
     by_hash = Window.partitionBy("token").orderBy(F.xxhash64("group"), "group")
     firsts = postings.select("token", F.col("group").alias("group2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.row_number().over(by_hash).alias("k"))
@@ -308,23 +393,25 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     pairs = postings.join(firsts, "token").filter("group <> group2").filter(_may_link(percent)).select(F.least("group", "group2").alias("a"), F.greatest("group", "group2").alias("b"))
     inside = members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))
     tried = stage(pairs.unionByName(inside).distinct(), "tried")
-    x = classes.select(F.col("id").alias("a"), "n", F.col("sketch").alias("x"))
-    y = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    pairs = tried.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_sketched(percent), "a long, b long")
-    pairs = stage(pairs, "pairs")
-    links = _verified(docs, pairs, width, percent)
+    pairs = stage(_allowed(tried, classes, "sketch", percent), "pairs")
+    pairs = stage(_allowed(pairs, classes, "wide", percent), "pairs")
+    twins = stage(twins, "twins")
+    links, joined = _joining(docs, classes, pairs, twins, stage(components(twins), "joined"), width, percent)
 
-    placed = classes.select("id", "sketch").join(components(links), F.col("id") == F.col("node"), "left")
+    placed = classes.select("id", "sketch").join(joined, F.col("id") == F.col("node"), "left")
     placed = stage(placed.select("id", "sketch", F.coalesce("component", "id").alias("component")), "placed")
     postings = postings.filter("long")
     expanded = postings.filter("members = 1").withColumn("id", F.col("group")).unionByName(postings.filter("members > 1").join(members, "group"))
     lists = stage(expanded.select("token", "pos", "n", "id").join(placed.select("id", "component"), "id"), "lists")
     dealt = _blocks_of(lists, placed).repartition(*GROUP).sortWithinPartitions(*GROUP)
     pairs2 = dealt.mapInArrow(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = _verified(docs, stage(pairs2, "pairs"), width, percent)
-    joined = components(links.unionByName(links2))
+    pairs2 = stage(_allowed(stage(pairs2, "pairs"), classes, "wide", percent), "pairs")
+    _, joined = _joining(docs, classes, pairs2, links, joined, width, percent)
 
-    answer = stage(classes.join(joined, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component")), "answer")
+    answer = classes.join(joined, F.col("id") == F.col("node"), "left").select("digest", "doc", F.coalesce("component", "id").alias("root"))
+    answer = stage(answer, "answer")
+    roots = answer.groupBy("root").agg(F.min("doc").alias("component"))
+    answer = answer.join(roots, "root").select("digest", "component")
     return signed.select("doc_id", "n", "digest").join(answer, "digest", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Deletes an execution's shuffle files when it ends.
-FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a table's execution: its shuffle files go when it ends, and Arrow batches stay small,
+#: so that a Python worker holds a few megabytes of rows.
+WHILE_STAGED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,19 +46,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files behind the table, which nothing needs any more, go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(FILE_CLEANUP, "false")
-    spark.conf.set(FILE_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_STAGED}
+    for k, v in WHILE_STAGED.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(FILE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes what this application has staged; call it once the results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def running_total(df: DataFrame, order: list[str], value: str, total: str) -> DataFrame:

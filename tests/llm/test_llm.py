@@ -171,7 +171,7 @@ def test_digest_index_keeps_and_remembers(spark):
     assert got[0].keep_id == 1 and got[0].group_size == 2 and got[3].group_size == 2
     assert got[0].text_sha256 == sha256("aé".encode()).hexdigest()
     later = {r.doc_id: (r.keep_id, r.kept, r.known) for r in index.add(documents(spark, ["AÉ", "B", "c", "C"], [10, 11, 12, 12])).collect()}
-    assert later == {10: (10, True, False), 11: (5, False, True), 12: (12, True, False)}
+    assert later == {10: (2, False, True), 11: (5, False, True), 12: (12, True, False)}
     assert index.add(documents(spark, [])).count() == 0
     assert {r.digest is None for r in spark.table("digests_test").collect()} == {False}
     spark.sql("drop table digests_test")
@@ -217,6 +217,25 @@ def test_shingle_join_chains_and_odd_input(spark):
     assert near_texts(documents(spark, [])).count() == 0
 
 
+def test_shingle_join_of_repeated_ids(spark):
+    """Each text of a repeated doc_id links, not the least one only."""
+    rng = random.Random(16)
+    near = words(rng, 80)
+    for other in (words(rng, 80), "zz " + words(rng, 80), "a " + words(rng, 80), ""):
+        rows = documents(spark, [near, other, near + " w1", other, None], [7, 7, 9, 7, 8])
+        got = {(r.doc_id, r.n_shingles > 0): r.component_id for r in near_texts(rows).collect()}
+        assert got[9, True] == got[7, True] == 7 and got[8, False] == 8
+
+
+def test_shingle_join_of_very_long_texts(spark):
+    rng = random.Random(17)
+    long = words(rng, 60_000, 100_000).split()
+    near = [*long[:30_000], "x", *long[30_010:]]
+    far = [f"y{k}" if k % 20 == 0 else w for k, w in enumerate(long)]
+    texts = [" ".join(x) for x in (long, near, far)] + [words(rng, 9) for _ in range(5)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_texts(documents(spark, texts)).collect()} == brute_components(texts, 3, 90)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(100)] + [(200, 201), (202, 201), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
