@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, stage
+from .shared import new_path, stage, unstage
 from .tokens import encoder, slices
 
 STEP = 128
 BLOCK_IDS = 1 << 18
 
-RAW = "part int, block int, tokens_before long, doc_ids array<long>, n_tokens array<long>, ids binary"
+RAW = "part int, block int, tokens_before long, doc_ids array<long>, n_tokens array<long>, ids binary, used binary, counts binary"
 CODED = "part int, block int, tokens_before long, doc_ids array<long>, n_tokens array<long>, bits binary, checkpoints binary"
 
 
@@ -102,24 +102,34 @@ class Code:
         return out.T.reshape(-1)[:n] >> 8
 
 
-def _blocks(path: str, end_id: int):
-    """Batches of (doc_id, text) in order to raw blocks."""
+def _kind(size: int) -> str:
+    """The type that holds ids below ``size`` between the steps."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _blocks(path: str, end_id: int, size: int):
+    """Batches of (doc_id, text) in order to raw blocks, and one more row: the ids used and their counts."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    schema = pa.schema(list(zip(["part", "block", "tokens_before", "doc_ids", "n_tokens", "ids", "used", "counts"], kinds)))
 
     def run(batches):
         part, block, before = TaskContext.get().partitionId(), 0, 0
         encode = encoder(path).encode
         end = np.asarray([end_id], dtype="<u4").tobytes()
+        counts = np.zeros(size, dtype=np.int64)
         docs, sizes, held, total = [], [], [], 0
 
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, *values), kinds)], schema=schema)
+
         def flush():
-            nonlocal block, before, docs, sizes, held, total
-            row = pa.RecordBatch.from_pydict(
-                {"part": [part], "block": [block], "tokens_before": [before], "doc_ids": [docs], "n_tokens": [sizes], "ids": [b"".join(held)]},
-                schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("tokens_before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("ids", pa.binary())]),
-            )
+            nonlocal block, before, docs, sizes, held, total, counts
+            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            counts += np.bincount(ids, minlength=size)
+            found = row(block, before, docs, sizes, ids.astype(_kind(size)).tobytes(), None, None)
             block, before = block + 1, before + total
             docs, sizes, held, total = [], [], [], 0
-            return row
+            return found
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -133,29 +143,26 @@ def _blocks(path: str, end_id: int):
                         yield flush()
         if docs:
             yield flush()
+        used = np.flatnonzero(counts)
+        yield row(None, None, None, None, None, used.astype("<u4").tobytes(), counts[used].astype("<i8").tobytes())
 
     return run
 
 
-def _counts(size: int):
-    def run(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+def _counts(batches):
+    for batch in batches:
+        for used, counts in zip(batch.column(0), batch.column(1)):
+            ids, n = np.frombuffer(used.as_buffer(), dtype="<u4"), np.frombuffer(counts.as_buffer(), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n)], ["id", "n"])
 
-    return run
 
-
-def _coded(lengths: bytes, limit: int):
+def _coded(lengths: bytes, limit: int, kind: str):
     def run(batches):
         code = Code(np.frombuffer(lengths, dtype=np.uint8), limit)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                bits, checkpoints = code.encode(np.frombuffer(row.column(5)[0].as_buffer(), dtype="<u4"))
+                bits, checkpoints = code.encode(np.frombuffer(row.column(5)[0].as_buffer(), dtype=kind))
                 yield pa.RecordBatch.from_arrays(
                     [*row.columns[:5], pa.array([bits], pa.binary()), pa.array([checkpoints], pa.binary())],
                     ["part", "block", "tokens_before", "doc_ids", "n_tokens", "bits", "checkpoints"],
@@ -168,20 +175,23 @@ def write_token_file(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
     """Writes the ids of all texts, each with ``end_id`` behind it, in ascending order of doc_id.
 
     A null text is empty. A null doc_id comes first. Rows that repeat a doc_id follow each other.
-    An empty table gives a file with no blocks. Other columns are not read.
+    A very long text is a block of its own. An empty table gives a file with no blocks. Other columns
+    are not read.
     """
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    raw = stage(ordered.mapInArrow(_blocks(tokenizer, end_id), RAW), "ids")
     size = max(encoder(tokenizer).vocabulary, end_id + 1)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    raw = stage(ordered.mapInArrow(_blocks(tokenizer, end_id, size), RAW), "ids")
     counts = np.zeros(size, dtype=np.int64)
     # one row for each id of the vocabulary at most
-    for row in raw.select("ids").mapInArrow(_counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in raw.filter("counts is not null").select("used", "counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     limit = max(16, int(size - 1).bit_length() + 1)
     lengths = code_lengths(counts, limit).tobytes()
     spark.createDataFrame([(limit, bytearray(lengths))], "limit int, lengths binary").write.parquet(f"{folder}/codebook")
-    raw.mapInArrow(_coded(lengths, limit), CODED).write.option("compression", "none").parquet(f"{folder}/blocks")
+    blocks = raw.filter("block is not null").drop("used", "counts")
+    blocks.mapInArrow(_coded(lengths, limit, _kind(size)), CODED).write.option("compression", "none").parquet(f"{folder}/blocks")
+    unstage(raw)
 
 
 def _decoded(lengths: bytes, limit: int):
@@ -221,5 +231,3 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     folder = new_path(docs.sparkSession, "tokens")
     write_token_file(docs, tokenizer, folder, end_id)
     return read_token_file(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
