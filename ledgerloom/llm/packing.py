@@ -12,14 +12,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import running_total, stage
 from .tokens import encoder, slices
 
-SALTS = 64
-
 
 class Plan:
     """Runs of equal places: for pieces of a length from a rank on, ``each`` pieces go to every one of
@@ -163,14 +161,15 @@ def _pieces(path: str, end_id: int, capacity: int):
     return run
 
 
-def _placed(keys: np.ndarray, runs: np.ndarray, bases: np.ndarray):
-    """keys: length << 40 | rank at which each run begins, ascending."""
+def _placed(keys: np.ndarray, runs: np.ndarray, starts: np.ndarray):
+    """keys: length << 40 | rank at which each run begins, ascending; starts: pieces that are shorter
+    than each length."""
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            length, salt, rank = (batch.column(names.index(x)).to_numpy() for x in ("length", "_salt", "_rank"))
-            rank = rank.astype(np.int64) + bases[length, salt]
+            length, rank = (batch.column(names.index(x)).to_numpy() for x in ("length", "_before"))
+            rank = rank - starts[length]
             at = np.searchsorted(keys, (length << 40) | rank, side="right") - 1
             _, begin, each, _, first, offset = runs[at].T
             i = rank - begin
@@ -186,19 +185,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut into pieces of that
-    length, of which the last may be shorter. A null text is empty, so its piece is the end id. Rows
-    that repeat a doc_id, null or not, are packed each. An empty table gives no pieces. Other columns
-    are not read.
+    length, of which the last may be shorter, however long it is. A null text is empty, so its piece is
+    the end id. Rows that repeat a doc_id, null or not, are packed each; pieces of one length take their
+    places in the order of doc_id, piece and ids. An empty table gives no pieces. Other columns are not
+    read.
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, capacity), f"doc_id {doc_id}, piece int, start long, length long, ids_crc32 long")
-    pieces = stage(pieces, "pieces").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    # capacity times SALTS rows at most
-    for row in pieces.groupBy("length", "_salt").count().collect():
-        counts[row["length"], row["_salt"]] = row["count"]
-    plan = Plan(counts.sum(axis=1), capacity)
+    pieces = stage(pieces, "pieces")
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    # capacity rows at most
+    for row in pieces.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    plan = Plan(counts, capacity)
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 6)
-    bases = np.cumsum(counts, axis=1) - counts
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-    return ranked.mapInArrow(_placed((runs[:, 0] << 40) | runs[:, 1], runs, bases), f"doc_id {doc_id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # ranks count over ranges of pieces by length and id, so a length that most pieces have is dealt out too
+    ranked = running_total(pieces.withColumn("_one", F.lit(1)), ["length", "doc_id", "piece", "ids_crc32"], "_one", "_before")
+    return ranked.mapInArrow(_placed((runs[:, 0] << 40) | runs[:, 1], runs, np.cumsum(counts) - counts), f"doc_id {doc_id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
