@@ -317,8 +317,28 @@ def test_mixing_meets_targets(spark, texts):
     assert again == {r.doc_id: r.taken for r in rows}
     out = mixed(documents(spark, texts))
     assert out.columns == DOCS.replace(",", "").split()[::2] and out.count() == sum(len(r.takes) for r in rows)
-    assert mix_plan(documents(spark, [])).count() == 0
-    assert mix_plan(documents(spark, [None, ""], [None, None])).count() == 2
+    assert mix_plan(documents(spark, [])).collect() == []
+    assert [(r.size, r.target, r.taken) for r in mix_plan(documents(spark, [None, ""], [None, None])).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_mixing_of_a_source_without_words(spark):
+    rows = [(1, None, "empty"), (2, "", "empty"), (3, "a b c", "full"), (4, "d e", None)]
+    got = {r.doc_id: r for r in mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].target == got[2].target == 0 and got[1].taken == 0 and got[1].takes == []
+    assert got[3].taken + got[4].taken == pytest.approx(7.5, abs=1)
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Each row has its own takes, and its place doesn't depend on the order of the input."""
+    rows = [(1, "a b c d", "s", 1, 0.5), (1, "a b c d", "s", 2, 0.5), (1, "e f", "s", 3, 0.5), (None, "g h", None, 4, 0.5), (None, "g h", None, 5, 0.5), (7, " ".join("w" * 30_000), "s", 6, 0.5)]
+    schema = "doc_id long, text string, source string, size int, _position double"
+    plans = [sorted(map(repr, mix_plan(spark.createDataFrame(r, schema).repartition(3)).collect())) for r in (rows, rows[::-1])]
+    assert plans[0] == plans[1]
+    want = sum(len(r.takes) for r in mix_plan(spark.createDataFrame(rows, schema)).collect())
+    out = mixed(spark.createDataFrame(rows, schema))
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "source", "size", "_position"] and len(got) == want
+    assert max(collections.Counter(got).values()) <= 2
 
 
 def test_packing_places_every_piece(spark, texts):
