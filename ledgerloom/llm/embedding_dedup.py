@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashlib import blake2b
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ def _prepared(batches):
             x = None
             if vec_id is not None and vector.is_valid and not vector.values.null_count and len(vector.values):
                 x = vector.values.to_numpy(zero_copy_only=False).astype("<f8")
-                if not np.isfinite(x).all() or not 0 < np.sqrt((x * x).sum()) < np.inf:
+                if not np.isfinite(x).all() or not x.any():
                     x = None
             raw = None if x is None else x.tobytes()
             digests.append(None if raw is None else blake2b(raw, digest_size=16).digest())
@@ -163,16 +164,33 @@ def _roots(reps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = 16, projections: int = 10, width: float = 2.0, seed: int = 11) -> DataFrame:
+def together(distance: float, width: float) -> float:
+    """The chance that two vectors so far apart share a cell of a random projection."""
+    x = width / distance
+    return erf(x / sqrt(2)) - sqrt(2 / pi) / x * (1 - exp(-x * x / 2))
+
+
+def shape(n: int, cosine: float, width: float, recall: float) -> tuple[int, int]:
+    """Tables and projections for n classes: as many projections as keep the chance partners of a
+    vector in a bucket few whatever n is, and as many tables as find a pair at the threshold with
+    the probability ``recall``. Both grow with n, so candidates grow as n to the power of about 1.3."""
+    near, far = together(sqrt(2 - 2 * cosine), width), together(sqrt(2), width)
+    projections = 10 + max(0, ceil(log(max(n, 1) / 50_000) / -log(far)))
+    return ceil(log(1 - recall) / log(1 - near**projections)), projections
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, recall: float = 0.91, seed: int = 11) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one class. Each class's unit vector is cut into cells of ``width`` along
-    ``projections`` random directions in each of ``tables`` tables; classes that share all cells of a
-    table are compared by their exact cosine. A bucket of more than BLOCK classes is dealt out as
+    Equal vectors are one class. Each class's unit vector is cut into cells of ``width`` along random
+    directions in each of several tables (see ``shape``); classes that share all cells of a table are
+    compared by their exact cosine. A pair at ``cosine`` meets with the probability ``recall``, a nearer
+    one with a higher. A bucket of more than BLOCK classes is dealt out as
     pairs of blocks, so no task holds a bucket; pairs are counted where they meet and not written.
 
     A vector that is null, empty or zero, or has a null or non-finite component, or no vec_id, links
-    with nothing and is kept. Vectors of different length don't link. Rows that repeat a vec_id are
+    with nothing and is kept. Any other vector counts, however large or small its components are.
+    Vectors of different length don't link. Rows that repeat a vec_id are
     forms of one vector: they share its component, and links to any count for it. An empty table
     gives an empty result. Other columns are not read.
     """
@@ -180,6 +198,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = 16, proj
     rows = stage(vectors.mapInArrow(_prepared, "vec_id long, digest binary, raw binary"), "vectors")
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes = stage(classes, "classes")
+    tables, projections = shape(classes.count(), cosine, width, recall)
     signed = stage(classes.mapInArrow(_signatures(tables, projections, width, seed), "table int, key long, rep long, copies long, raw binary, keys binary"), "signatures")
     sizes = signed.groupBy("table", "key").count().filter("count > 1").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     met = signed.join(sizes, ["table", "key"]).withColumn("blk", F.pmod(F.xxhash64("rep", "raw"), F.col("n")).cast("int"))
