@@ -3,8 +3,8 @@
 A message's lines are parsed into quote levels (the leading ``>`` marks). A run of lines of one level
 is a passage. Quoted passages are normalised and hashed, and joined to the messages of the same
 conversation that wrote the same passage, line or whole text themselves; a quote of several lines also
-to those that wrote these lines one after the other. The earliest such message before the quoting one is what it answers; a message that quotes nothing known answers the turn
-before it.
+to those that wrote these lines one after the other. The earliest such message before the quoting one
+is what it answers; a message that quotes nothing known answers the turn before it.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     conversation; ``depth`` is the number of messages above it. Messages in (conv_id, turn, copy)
     order are in reply order, as an answer always comes later than what it answers.
 
-    A null text is empty. Null conv_ids form one conversation, null turns come first as turn -1, and
-    a null role stays null. Rows that repeat a turn are numbered by ``copy`` in the order of role and
+    A null text is empty. Null conv_ids form one conversation of their own, null turns come first in
+    theirs, and all nulls stay null; an answer to a null turn has a null ``answers_turn`` and a depth.
+    A very long text is split into its lines like any other. Rows that repeat a turn are numbered by ``copy`` in the order of role and
     text; all of them count as that turn. Empty quotes link with nothing. An empty table gives an
     empty result; other columns are not read.
     """
-    clean = messages.select(F.coalesce("conv_id", F.lit(-1)).cast("long").alias("conv_id"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), "role", "text")
+    # a null is a key like any other, and the first
+    key = lambda c: F.struct(F.col(c).isNotNull().alias("known"), F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("id")).alias(c)
+    value = lambda c: F.when(F.col(f"{c}.known"), F.col(f"{c}.id")).alias(c)
+    clean = messages.select(key("conv_id"), key("turn"), "role", "text")
     repeats = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     clean = stage(clean.withColumn("copy", F.row_number().over(repeats) - 1), "messages")
     runs = stage(passages(clean), "passages")
@@ -120,7 +124,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     )
     joined = stage(joined, "replies")
     depths = reply_depths(joined.groupBy("conv_id", "turn").agg(F.min("answers_turn").alias("up")))
-    return joined.join(depths, ["conv_id", "turn"])
+    answered = joined.join(depths, ["conv_id", "turn"])
+    return answered.select(value("conv_id"), value("turn"), "copy", "role", value("answers_turn"), "n_quotes", "n_linked", "text", "depth")
 
 
 def reply_depths(links: DataFrame) -> DataFrame:
