@@ -72,7 +72,21 @@ class DigestIndex:
         )
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, table: str) -> DataFrame:
-    """The rows of ``docs`` that an index keeps, with all their columns."""
-    kept = DigestIndex(spark, table).add(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def against_new_index(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What ``DigestIndex.add`` says of one batch against an empty index, whose table goes afterwards."""
+    table = f"digests_{uuid.uuid4().hex}"
+    try:
+        return stage(DigestIndex(spark, table).add(docs).drop("known"), "kept")
+    finally:
+        spark.sql(f"drop table if exists {table}")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Of rows with equal texts those with the largest doc_id, with all their columns.
+
+    Null and empty texts are equal. A null doc_id stays only where no other has its text; repeated rows
+    with the doc_id that stays all stay. An empty table gives an empty result.
+    """
+    kept = against_new_index(spark, docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text_digest(docs["text"]) == kept["_digest"])
+    return docs.join(kept, same, "left_semi")

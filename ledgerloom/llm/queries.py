@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
-from .exact_dedup import DigestIndex
+from .exact_dedup import against_new_index
 from .jaccard_join import near_texts
 from .language_id import identify
 from .mixing import mix_plan
@@ -43,8 +41,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents")).drop("known")
+    return against_new_index(spark, table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +88,8 @@ QUERIES = {
 ORACLES = {
     "op2_chat_formatting": r"""
         with recursive m as (
-            select coalesce(conv_id, -1) as conv_id, coalesce(turn, -1) as turn, role, text,
-                   row_number() over (partition by coalesce(conv_id, -1), coalesce(turn, -1) order by role nulls first, text nulls first)::int - 1 as copy
+            select {'known': conv_id is not null, 'id': coalesce(conv_id, 0)::bigint} as conv_id, {'known': turn is not null, 'id': coalesce(turn, 0)::bigint} as turn,
+                   role, text, row_number() over (partition by conv_id, turn order by role nulls first, text nulls first)::int - 1 as copy
             from conversations),
         l as (
             select conv_id, turn, copy, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as n, unnest(string_split(coalesce(text, ''), chr(10))) as line from m),
@@ -128,7 +125,8 @@ ORACLES = {
         d as (
             select conv_id, turn, 0::bigint as depth from u where up is null
             union all select u.conv_id, u.turn, d.depth + 1 from d join u on u.conv_id = d.conv_id and u.up = d.turn)
-        select j.*, d.depth, '<|' || coalesce(j.role, 'unknown') || '|>' || chr(10) || j.text || chr(10) as formatted
+        select case when j.conv_id.known then j.conv_id.id end as conv_id, case when j.turn.known then j.turn.id end as turn, j.copy, j.role,
+               case when j.answers_turn.known then j.answers_turn.id end as answers_turn, j.n_quotes, j.n_linked, j.text, d.depth, '<|' || coalesce(j.role, 'unknown') || '|>' || chr(10) || j.text || chr(10) as formatted
         from j join d on d.conv_id = j.conv_id and d.turn = j.turn""",
     "op4_exact_dedup": """
         with d as (

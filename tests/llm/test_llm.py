@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import language_id, packing, repeats, token_files, toxicity
+from ledgerloom.llm import embedding_dedup, language_id, packing, repeats, token_files, toxicity
 from ledgerloom.llm.embedding_dedup import near_vectors
 from ledgerloom.llm.exact_dedup import DigestIndex
 from ledgerloom.llm.graph import components
@@ -116,10 +116,25 @@ def test_quotations(spark):
     assert got[1, 1].answers_turn == 0 and got[1, 1].text == "Indeed" and got[1, 1].n_linked == 1
     assert got[1, 2].answers_turn == 1 and got[1, 2].n_quotes == 2 and got[1, 2].n_linked == 2 and got[1, 2].text == "On it:\nfine"
     assert got[1, 3].answers_turn == 2 and got[1, 3].n_linked == 0 and got[1, 3].text == "" and got[1, 3].depth == 3
-    assert got[2, 0].text == "" and got[-1, -1].depth == 0 and "<|user|>" in got[-1, -1].formatted
+    assert got[2, 0].text == "" and got[None, None].depth == 0 and "<|user|>" in got[None, None].formatted
     assert link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotations_with_nulls_repeats_and_clashing_columns(spark):
+    long = "\n".join(f"line {k} of a very long text" for k in range(5_000))
+    rows = [
+        (-1, -1, "user", "minus one", 1, 1), (-1, None, "user", "no turn", 1, 1), (None, -1, "user", "no conversation", 1, 1),
+        (None, 4, "bot", "> no turn\nx", 1, 1), (-1, 4, "bot", "> no turn\nx", 1, 1), (-1, 4, "bot", "> no turn\nx", 1, 1),
+        (5, 0, "user", long, 1, 1), (5, 1, "bot", "> line 4999 of a very long text\ny", 1, 1), (5, 2, "bot", "z", 1, 1),
+    ]
+    got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copy int, depth int")).collect()
+    found = {(r.conv_id, r.turn, r.copy): (r.answers_turn, r.n_linked, r.depth) for r in got}
+    assert found == {
+        (-1, None, 0): (None, 0, 0), (-1, -1, 0): (None, 0, 1), (-1, 4, 0): (None, 1, 1), (-1, 4, 1): (None, 1, 1),
+        (None, -1, 0): (None, 0, 0), (None, 4, 0): (-1, 0, 1), (5, 0, 0): (None, 0, 0), (5, 1, 0): (0, 1, 1), (5, 2, 0): (1, 0, 2),
+    }
+
+
 def test_quotations_of_several_lines_of_a_longer_message(spark):
     rows = [
         (1, 0, "user", "L1\nL2\n\nL3\nL4"),
@@ -263,6 +278,22 @@ def test_vectors_recall_and_odd_input(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_scale_and_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [-1.0, 2.0]), (5, [1e308, -1e308]), (5, [5e-324, 1e-323]), (6, [1e308, -1e308])]
+    table = spark.createDataFrame([(*r, 1, 1) for r in rows], "vec_id long, embedding array<double>, rep int, links int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in near_vectors(table).collect()]
+    assert {x for x in got if x[0] < 4} == {(i, 4, 0) for i in range(4)} and (4, 0, 4) in got
+    assert {x[2] for x in got if x[0] in (5, 6)} == {0, 5} or {x[2] for x in got if x[0] in (5, 6)} == {0}
+
+
+def test_vector_tables_grow_with_the_number_of_vectors():
+    shapes = [embedding_dedup.shape(n, 0.9, 2.0, 0.91) for n in (0, 1_000, 50_000, 10**6, 10**9)]
+    assert shapes[:3] == [(16, 10)] * 3
+    near, far = (embedding_dedup.together(d, 2.0) for d in (0.2**0.5, 2**0.5))
+    for n, (tables, projections) in zip((10**6, 10**9), shapes[3:]):
+        assert 1 - (1 - near**projections) ** tables >= 0.91 and n * far**projections <= 50_000 * far**10
+
+
 def test_code_lengths_are_limited_and_complete():
     for counts in ([5], [1, 1], [1 << k for k in range(30)], [0, 3, 0, 1, 1, 9]):
         lengths = token_files.code_lengths(np.array(counts), 16).astype(int)
@@ -414,17 +445,56 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and kept.count() == 121
 
 
-def test_cross_parsing_counts_longest_matches():
-    training, text = "abracadabra banana", "abrabanana cadab"
-    parser = language_id.Parser({"x": training})
+def phrases_of(training, text):
+    """Phrases by trying every length."""
     phrases, i = 0, 0
     while i < len(text):
         n = 1
         while i + n < len(text) and text[i : i + n + 1] in training:
             n += 1
         phrases, i = phrases + 1, i + n
-    bits, _ = parser.parse([text])
-    assert bits[0, 0] == pytest.approx(phrases * np.log2(len(training) + 1) / len(text))
+    return phrases
+
+
+def test_cross_parsing_counts_longest_matches():
+    rng = random.Random(10)
+    training = {"x": ["abracadabra banana", "cab"], "y": [" ".join("".join(rng.choice("abcn") for _ in range(9)) for _ in range(60))]}
+    parser = language_id.Parser(training)
+    texts = ["abrabanana cadab", "", "q", "a", "a" * 511, "ab" * 256, ("abracadabra banana cab " * 200).strip()]
+    texts += ["".join(rng.choice("abcn ") for _ in range(n)).strip() for n in (512, 513, 1024, 3000, 5000)]
+    texts = [" ".join(t.split()) for t in texts]
+    bits, _ = parser.parse(texts)
+    for k, (lang, found) in enumerate(training.items()):
+        whole = " ".join(found)
+        want = [phrases_of(whole, t) * np.log2(len(whole) + 1) / max(len(t), 1) for t in texts]
+        assert bits[:, k] == pytest.approx(want)
+    assert parser.languages == ["x", "y"]
+
+
+def test_automaton_of_many_letters_stays_small():
+    codes = [int(x) for x in np.random.default_rng(4).integers(0, 5000, size=4000)]
+    automaton = language_id.Automaton(codes, 5001)
+    assert len(automaton.next) < 60_000
+    state = np.zeros(1, dtype=np.int32)
+    begun = []
+    for c in codes:
+        state, new = automaton.step(state, np.array([c]))
+        begun.append(bool(new[0]))
+    assert begun == [True] + [False] * (len(codes) - 1)
+
+
+def test_language_id_reads_whole_texts(spark):
+    """Languages that differ behind the first 2,100 letters only, and repeated and clashing rows."""
+    rng = random.Random(12)
+    same = " ".join(rng.choice(["ka", "lo", "mi"]) for _ in range(720))
+    tail = {"aa": "schung ", "bb": "nienten "}
+    rows = [(i, same + " " + tail[lang] * 60, lang, 1.0, True) for i, lang in enumerate(["aa", "bb"] * 20)]
+    rows += [(100, tail["aa"] * 30, None, 1.0, True), (100, tail["bb"] * 30, None, 1.0, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean")
+    got = [(r.doc_id, r.lang_pred) for r in language_id.identify(docs).collect()]
+    assert sorted(got) == sorted((i, "aa" if tail["aa"] in t else "bb") for i, t, *_ in rows)
+    kept = language_id.in_some_language(docs, ["bb"])
+    assert {r.lang or "" for r in kept.collect()} == {"bb", ""} and kept.count() == 21
 
 
 def test_pipeline_stages_keep_columns(spark, texts, tmp_path):
