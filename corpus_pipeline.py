@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.exact_dedup import drop_copies
@@ -15,14 +13,18 @@ from ledgerloom.llm.queries import tokenizer_file
 from ledgerloom.llm.shared import stage
 
 
+#: The languages that the corpus is to hold.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no text or no letter go; those of any known language stay."""
-    return in_some_language(docs)
+    """Documents stay whose language, as predicted, is wanted; those with no letter have none."""
+    return in_some_language(docs, LANGUAGES)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    return drop_copies(spark, docs, f"digests_{uuid.uuid4().hex}")
+    return drop_copies(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
