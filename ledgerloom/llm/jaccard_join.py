@@ -134,14 +134,12 @@ def _tokens(batches):
         ends = np.cumsum([len(p.as_buffer()) // 8 for p in prefix])
         cuts = [0, *(np.flatnonzero(np.diff(ends // POSTINGS)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
+            part = batch.select(names).slice(a, b - a)
             prefixes = [np.frombuffer(p, dtype="<i8") for p in prefix.slice(a, b - a).to_pylist()]
             sizes = [len(p) for p in prefixes]
+            # without the prefixes, which would be copied once for each of their postings
             rest = part.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(prefixes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), *(rest.column(rest.schema.names.index(n)) for n in names)],
-                ["token", "pos", *names],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), *rest.columns], ["token", "pos", *names])
 
 
 def _set_of(width: int):
