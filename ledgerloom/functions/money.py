@@ -17,8 +17,7 @@ def _col(x) -> Column:
 
 def div(n, d) -> Column:
     """``n div d``, truncating toward zero, as a long."""
-    n, d = _col(n), _col(d)
-    return ((n.cast(WIDE) - n.cast(WIDE) % d.cast(WIDE)) / d.cast(WIDE)).cast("long")
+    return F.call_function("div", _col(n), _col(d))
 
 
 def div_round(n, d) -> Column:

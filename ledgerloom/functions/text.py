@@ -123,5 +123,9 @@ def tax_id(text) -> Column:
 
 
 def amount_marker(text) -> Column:
-    """CR or DB behind an amount, else null."""
-    return F.nullif(F.upper(F.regexp_extract(_col(text), r"(?i)\b(CR|DB)\.?\s*$", 1)), F.lit(""))
+    """DB or CR as an amount's text states it behind its digits, in whatever form; a minus behind it is
+    DB. Null where it states none or has no digit."""
+    t = F.trim(_col(text))
+    # The forms of the marker.
+    word = F.upper(F.regexp_extract(t, r"(?i)\d[^A-Za-z]*\b?(CR|DB|DR|D|C|K)\.?$", 1))
+    return F.when(word.isin("DB", "DR", "D"), "DB").when(word != "", "CR").when(t.rlike(r"^[\d.,\s]*\d[\d.,\s]*-$"), "DB")

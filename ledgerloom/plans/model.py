@@ -36,7 +36,7 @@ CHART = [
 ]
 # Rates of USD in IDR by date and kind.
 RATES = [
-    ("1995-12-31", "SPOT", 2308), ("1996-06-30", "SPOT", 2342), ("1996-12-31", "SPOT", 2383), ("1996-12-31", "AVERAGE", 2349),
+    ("1991-12-31", "SPOT", 1992), ("1992-01-31", "SPOT", 2000), ("1995-12-31", "SPOT", 2308), ("1996-06-30", "SPOT", 2342), ("1996-12-31", "SPOT", 2383), ("1996-12-31", "AVERAGE", 2349),
     ("1997-06-30", "SPOT", 2450), ("1997-12-31", "SPOT", 4650), ("1997-12-31", "AVERAGE", 2951),
     ("1998-06-30", "SPOT", 14900), ("1998-12-31", "SPOT", 8025), ("1998-12-31", "AVERAGE", 10014),
     ("1999-12-31", "SPOT", 7085), ("1999-12-31", "AVERAGE", 7855), ("2000-12-31", "SPOT", 9595), ("2000-12-31", "AVERAGE", 8422),
@@ -108,17 +108,19 @@ class Books:
         )
         return lines.withColumn("tax", div(F.col("net") * F.col("_tax") * 2 + 100, 200)).withColumn("cost", div(F.col("net") * 6, 10)).drop("_tax")
 
-    def journal_line(self) -> DataFrame:
+    def journal_line(self, accounts: tuple[str, ...] | None = None) -> DataFrame:
         """entry_id, entry_kind, client_id, entity_id, day, month, account, debit, credit, contact_id.
 
-        Legs that are zero are left out, so exactly one side of a line is set.
+        Legs that are zero are left out, so exactly one side of a line is set. Of ``accounts`` alone if
+        given; other legs are then never built.
         """
         heads = self.order().select("order_id", "contact_id", "entity_id", "client_id")
         by_day = self.sale().groupBy("order_id", "ship_day").agg(
             F.sum("net").alias("net"), F.sum("tax").alias("tax"), F.sum("cost").alias("cost"), F.sum(F.when(F.col("returned"), F.col("net")).otherwise(0)).alias("returned")
         )
         sales = by_day.join(heads, "order_id").withColumn("day", F.col("ship_day"))
-        sales = legs(
+        part = lambda *args: legs(*args, accounts)
+        sales = part(
             sales,
             F.concat(F.lit("S"), F.col("order_id"), F.lit("-"), F.col("ship_day")),
             "INVOICE",
@@ -135,13 +137,13 @@ class Books:
         )
         orders = self.order()
         paid = F.when(F.col("status") == "F", F.col("total")).when(F.col("status") == "P", div("total", 2)).otherwise(0)
-        cash = legs(orders, F.concat(F.lit("C"), F.col("order_id")), "BANK", [("1100", paid), ("1130", -paid)])
+        cash = part(orders, F.concat(F.lit("C"), F.col("order_id")), "BANK", [("1100", paid), ("1130", -paid)])
         stock = div("total", 2)
-        bought = legs(orders, F.concat(F.lit("P"), F.col("order_id")), "MANUAL", [("1200", stock), ("1100", -div("total", 4)), ("2100", -(stock - div("total", 4)))])
-        urgent = orders.filter("priority = '1'").join(F.broadcast(self.entity().select("entity_id", "partner_id")), "entity_id")
-        sent = legs(urgent, F.concat(F.lit("T"), F.col("order_id")), "BANK", [("1190", div("total", 10)), ("1100", -div("total", 10))])
+        bought = part(orders, F.concat(F.lit("P"), F.col("order_id")), "MANUAL", [("1200", stock), ("1100", -div("total", 4)), ("2100", -(stock - div("total", 4)))])
+        urgent = orders.filter("priority = '1'").join(self.entity().select("entity_id", "partner_id"), "entity_id")
+        sent = part(urgent, F.concat(F.lit("T"), F.col("order_id")), "BANK", [("1190", div("total", 10)), ("1100", -div("total", 10))])
         partner = urgent.drop("entity_id").withColumnRenamed("partner_id", "entity_id")
-        got = legs(partner, F.concat(F.lit("U"), F.col("order_id")), "BANK", [("1100", div("total", 10)), ("1190", -div("total", 10))])
+        got = part(partner, F.concat(F.lit("U"), F.col("order_id")), "BANK", [("1100", div("total", 10)), ("1190", -div("total", 10))])
         return sales.unionByName(cash).unionByName(bought).unionByName(sent).unionByName(got)
 
     def invoice(self) -> DataFrame:
@@ -160,9 +162,11 @@ class Books:
         """line_id, bank_account, entity_id, client_id, day, amount (signed), description, k."""
         out = F.col("event_type").isin("purchase", "error")
         value = cents("value")
+        # own transfers, lines that name no one, and payments of others
+        suffix = F.when(F.col("k") % 3 == 0, " REKENING SENDIRI").when(F.col("k") % 3 == 1, "").otherwise(F.concat(F.lit(" PT "), F.upper("event_type"), F.lit(" JAYA")))
         word = F.when(F.col("event_type") == "purchase", "PAYMENT").when(F.col("event_type") == "error", "TRSF E-BANKING DB").when(F.col("event_type") == "click", "TRANSFER CR").otherwise("SETORAN")
         k = F.get_json_object("props", "$.k").cast("int")
-        return self.read("events").select(
+        return self.read("events").withColumn("k", k).select(
             F.col("event_id").alias("line_id"),
             (F.col("user_id") % 12).cast("int").alias("bank_account"),
             (F.col("user_id") % 4 * 5).cast("int").alias("entity_id"),
@@ -170,14 +174,16 @@ class Books:
             F.to_date("ts").alias("day"),
             "ts",
             F.when(out, -value).otherwise(value).alias("amount"),
-            F.concat(word, F.lit(" "), F.lpad(k.cast("string"), 4, "0"), F.lit("/FTSCY/WS"), (F.col("user_id") % 90 + 10).cast("string"), F.lit(" PT "), F.upper("event_type"), F.lit(" JAYA")).alias("description"),
-            k.alias("k"),
+            F.concat(word, F.lit(" "), F.lpad(F.col("k").cast("string"), 4, "0"), F.lit("-"), (F.col("user_id") % 90 + 10).cast("string"), suffix).alias("description"),
+            "k",
         )
 
 
-def legs(df: DataFrame, entry_id, kind: str, amounts: list) -> DataFrame:
+def legs(df: DataFrame, entry_id, kind: str, amounts: list, accounts: tuple[str, ...] | None = None) -> DataFrame:
     """An entry's lines from signed amounts by account: positive is a debit."""
-    array = F.array(*[F.struct(F.lit(a).alias("account"), v.cast("long").alias("amount")) for a, v in amounts])
+    some = [(a, v) for a, v in amounts if accounts is None or a in accounts]
+    df = df if some else df.limit(0)
+    array = F.array(*[F.struct(F.lit(a).alias("account"), v.cast("long").alias("amount")) for a, v in some or amounts])
     rows = df.select(entry_id.alias("entry_id"), "client_id", "entity_id", "day", "contact_id", F.explode(array).alias("leg"))
     amount = F.col("leg.amount")
     return rows.filter(amount != 0).select(

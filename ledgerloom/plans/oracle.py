@@ -62,7 +62,8 @@ VIEWS = {
         select event_id as line_id, (user_id % 12)::int as bank_account, (user_id % 4 * 5)::int as entity_id, 0 as client_id, ts::date as day, ts,
                case when event_type in ('purchase', 'error') then -1 else 1 end * round(value * 100)::bigint as amount,
                case event_type when 'purchase' then 'PAYMENT' when 'error' then 'TRSF E-BANKING DB' when 'click' then 'TRANSFER CR' else 'SETORAN' end
-                   || ' ' || lpad(json_extract_string(props, '$.k'), 4, '0') || '/FTSCY/WS' || (user_id % 90 + 10) || ' PT ' || upper(event_type) || ' JAYA' as description,
+                   || ' ' || lpad(json_extract_string(props, '$.k'), 4, '0') || '-' || (user_id % 90 + 10)
+                   || case json_extract_string(props, '$.k')::int % 3 when 0 then ' REKENING SENDIRI' when 1 then '' else ' PT ' || upper(event_type) || ' JAYA' end as description,
                json_extract_string(props, '$.k')::int as k
         from events""",
     "tb": """

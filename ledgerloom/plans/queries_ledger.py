@@ -3,6 +3,7 @@
 from ..operators import currency as fx
 from ..operators import ledger as gl
 from .catalog import register
+from .model import CHART
 from .oracle import with_views
 
 AS_OF = "1998-06-30"
@@ -184,7 +185,7 @@ def a17(b):
     ),
 )
 def a19(b):
-    return gl.account_ledger(b.journal_line(), "1190", YEAR, AS_OF)
+    return gl.account_ledger(b.journal_line(("1190",)), "1190", YEAR, AS_OF)
 
 
 @register("a20_tax_month", with_views("journal", "select client_id, account, sum(debit)::bigint as debit, sum(credit)::bigint as credit from journal where account in ('2130', '8100') and year(day) = 1998 and month(day) = 6 group by all"))
@@ -255,13 +256,25 @@ def a36(b):
     return gl.flux(b.journal_line(), b.chart(), "1998-06-01")
 
 
+RATES_OF = """h as (
+        select j.entity_id, last_day(min(day)) as first, coalesce(bool_or(type in ('INCOME', 'EXPENSE') and year(day) = {year} and day <= date '{as_of}'), false) as busy
+        from journal j join entity e on e.entity_id = j.entity_id join chart a on a.account = j.account where currency <> 'IDR' group by 1),
+    g as (
+        select entity_id, busy, (select max_by(rate, rate_date) from rates where kind = 'SPOT' and rate_date between date_trunc('month', date '{as_of}') and date '{as_of}') as closing,
+               (select min_by(rate, rate_date) from rates where kind = 'AVERAGE' and rate_date >= date '{as_of}' and year(rate_date) = {year}) as mean,
+               (select max_by(rate, rate_date) from rates where kind = 'SPOT' and rate_date between date_trunc('month', h.first) and h.first) as historical
+        from h),
+    er as (select entity_id, closing, case when mean is null and not busy then closing else mean end as average, historical, busy from g)"""
+
+
 @register(
     "a10_translated_trial_balance",
     with_views(
         "tbe entity rates",
-        """with f as (
-            select t.client_id, t.entity_id, account, net * case when type in ('ASSET', 'LIABILITY') then 14900 when type = 'EQUITY' then 2308 else 10014 end as net
-            from tbe t join entity e on e.entity_id = t.entity_id where currency <> 'IDR')
+        f"""with {RATES_OF},
+        f as (
+            select t.client_id, t.entity_id, account, net * case when type in ('ASSET', 'LIABILITY') then closing when type = 'EQUITY' then historical else coalesce(average, 0) end as net
+            from tbe t join er on er.entity_id = t.entity_id where closing is not null and historical is not null and (average is not null or not busy))
         select client_id, entity_id, account, sum(net)::bigint as net from (select * from f union all select client_id, entity_id, '3900', -sum(net) from f group by 1, 2) group by all""",
     ),
 )
@@ -269,17 +282,32 @@ def a10(b):
     return fx.translated_trial_balance(b.journal_line(), b.chart(), b.entity(), b.rates(), AS_OF)
 
 
+@register(
+    "a11_entity_rates",
+    with_views(
+        "journal entity chart rates",
+        f"""with {RATES_OF}
+        select entity_id, closing, average, historical,
+               concat_ws(',', case when closing is null then 'CLOSING' end, case when average is null and busy then 'AVERAGE' end, case when historical is null then 'HISTORICAL' end) as missing
+        from er""",
+        "1997-05-31",
+    ),
+)
+def a11(b):
+    return fx.entity_rates(b.journal_line(), b.chart(), b.entity(), b.rates(), "1997-05-31")
+
+
 @register(
     "a44_revaluation",
     with_views(
         "journal entity chart rates",
-        """select entity_id, account, sum(n)::bigint as balance, sum(n * coalesce(spot, 2308))::bigint as carried, (sum(n) * 14900 - sum(n * coalesce(spot, 2308)))::bigint as difference from (
-        select j.entity_id, j.account, j.debit - j.credit as n, (select max_by(rate, rate_date) from rates r where r.kind = 'SPOT' and r.rate_date <= j.day) as spot
+        """select entity_id, account, sum(n)::bigint as balance, sum(n * spot)::bigint as carried, (sum(n) * 14900 - sum(n * spot))::bigint as difference, count(distinct day) filter (spot is null) as missing from (
+        select j.entity_id, j.account, j.day, j.debit - j.credit as n, (select max_by(rate, rate_date) from rates r where r.kind = 'SPOT' and r.rate_date <= j.day) as spot
         from journal j join entity e on e.entity_id = j.entity_id join chart a on a.account = j.account where e.currency <> 'IDR' and a.kind = 'MONETARY' and j.day <= date '{as_of}') group by all""",
     ),
 )
 def a44(b):
-    return fx.revaluation(b.journal_line(), b.chart(), b.entity(), b.rates(), AS_OF)
+    return fx.revaluation(b.journal_line(tuple(a for a, *_, kind in CHART if kind == "MONETARY")), b.chart(), b.entity(), b.rates(), AS_OF)
 
 
 @register(

@@ -14,8 +14,16 @@ from .oracle import with_views
 
 HINT = "regexp_matches(upper(description), 'TRSF|\\bTRF\\b|TRANSFER|PINDAH ?BUKU|PEMINDAHAN|OVERBOOK|SETOR TUNAI|TARIK TUNAI')"
 BDAYS = "(select count(*) from (select unnest(generate_series(least({a}, {b}) + 1, greatest({a}, {b}), interval 1 day)) as x) where isodow(x) < 6)"
+NOISE_SQL = "' ' || upper(description) || ' '"
+for pattern in t.NOISE:
+    NOISE_SQL = f"regexp_replace({NOISE_SQL}, '{pattern}', ' ', 'g')"
+MERCHANT = f"coalesce(nullif(trim(regexp_replace({NOISE_SQL}, '\\s+', ' ', 'g')), ''), trim(left(upper(description), 40)))"
+
+
+#: The words of a line's merchant that aren't of a bank, a channel or an own transfer: whom it names.
+KNOWN = ", ".join(f"'{w}'" for w in [*t.BANK_WORDS, *t.OWN_TRANSFER_WORDS, *t.CHANNEL_WORDS])
 EDGES = f"""
-    h as (select * from bank_line where {HINT}),
+    h as (select * from bank_line where {HINT} and len(list_filter(string_split({MERCHANT}, ' '), lambda w: regexp_full_match(w, '[A-Z]{{2,}}') and w not in ({KNOWN}))) = 0),
     ed as (
         select o.line_id as out_id, -o.amount as amount, o.day as out_day, o.bank_account as out_account, o.entity_id as out_entity,
                i.line_id as in_id, i.day as in_day, i.bank_account as in_account, i.entity_id as in_entity
@@ -54,17 +62,8 @@ def j6(b):
     return rows.withColumn("days", d.business_days_apart("a", "b"))
 
 
-@register(
-    "j12_one_to_one",
-    with_views(
-        "bank_line invoice",
-        """select coalesce(x.entity_id, y.entity_id) as entity_id, coalesce(x.amount, y.amount) as amount, coalesce(x.rank, y.rank)::int as rank, doc_id, doc_day, book_id, book_day from (
-            select line_id as doc_id, entity_id, abs(amount) // 1000 as amount, day as doc_day, row_number() over (partition by entity_id, abs(amount) // 1000 order by day, line_id) as rank from bank_line where amount > 0) x
-        full join (
-            select line_id as book_id, entity_id, abs(amount) // 1000 as amount, day as book_day, row_number() over (partition by entity_id, abs(amount) // 1000 order by day, line_id) as rank from bank_line where amount < 0) y
-        on x.entity_id = y.entity_id and x.amount = y.amount and x.rank = y.rank""",
-    ),
-)
+# a document's choice hangs on all earlier ones: tests hold it against a loop
+@register("j12_one_to_one")
 def j12(b):
     lines = b.bank_line().withColumn("value", m.div(F.abs("amount"), 1000))
     docs = lines.filter("amount > 0").select(F.col("line_id").alias("doc_id"), "entity_id", F.col("value").alias("amount"), F.col("day").alias("doc_day"), F.col("description").alias("text"))
@@ -162,12 +161,6 @@ def j15(b):
     return mt.new_rows(rows.filter("k >= 50").select("hash", "line_id"), rows.filter("day <= '2024-01-15'"))
 
 
-NOISE_SQL = "' ' || upper(description) || ' '"
-for pattern in t.NOISE:
-    NOISE_SQL = f"regexp_replace({NOISE_SQL}, '{pattern}', ' ', 'g')"
-MERCHANT = f"coalesce(nullif(trim(regexp_replace({NOISE_SQL}, '\\s+', ' ', 'g')), ''), trim(left(upper(description), 40)))"
-
-
 @register("p1_merchant_keys", with_views("bank_line", f"select line_id, {MERCHANT} as merchant from bank_line"))
 def p1(b):
     return b.bank_line().select("line_id", t.merchant_key("description").alias("merchant"))
@@ -176,7 +169,7 @@ def p1(b):
 WORDS = ", ".join(f"'{w}'" for w in t.CHANNEL_WORDS)
 
 
-@register("p2_generic_keys", with_views("bank_line", f"select line_id, len(list_filter(string_split(upper(substr(description, 1, 9)), ' '), lambda w: regexp_full_match(w, '[A-Z]{{2,}}') and w not in ({WORDS}))) = 0 as generic from bank_line"))
+@register("p2_generic_keys", with_views("bank_line", f"select line_id, len(list_filter(string_split(upper(description), ' '), lambda w: regexp_full_match(w, '[A-Z]{{2,}}') and w not in ({WORDS}))) = 0 as generic from bank_line"))
 def p2(b):
     return b.bank_line().select("line_id", t.is_generic_key("description").alias("generic"))
 
@@ -187,7 +180,7 @@ def p2(b):
         "bank_line",
         """select line_id, case when n = 1 then h else left(sha1(h || '|#' || (n - 1)), 24) end as hash from (
         select line_id, h, row_number() over (partition by bank_account, h order by line_id) as n from (
-        select line_id, bank_account, left(sha1(day || '|' || amount // 100 * 100 || '|' || left(description, 7) || '|'), 24) as h from bank_line))""",
+        select line_id, bank_account, left(sha1(day || '|' || amount || '|' || description || '|'), 24) as h from bank_line))""",
     ),
 )
 def p3(b):
@@ -357,4 +350,4 @@ def a47(b):
 
     lines = b.journal_line()
     items = open_items(b.invoice(), b.settlement(), "1998-06-30")
-    return c.entity_controls(trial_balance(lines, b.chart(), "1998-06-30", ("client_id", "entity_id")), subledger_proof(lines, items, "1130", "1998-06-30"))
+    return c.entity_controls(trial_balance(lines, b.chart(), "1998-06-30", ("client_id", "entity_id")), subledger_proof(b.journal_line(("1130",)), items, "1130", "1998-06-30"))

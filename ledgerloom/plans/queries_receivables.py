@@ -47,7 +47,7 @@ def a30(b):
     ),
 )
 def a31(b):
-    return ar.subledger_proof(b.journal_line(), items(b), "1130", AS_OF)
+    return ar.subledger_proof(b.journal_line(("1130",)), items(b), "1130", AS_OF)
 
 
 @register(
@@ -146,10 +146,16 @@ def j18(b):
     "j17_settlement_candidates",
     with_views(
         "item contact",
-        """select * from (
-        select i.contact_id, advance * 40 as receipt, invoice_id, open, case when open = advance * 40 then 2 when open > advance * 40 then 1 else 0 end as score,
-               row_number() over (partition by i.contact_id order by case when open = advance * 40 then 2 when open > advance * 40 then 1 else 0 end desc, due_date, invoice_id) as rank
-        from item i join contact k on k.contact_id = i.contact_id where advance > 0 and open > 0) where rank <= 3""",
+        r"""with r as (select contact_id, entity_id, advance * 40 as receipt, list_filter(regexp_split_to_array(upper(contact_name), '[^A-Z0-9]+'), lambda w: w <> '') as said from contact where advance > 0),
+        i as (select i.*, list_filter(regexp_split_to_array(upper(contact_name), '[^A-Z0-9]+'), lambda w: len(w) >= 3) as name, i.invoice_id::varchar as number from item i join contact using (contact_id) where open > 0),
+        p as (
+            select r.contact_id as receipt_id, r.contact_id, r.receipt, i.invoice_id, i.contact_id as item_contact_id, i.open, i.contact_id = r.contact_id as same_contact, i.open = r.receipt as exact,
+                   len(name) > 0 and list_has_all(said, name) or len(number) >= 3 and list_contains(said, number) as named,
+                   case when i.open = r.receipt then 2 when i.open > r.receipt then 1 else 0 end as score, i.due_date, i.issue_date
+            from r join i on i.entity_id = r.entity_id)
+        select receipt_id, contact_id, receipt, invoice_id, item_contact_id, open, same_contact, exact, named, score,
+               (row_number() over (partition by receipt_id order by same_contact desc, exact and named desc, exact desc, named desc, score desc, due_date, invoice_id))::int as rank
+        from p where same_contact or (exact or named) and issue_date <= date '{as_of}'""",
     ),
 )
 def j17(b):
@@ -188,4 +194,4 @@ def j19(b):
     ),
 )
 def j20(b):
-    return ar.cut_off_candidates(b.journal_line(), "4100", AS_OF)
+    return ar.cut_off_candidates(b.journal_line(("4100",)), "4100", AS_OF)

@@ -96,7 +96,7 @@ VAT = "select entity_id, year(day)::int as year, month(day)::int as month, coale
     ),
 )
 def w7(b):
-    lines = b.journal_line().filter("account in ('2130', '1200')")
+    lines = b.journal_line(("2130", "1200"))
     rows = lines.groupBy("entity_id", F.year("day").alias("year"), F.month("day").alias("month")).agg(
         F.sum(F.when(F.col("account") == "2130", F.col("credit")).otherwise(0)).alias("output"), m.div(F.sum(F.when(F.col("account") == "1200", F.col("debit")).otherwise(0)), 25).alias("input")
     )

@@ -1,13 +1,14 @@
 """Operators on small invented rows with results worked out by hand or by a plain loop."""
 
 import datetime as dt
+import itertools
 import random
 import re
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import controls, ingest, matching, receivables, registers, tax
+from ledgerloom.operators import controls, currency, ingest, matching, posting, receivables, registers, tax
 from ledgerloom.sources import statements
 from ledgerloom.streaming import landing
 
@@ -204,3 +205,64 @@ def test_duplicate_entries_are_disjoint_and_exclude(spark):
     assert pairs(materiality=10) == [("a", "b"), ("d", "f"), ("i", "k")]
     assert pairs() == [("a", "b"), ("d", "f"), ("i", "k"), ("l", "m")]
     assert pairs(since="2024-01-03") == [("a", "c"), ("d", "f"), ("i", "k"), ("l", "m")]
+
+
+def test_proved_days_match_loop(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for account in range(60):
+        n, start = rng.randrange(1, 7), rng.randrange(-50, 50)
+        balance, day_rows = start, []
+        for _ in range(n):
+            amount = rng.choice([-7, -3, 2, 5, 9, 11])
+            balance += amount
+            day_rows.append([amount, balance])
+        if account % 4 == 1:
+            day_rows[rng.randrange(n)][1] = None
+        if account % 4 == 2:
+            day_rows[rng.randrange(n)][1] += 1000
+        rng.shuffle(day_rows)
+        # by trial: some order of the rows in which each balance leads to the next, and no balance twice
+        fine = False
+        if all(b is not None for _, b in day_rows):
+            froms, tos = [b - a for a, b in day_rows], [b for _, b in day_rows]
+            ends = [b for b in tos if b not in froms]
+            if len(set(froms)) == len(set(tos)) == n and len(ends) == 1:
+                fine = any(all(x[1] == y[1] - y[0] for x, y in zip(order, order[1:])) for order in itertools.permutations(day_rows))
+        want[account] = (n, fine)
+        rows += [(account, dt.date(2024, 1, 5), a, b) for a, b in day_rows]
+    got = {r.bank_account: (r.n, r.proved) for r in posting.proved_days(spark.createDataFrame(rows, "bank_account int, day date, amount long, balance long")).collect()}
+    assert got == want and {True, False} == {x[1] for x in want.values()}
+
+
+def test_missing_rates_are_told_and_not_guessed(spark):
+    lines = spark.createDataFrame(
+        [("a", "MANUAL", 1, 20, "1100", "1997-03-05", 1000, 0), ("a", "MANUAL", 1, 20, "4100", "1997-03-05", 0, 1000), ("b", "MANUAL", 1, 21, "1100", "1998-06-05", 500, 0), ("b", "MANUAL", 1, 21, "3100", "1998-06-05", 0, 500)],
+        "entry_id string, entry_kind string, client_id int, entity_id int, account string, day string, debit long, credit long",
+    ).withColumn("day", F.to_date("day"))
+    chart = spark.createDataFrame([("1100", "Cash", "ASSET", "CASH", "MONETARY"), ("4100", "Sales", "INCOME", "REVENUE", "PLAIN"), ("3100", "Capital", "EQUITY", "CAPITAL", "PLAIN"), ("3200", "Retained", "EQUITY", "RETAINED", "RETAINED"), ("3900", "Translation", "EQUITY", "T", "PLAIN")], "account string, account_name string, type string, fs_line string, kind string")
+    entity = spark.createDataFrame([(20, "USD"), (21, "USD"), (1, "IDR")], "entity_id int, currency string")
+    rates = spark.createDataFrame([("1998-06-30", "SPOT", 14900)], "day string, kind string, rate long").select(F.to_date("day").alias("rate_date"), "kind", "rate")
+    got = {r.entity_id: (r.closing, r.average, r.historical, r.missing) for r in currency.entity_rates(lines, chart, entity, rates, "1998-06-30").collect()}
+    assert got == {20: (14900, 14900, None, "HISTORICAL"), 21: (14900, 14900, 14900, "")}
+    nets = {(r.entity_id, r.account): r.net for r in currency.translated_trial_balance(lines, chart, entity, rates, "1998-06-30").collect() if r.net}
+    assert nets == {(21, "1100"): 500 * 14900, (21, "3100"): -500 * 14900}
+    found = {r.entity_id: (r.balance, r.carried, r.difference, r.missing) for r in currency.revaluation(lines, chart, entity, rates, "1998-06-30").collect()}
+    assert found == {20: (1000, None, None, 1), 21: (500, None, None, 1)}
+
+
+def test_posting_refuses_with_a_reason(spark):
+    chart = spark.createDataFrame([("1", "ASSET", "Cash"), ("2", "ASSET", "Transfer clearing"), ("4", "INCOME", "Sales")], "account string, type string, account_name string")
+    schema = "entry_id string, entry_kind string, entity_id int, account string, day string, debit long, credit long, reverses_id string"
+    rows = [("m", "MANUAL", 1, "1", "2024-01-05", 7, 0, None), ("m", "MANUAL", 1, "4", "2024-01-05", 0, 7, None), ("k", "BANK", 1, "1", "2024-01-06", 7, 0, None), ("k", "BANK", 1, "2", "2024-01-06", 0, 7, None)]
+    rows += [("d", "MANUAL", 1, "1", "2024-01-07", 1, 0, None), ("d", "MANUAL", 1, "4", "2024-01-07", 0, 1, None), ("Rd", "MANUAL", 1, "1", "2024-01-08", 0, 1, "d"), ("Rd", "MANUAL", 1, "4", "2024-01-08", 1, 0, "d")]
+    rows += [("one", "MANUAL", 2, "1", "2024-01-05", 7, 0, None), ("far", "MANUAL", 2, "9", "2024-01-05", 7, 0, None), ("far", "MANUAL", 2, "1", "2024-01-05", 0, 7, None)]
+    lines = spark.createDataFrame(rows, schema).withColumn("day", F.to_date("day"))
+    assert {r.entry_id: r.reason for r in posting.post_checks(lines, chart, "2024-01-05").collect()} == {"m": "LOCKED", "k": None, "d": None, "Rd": None, "one": "ONE_LINE", "far": "ACCOUNT"}
+    asked = spark.createDataFrame([("m", "2024-02-01"), ("m", "2024-02-02"), ("k", "2024-02-01"), ("d", "2024-02-01"), ("x", "2024-02-01"), ("one", "2024-01-01")], "entry_id string, day string").withColumn("day", F.to_date("day"))
+    made, refused = posting.reversals(lines, asked)
+    assert sorted((r.entry_id, r.account, r.debit, r.credit, str(r.day), r.reverses_id) for r in made.collect()) == [("Rm", "1", 0, 7, "2024-02-01", "m"), ("Rm", "4", 7, 0, "2024-02-01", "m")]
+    assert sorted((r.entry_id, r.reason) for r in refused.collect()) == [("d", "AGAIN"), ("k", "KIND"), ("m", "AGAIN"), ("one", "EARLY"), ("x", "UNKNOWN")]
+    assert posting.opening_bridge(lines.filter("entity_id = 1"), chart, "2024-01-31").collect() == []
+    bridge = posting.opening_bridge(lines.filter("entity_id = 1 and entry_id <> 'k'"), chart, "2024-01-31").collect()
+    assert sorted((str(r.day), r.account, r.debit, r.credit) for r in bridge) == [("2024-01-04", "1", 0, 7), ("2024-01-04", "3200", 7, 0)]
