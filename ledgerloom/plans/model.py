@@ -36,7 +36,7 @@ CHART = [
 ]
 # Rates of USD in IDR by date and kind.
 RATES = [
-    ("1991-12-31", "SPOT", 1992), ("1992-01-31", "SPOT", 2000), ("1995-12-31", "SPOT", 2308), ("1996-06-30", "SPOT", 2342), ("1996-12-31", "SPOT", 2383), ("1996-12-31", "AVERAGE", 2349),
+    ("1994-12-31", "SPOT", 2200), ("1995-01-31", "SPOT", 2212), ("1995-12-31", "SPOT", 2308), ("1996-06-30", "SPOT", 2342), ("1996-12-31", "SPOT", 2383), ("1996-12-31", "AVERAGE", 2349),
     ("1997-06-30", "SPOT", 2450), ("1997-12-31", "SPOT", 4650), ("1997-12-31", "AVERAGE", 2951),
     ("1998-06-30", "SPOT", 14900), ("1998-12-31", "SPOT", 8025), ("1998-12-31", "AVERAGE", 10014),
     ("1999-12-31", "SPOT", 7085), ("1999-12-31", "AVERAGE", 7855), ("2000-12-31", "SPOT", 9595), ("2000-12-31", "AVERAGE", 8422),
