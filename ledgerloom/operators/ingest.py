@@ -28,23 +28,53 @@ def broken_balances(rows: DataFrame, key: str, order: str, opening: int = 0) ->
     return running_balances(rows, key, order, opening).filter("balance is not null and balance <> expected")
 
 
-def proved_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Each row's state: no amount, no balance, no opening, break or ok; ``chained`` if a later
-    balance of the day proves it."""
+def proved_rows(rows: DataFrame, key: str, order: str, chained: bool = False) -> DataFrame:
+    """Each row's state against the balance before it, and the balance ``expected`` behind it.
+
+    ``rows``: key, order, day (null if it is no date), debit, credit, balance, and the key's opening
+    balance or null. A printed balance is gone on from even if it breaks. With ``chained``, rows without
+    a balance take the state of the next printed one of their day, if only such rows are between."""
     w = Window.partitionBy(key).orderBy(order)
-    last = F.last("balance", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    moved = F.sum(F.coalesce("amount", F.lit(0))).over(Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_island", F.count("balance").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_last", last).withColumn("_sum", moved)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    debit, credit = F.coalesce("debit", F.lit(0)), F.coalesce("credit", F.lit(0))
+    rows = rows.withColumn("_m", (credit - debit).cast("long")).withColumn("_island", F.count("balance").over(before)).withColumn("_base", F.coalesce(F.last("balance", ignorenulls=True).over(before), "opening"))
+    inside = Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("expected", F.col("_base") + F.sum("_m").over(inside))
     state = (
         F.when(F.col("day").isNull(), "BAD_DATE")
-        .when(F.col("amount").isNull(), "NO_AMOUNT")
+        .when((debit < 0) | (credit < 0) | ((debit != 0) & (credit != 0)), "BAD_AMOUNT")
+        .when(F.col("_m") == 0, "NO_AMOUNT")
+        .when(F.col("_base").isNull(), "NO_OPENING")
         .when(F.col("balance").isNull(), "NO_BALANCE")
-        .when(F.col("_last").isNull(), "NO_OPENING")
-        .when(F.col("balance") == F.col("_last") + F.col("_sum"), "OK")
+        .when(F.col("balance") == F.col("expected"), "OK")
         .otherwise("BREAK")
     )
-    later = F.max(F.col("balance").isNotNull()).over(Window.partitionBy(key, "day").orderBy(order).rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("state", state).withColumn("chained", F.coalesce(later, F.lit(False))).drop("_island", "_last", "_sum")
+    rows = rows.withColumn("state", state)
+    if chained:
+        turn = F.when(F.col("day").eqNullSafe(F.lag("day").over(w)), 0).otherwise(1)
+        rows = rows.withColumn("_turn", turn).withColumn("_turn", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        settled = F.when(F.col("state") != "NO_BALANCE", F.struct("state", "_turn"))
+        rows = rows.withColumn("_next", F.first(settled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        proves = (F.col("state") == "NO_BALANCE") & (F.col("_next._turn") == F.col("_turn")) & F.col("_next.state").isin("OK", "BREAK")
+        rows = rows.withColumn("state", F.when(proves, F.col("_next.state")).otherwise(F.col("state"))).drop("_turn", "_next")
+    return rows.drop("_m", "_island", "_base")
+
+
+def statement_proofs(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Whether a statement may be imported: an opening, no row that isn't OK, and the closing
+    balance, if there is one, printed on the last row. ``rows``: those of ``proved_rows`` with ``closing``."""
+    sums = rows.groupBy(key).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("state") != "OK").alias("_bad"), F.max_by("balance", order).alias("_last"), F.max("opening").alias("_opening"), F.max("closing").alias("_closing")
+    )
+    closing_ok = F.when(F.col("_closing").isNotNull(), F.col("_last").eqNullSafe(F.col("_closing")))
+    problems = F.col("_bad") + F.when(closing_ok == False, 1).otherwise(0)  # noqa: E712
+    return sums.select(key, "n_rows", closing_ok.alias("closing_ok"), problems.alias("problems"), (F.col("_opening").isNotNull() & (problems == 0)).alias("importable"))
+
+
+def later_balances(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``confirmed``: whether a later row prints a balance."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("confirmed", F.coalesce(F.max(F.col("balance").isNotNull()).over(w), F.lit(False)))
 
 
 def month_ranges(rows: DataFrame, key: str) -> DataFrame:

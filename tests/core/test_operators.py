@@ -8,7 +8,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import controls, currency, ingest, matching, posting, receivables, registers, tax
+from ledgerloom.operators import controls, currency, ingest, matching, posting, receivables, registers, reviews, tax
 from ledgerloom.sources import statements
 from ledgerloom.streaming import landing
 
@@ -64,7 +64,6 @@ def test_running_balances_and_proof(spark):
     rows = [(1, k, a, b, day(0)) for k, (a, b) in enumerate([(10, 10), (5, None), (5, 20), (1, 30), (2, None)])]
     df = spark.createDataFrame(rows, "f int, n int, amount long, balance long, day date")
     assert [r.n for r in ingest.broken_balances(df, "f", "n").collect()] == [3]
-    assert [r.state for r in ingest.proved_rows(df, "f", "n").orderBy("n").collect()] == ["NO_OPENING", "NO_BALANCE", "OK", "BREAK", "NO_BALANCE"]
     flipped = df.withColumn("balance", F.when(F.col("n") == 0, -10).when(F.col("n") == 2, -20)).filter("n < 3")
     assert ingest.direction_verdict(flipped, "f", "n").first().flip
 
@@ -266,3 +265,97 @@ def test_posting_refuses_with_a_reason(spark):
     assert posting.opening_bridge(lines.filter("entity_id = 1"), chart, "2024-01-31").collect() == []
     bridge = posting.opening_bridge(lines.filter("entity_id = 1 and entry_id <> 'k'"), chart, "2024-01-31").collect()
     assert sorted((str(r.day), r.account, r.debit, r.credit) for r in bridge) == [("2024-01-04", "1", 0, 7), ("2024-01-04", "3200", 7, 0)]
+
+
+def proofs_by_loop(rows, opening, chained):
+    """States and expected balances of (day, debit, credit, balance) rows, one after the other."""
+    states, expected, prev, pending = [], [], opening, []
+    for i, (on, debit, credit, balance) in enumerate(rows):
+        debit, credit = debit or 0, credit or 0
+        want = None if prev is None else prev + credit - debit
+        if on is None:
+            state = "BAD_DATE"
+        elif min(debit, credit) < 0 or debit and credit:
+            state = "BAD_AMOUNT"
+        elif credit == debit:
+            state = "NO_AMOUNT"
+        elif prev is None:
+            state = "NO_OPENING"
+        else:
+            state = "NO_BALANCE" if balance is None else "OK" if balance == want else "BREAK"
+        states.append(state)
+        expected.append(want)
+        if pending and rows[pending[0]][0] != on:
+            pending = []
+        if state == "NO_BALANCE":
+            pending.append(i)
+        else:
+            for j in pending if chained and state in ("OK", "BREAK") else []:
+                states[j] = state
+            pending = []
+        prev = want if balance is None else balance
+    return states, expected
+
+
+def test_row_proofs_match_a_loop(spark):
+    rng, all_rows, want = random.Random(11), [], {}
+    for f in range(60):
+        opening, balance, rows = rng.choice([None, 100, 0]), 0, []
+        for k in range(rng.randrange(1, 14)):
+            debit, credit = rng.choice([(5, None), (None, 7), (0, 3), (None, None), (2, 2), (-1, 0), (4, 0), (0, 9)])
+            balance += (credit or 0) - (debit or 0)
+            rows.append((rng.choice([day(k // 3), day(k // 3), day(k // 3), None]), debit, credit, rng.choice([None, None, balance + (opening or 0), 50])))
+        all_rows += [(f, i, *r, opening) for i, r in enumerate(rows)]
+        for chained in (False, True):
+            want[f, chained] = proofs_by_loop(rows, opening, chained)
+    df = spark.createDataFrame(all_rows, "f int, n int, day date, debit long, credit long, balance long, opening long")
+    for chained in (False, True):
+        got = {}
+        for r in ingest.proved_rows(df, "f", "n", chained).orderBy("f", "n").collect():
+            got.setdefault(r.f, []).append((r.state, r.expected))
+        assert got == {f: list(zip(*want[f, chained])) for f in range(60)}
+    proofs = ingest.statement_proofs(ingest.proved_rows(df, "f", "n").withColumn("closing", F.lit(None).cast("long")), "f", "n").collect()
+    assert {p.f: p.problems for p in proofs} == {f: sum(s != "OK" for s in want[f, False][0]) for f in range(60)}
+    assert all(p.closing_ok is None for p in proofs)
+
+
+def test_references_of_rows(spark):
+    cells = [(1, "S", c) for c in ("F9", "A7", "A5", "A6", "F10", "x", "A6", "F2")] + [(2, "T", "3"), (2, "T", "4")] + [(3, "U", f"A{2 * i}") for i in range(300)] + [(4, "V", "none")]
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(cells)], "k int, sheet string, cell string, position long")
+    got = {r.k: r.reference for r in reviews.row_references(df, "k").collect()}
+    assert got == {1: "S!F2,F9-10,A5-6,A6-7", 2: "T!3-4", 3: ("U!" + ",".join(f"A{2 * i}" for i in range(300)))[:500]}
+
+
+def test_parts_and_flags(spark):
+    part = "struct<account:string,amount:long>"
+    rows = [
+        (1, "x ANGSURAN POKOK", -100, "4100", "POSTED", "RULE", 99, [("4100", 60), ("2100", 40)]),
+        (2, "BUNGA PINJAMAN", -5, "6200", "POSTED", "RULE", 99, None),
+        (3, "MODAL", 5, "4100", "NEEDS_REVIEW", "RULE", 99, []),
+        (4, "sale", 7, "4100", "REVIEWED", "AI", 59, []),
+        (5, "sale", 7, "4100", "REVIEWED", "AI", 60, []),
+        (6, "MODAL", 7, None, "POSTED", "HEURISTIC", 1, []),
+    ]
+    df = spark.createDataFrame(rows, f"line_id int, description string, amount long, account string, status string, method string, confidence_pct int, parts array<{part}>")
+    df = df.selectExpr("*", "1 as client_id", "2 as entity_id", "date '2024-01-01' as day")
+    chart = spark.createDataFrame([("4100", "INCOME"), ("6200", "EXPENSE"), ("2100", "LIABILITY")], "account string, type string")
+    assert sorted((r.line_id, r.account, r.amount) for r in reviews.by_part(df).collect() if r.line_id < 3) == [(1, "2100", -40), (1, "4100", -60), (2, "6200", -5)]
+    assert sorted((r.flag, r.line_id, r.amount) for r in reviews.flagged_lines(df, chart).collect()) == [("FINANCING", 1, -60), ("GUESS", 4, 7)]
+
+
+def test_settings_and_periods(spark):
+    asked = spark.createDataFrame([(1, 4), (1, 5), (1, 9), (2, 5)], "e int, month int")
+    settings = spark.createDataFrame([(1, 5, 70), (1, 8, 80)], "e int, effective_month int, rate long")
+    assert sorted((r.e, r.month, r.rate) for r in reviews.in_force(asked, settings, "e", "rate").collect() if r.rate) == [(1, 5, 70), (1, 9, 80)]
+    d = dt.date
+    lines = [(1, d(2023, 12, 31), "OPENING"), (1, d(2024, 3, 1), "BANK"), (2, d(2024, 2, 1), "OPENING"), (2, d(2024, 2, 3), "BANK"), (3, d(2023, 4, 1), "BANK"), (4, d(2024, 6, 30), "OPENING"), (5, d(2024, 5, 1), "BANK")]
+    df = spark.createDataFrame([(0, *x) for x in lines], "client_id int, entity_id int, day date, entry_kind string")
+    got = {r.entity_id: (r.books_start, r.from_day, r.compared_balance, r.compared_opening, r.prior_end) for r in reviews.report_periods(df, "2024-06-30").collect()}
+    first = d(2024, 1, 1)
+    assert got == {
+        1: (first, first, d(2023, 12, 31), True, None),
+        2: (d(2024, 2, 2), d(2024, 2, 2), d(2024, 2, 1), True, None),
+        3: (first, first, d(2023, 12, 31), False, d(2023, 6, 30)),
+        4: (d(2024, 7, 1), first, None, None, None),
+        5: (first, first, None, None, None),
+    }
