@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stage, unstage
+from .shared import only, stage, unstage
 from .tokens import slices
 
 #: Counters of how often shingles occur; they only order shingles, rare ones first.
@@ -56,13 +56,18 @@ class Shingler:
         return np.unique(total ^ (total >> np.uint64(29)))
 
 
+def _shingler(width: int) -> Shingler:
+    """One shingler in a Python worker, which then knows the words of its earlier tasks."""
+    return only(("shingler", width), lambda: Shingler(width))
+
+
 def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
 
 
 def _count(width: int):
     def run(batches):
-        shingler, total, held, n = Shingler(width), np.zeros(COUNTERS, dtype=np.int64), [], 0
+        shingler, total, held, n = _shingler(width), np.zeros(COUNTERS, dtype=np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(_counter(shingler.shingles(text)))
@@ -99,7 +104,7 @@ def _sign(width: int, percent: int, counts: bytes):
     sketch, and that folded to BITS."""
 
     def run(batches):
-        shingler, often = Shingler(width), np.frombuffer(counts, dtype="<i8")
+        shingler, often = _shingler(width), np.frombuffer(counts, dtype="<i8")
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
@@ -144,7 +149,7 @@ def _tokens(batches):
 
 def _set_of(width: int):
     def run(batches):
-        shingler = Shingler(width)
+        shingler = _shingler(width)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 1_000_000):

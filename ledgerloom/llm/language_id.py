@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import only
 from .tokens import slices
 
 #: No language: the text is null or has no letter.
@@ -216,13 +216,8 @@ class Parser:
         return begun
 
 
-@lru_cache(maxsize=2)
-def _parser(training: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
-    return Parser(dict(training))
-
-
 def predictions(training: dict[str, list[str]], texts: list[str]) -> Iterator[tuple[str, float]]:
-    parser = _parser(tuple((k, tuple(v)) for k, v in training.items()))
+    parser = only(("parser", tuple((k, tuple(v)) for k, v in training.items())), lambda: Parser(training))
     bits, some = parser.parse(texts)
     for row, letters in zip(bits, some):
         if not letters or not parser.languages:

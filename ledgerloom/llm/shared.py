@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,18 @@ WHILE_STAGED = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 WORD = r"[^\x20\x09-\x0D]+"
+_held: dict[Hashable, Any] = {}
+
+
+def only(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives for ``key``, kept in a Python worker for its next tasks until another key is
+    asked for: a worker that serves one operator after another holds the tables of the last alone."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from struct import pack
 
+from .shared import only
+
 #: White space other than a space and a newline, and what Python alone takes for white space.
 ODD = re.compile(r"[^\S \n]")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -117,10 +118,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a Python worker."""
-    return Encoder(path)
+    return only(("encoder", path), lambda: Encoder(path))
 
 
 def slices(texts: list[str | None], most: int = 4_000_000):

@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import embedding_dedup, language_id, packing, repeats, token_files, toxicity
+from ledgerloom.llm import embedding_dedup, language_id, packing, repeats, shared, token_files, toxicity
 from ledgerloom.llm.embedding_dedup import near_vectors
 from ledgerloom.llm.exact_dedup import DigestIndex
 from ledgerloom.llm.graph import components
@@ -427,6 +427,14 @@ def test_reduction_is_never_worse_than_the_best():
         assert used <= best + 1 and (plan.fixed < used or used == best)
 
 
+def test_a_worker_holds_the_last_helper_alone(monkeypatch):
+    monkeypatch.setattr(shared, "_held", {})
+    first = shared.only("a", list)
+    assert shared.only("a", list) is first
+    shared.only("b", dict)
+    assert set(shared._held) == {"b"} and shared.only("a", list) is not first
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "öt"]}
