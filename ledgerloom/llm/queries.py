@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
 from .exact_dedup import against_new_index
+from .impact_search import search as inner_products
 from .jaccard_join import near_texts
 from .language_id import identify
 from .mixing import mix_plan
@@ -15,6 +16,8 @@ from .quotations import formatted
 from .repeats import remove_repeats
 from .token_files import round_trip
 from .toxicity import score
+from .treap_search import search as ranked
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +72,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ QUERIES = {
         op8_mixing,
         op9_packing,
         op10_language_id,
+        op11_ranked_search,
+        op12_embedding_whitening,
+        op13_exact_top_k,
     )
 }
 
@@ -162,4 +180,30 @@ ORACLES = {
         select doc_id, size, source_size, target, (first + second)::bigint as taken,
                case when first > 0 then round(case when a = 0 then u else (sqrt((1.0::double - a) * (1.0::double - a) + 4.0::double * a * u) - (1.0::double - a)) / (2.0::double * a) end, 9) end as position
         from k""",
+    "op11_ranked_search": r"""
+        with words as (
+            select 'd' as kind, row_number() over () as r, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+            union all
+            select 'i', row_number() over (), item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') from benchmark),
+        s as (select count(*)::bigint as n_docs, sum(len(terms))::bigint as n_terms from words where kind = 'd' and len(terms) > 0),
+        i as (select distinct r, id, term from (select r, id, unnest(terms) as term from words where kind = 'i')),
+        p as (
+            select r, id, n, term, count(*) as tf from (select r, id, len(terms) as n, unnest(terms) as term from words where kind = 'd')
+            where term in (select term from i) group by all),
+        w as (select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * count(*) + 1)))::bigint as w from p, s group by term, n_docs),
+        c as (
+            select i.r as item, i.id as item_id, p.r as doc, p.id as doc_id,
+                   sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint as score
+            from i join p using (term) join w using (term), s group by all),
+        o as (select *, row_number() over (partition by item order by score desc, doc_id, doc) as rank from c where score > 0)
+        select item_id, rank::int as rank, doc_id, score from o where rank <= 10""",
+    "op13_exact_top_k": """
+        with v as (
+            select vec_id, row_number() over () as r, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+            where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e)))),
+        s as (
+            select q.vec_id as query_id, q.r as q, c.vec_id, c.r, list_dot_product(q.x, c.x)::bigint as score
+            from v q join v c on q.r <> c.r and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
+        o as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s)
+        select query_id, rank::int as rank, vec_id, score from o where rank <= 5""",
 }
