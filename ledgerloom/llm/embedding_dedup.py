@@ -63,17 +63,17 @@ def _signatures(tables: int, projections: int, width: float, seed: int):
                     [
                         pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))),
                         pa.array(keys.reshape(-1)),
-                        *(part.column(names.index(x)) for x in ("rep", "copies", "raw")),
+                        *(part.column(names.index(x)) for x in ("cls", "rep", "copies", "raw")),
                         pa.array([packed[i] for i in range(len(at)) for _ in range(tables)], pa.binary()),
                     ],
-                    ["table", "key", "rep", "copies", "raw", "keys"],
+                    ["table", "key", "cls", "rep", "copies", "raw", "keys"],
                 )
 
     return run
 
 
 def _linked(cosine: float):
-    """Rows of a bucket's block pairs, in order, to (rep, links, root): the vectors that a class links
+    """Rows of a bucket's block pairs, in order, to (cls, links, rep, root): the vectors that a class links
     with, counted in the first table that brings the two together, and the smallest it reaches here."""
 
     def links_of(table, left, right, same):
@@ -110,13 +110,13 @@ def _linked(cosine: float):
         links = np.bincount(i[new], weights=copies[j[new]], minlength=len(reps)) + np.bincount(j[new], weights=copies[i[new]], minlength=len(reps))
         root = _roots(reps, i, j)
         some = np.flatnonzero((links > 0) | (root != reps))
-        return reps[some], links[some].astype(np.int64), root[some]
+        return np.array(rows["cls"], dtype=np.int64)[some], links[some].astype(np.int64), reps[some], root[some]
 
     def run(batches):
         held: dict[str, list] = {}
-        names = ["table", "key", "bi", "bj", "blk", "rep", "copies", "raw", "keys"]
+        names = ["table", "key", "bi", "bj", "blk", "cls", "rep", "copies", "raw", "keys"]
         last = None
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
 
         def close():
             if held and len(held["rep"]) > 1:
@@ -124,7 +124,7 @@ def _linked(cosine: float):
                     o.extend(x.tolist())
 
         def batch_out():
-            row = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "root"])
+            row = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cls", "links", "rep", "root"])
             for o in out:
                 o.clear()
             return row
@@ -190,26 +190,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, re
 
     A vector that is null, empty or zero, or has a null or non-finite component, or no vec_id, links
     with nothing and is kept. Any other vector counts, however large or small its components are.
-    Vectors of different length don't link. Rows that repeat a vec_id are
-    forms of one vector: they share its component, and links to any count for it. An empty table
+    Vectors of different length don't link. Rows that repeat a vec_id share
+    a component; each counts the links of its own form. An empty table
     gives an empty result. Other columns are not read.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = stage(vectors.mapInArrow(_prepared, "vec_id long, digest binary, raw binary"), "vectors")
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    classes = stage(classes, "classes")
+    classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tables, projections = shape(classes.count(), cosine, width, recall)
-    signed = stage(classes.mapInArrow(_signatures(tables, projections, width, seed), "table int, key long, rep long, copies long, raw binary, keys binary"), "signatures")
+    signed = stage(classes.mapInArrow(_signatures(tables, projections, width, seed), "table int, key long, cls long, rep long, copies long, raw binary, keys binary"), "signatures")
     sizes = signed.groupBy("table", "key").count().filter("count > 1").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     met = signed.join(sizes, ["table", "key"]).withColumn("blk", F.pmod(F.xxhash64("rep", "raw"), F.col("n")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = met.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "n")
     group = ["table", "key", "bi", "bj"]
-    found = met.repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "rep", "copies", "raw", "keys")
-    found = stage(found.mapInArrow(_linked(cosine), "rep long, links long, root long"), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    found = met.repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "cls", "rep", "copies", "raw", "keys")
+    found = stage(found.mapInArrow(_linked(cosine), "cls long, links long, rep long, root long"), "found")
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    classes = classes.select("cls", "digest", "rep", "copies").join(links, "cls", "left").join(joined, F.col("rep") == F.col("node"), "left")
     classes = stage(classes.select("digest", "rep", "copies", "links", "component"), "classes")
     answered = rows.select("vec_id", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "rep", "vec_id")

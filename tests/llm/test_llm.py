@@ -286,6 +286,14 @@ def test_vectors_of_any_scale_and_repeated_rows(spark):
     assert {x[2] for x in got if x[0] in (5, 6)} == {0, 5} or {x[2] for x in got if x[0] in (5, 6)} == {0}
 
 
+def test_links_of_two_forms_of_one_vector(spark):
+    """Two classes whose smallest vec_id is the same keep their own links, and meet in one component."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = spark.createDataFrame([(1, a), (7, a), (1, b), (12, [0.0, 1.0, 0.01]), (30, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(rows).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (7, 1, 1, False), (12, 1, 1, False), (30, 0, 30, True)]
+
+
 def test_vector_tables_grow_with_the_number_of_vectors():
     shapes = [embedding_dedup.shape(n, 0.9, 2.0, 0.91) for n in (0, 1_000, 50_000, 10**6, 10**9)]
     assert shapes[:3] == [(16, 10)] * 3
