@@ -17,12 +17,15 @@ def broken_lines(b):
     n = F.substring_index(F.regexp_replace("entry_id", "[A-Z]", ""), "-", 1).cast("long")
     account = F.when((n % 13 == 0) & (F.col("account") == "1200"), "9999").otherwise(F.col("account"))
     debit = F.when((n % 11 == 0) & (F.col("account") == "1130"), F.col("debit") + 1).otherwise(F.col("debit"))
-    return b.journal_line().withColumn("account", account).withColumn("debit", F.when((n % 7 == 0) & (F.col("account") == "1100"), -F.col("debit")).otherwise(debit))
+    rows = b.journal_line().withColumn("account", account).withColumn("debit", F.when((n % 7 == 0) & (F.col("account") == "1100"), -F.col("debit")).otherwise(debit))
+    blank = rows.filter((n % 17 == 0) & (F.col("account") == "1100")).withColumns({"debit": F.lit(0).cast("long"), "credit": F.lit(0).cast("long")})
+    return rows.unionByName(blank)
 
 
 BROKEN = """x as (select *, string_split(regexp_replace(entry_id, '[A-Z]', '', 'g'), '-')[1]::bigint as num from journal),
     y as (select entry_id, entity_id, day, credit, case when num % 13 = 0 and account = '1200' then '9999' else account end as account,
-                 case when num % 7 = 0 and account = '1100' then -debit when num % 11 = 0 and account = '1130' then debit + 1 else debit end as debit from x)"""
+                 case when num % 7 = 0 and account = '1100' then -debit when num % 11 = 0 and account = '1130' then debit + 1 else debit end as debit from x
+          union all select entry_id, entity_id, day, 0, account, 0 from x where num % 17 = 0 and account = '1100')"""
 
 
 @register(
@@ -30,10 +33,11 @@ BROKEN = """x as (select *, string_split(regexp_replace(entry_id, '[A-Z]', '', '
     with_views(
         "journal chart",
         f"""with {BROKEN},
-        s as (select entry_id, count(*) as n, bool_and(least(debit, credit) = 0 and greatest(debit, credit) > 0) as sides, sum(debit - credit) as net, min(day) as first, max(day) as last,
-                     min(entity_id) = max(entity_id) as one, bool_and(account in (select account from chart)) as known from y group by 1)
+        s as (select entry_id, count(*) filter (debit <> 0 or credit <> 0) as n, bool_and(least(debit, credit) = 0 and greatest(debit, credit) >= 0) as sides, sum(debit - credit) as net,
+                     min(day) filter (debit <> 0 or credit <> 0) as first, max(day) filter (debit <> 0 or credit <> 0) as last,
+                     min(entity_id) = max(entity_id) as one, bool_and(account in (select account from chart)) filter (debit <> 0 or credit <> 0) as known from y group by 1)
         select reason, count(*) as entries, sum(n)::bigint as lines from (
-            select n, case when n < 2 then 'ONE_LINE' when not sides then 'SIDES' when net <> 0 then 'UNBALANCED' when first <> last or not one then 'MIXED'
+            select n, case when not sides then 'SIDES' when n < 2 then 'ONE_LINE' when net <> 0 then 'UNBALANCED' when first <> last or not one then 'MIXED'
                            when not known then 'ACCOUNT' when first <= date '1993-12-31' then 'LOCKED' else 'POSTED' end as reason from s) group by 1""",
     ),
 )
@@ -85,7 +89,7 @@ def typed(b):
 
 TYPED = f"""ty as (select entity_id, '1130' as account, sum(greatest(advance, 0))::bigint as debit, 0::bigint as credit from contact group by 1
     union all select entity_id, case when entity_id % 6 = 5 then '{p.DIFFERENCE}' else '2100' end, 0, sum(greatest(-advance, 0))::bigint from contact group by 1),
-    bk as (select entity_id, min(day) as first from journal group by 1),
+    bk as (select entity_id, min(day) filter (entry_kind = 'BANK') as first from journal group by 1),
     hd as (select ty.entity_id, sum(credit - debit)::bigint as difference, case when min(first) <= date '1992-01-01' then 'LATE' when max(account) = '{p.DIFFERENCE}' then 'DIFFERENCE' end as reason from ty left join bk using (entity_id) group by 1)"""
 
 
@@ -113,8 +117,8 @@ def t4_findings(b):
         "journal chart",
         """with n as (select entity_id, a.account, a.type, sum(debit - credit) as net, min(day) as first from journal j join chart a on a.account = j.account where day <= date '1996-12-31' group by all),
         r as (select entity_id, case when type in ('INCOME', 'EXPENSE') then '3200' else account end as account, sum(net)::bigint as net from n group by all having sum(net) <> 0)
-        select entity_id, (select min(first) - 1 from n where n.entity_id = r.entity_id and net <> 0)::date as day, account, greatest(-net, 0)::bigint as debit, greatest(net, 0)::bigint as credit from r
-        where entity_id not in (select entity_id from n where account = '1199' and net <> 0)""",
+        select entity_id, (select min(first) - 1 from n where n.entity_id = r.entity_id)::date as day, account, greatest(-net, 0)::bigint as debit, greatest(net, 0)::bigint as credit from r
+        where entity_id not in (select entity_id from n where account in ('1199', '1999') and net <> 0)""",
     ),
 )
 def t16(b):
@@ -132,20 +136,29 @@ def j16(b):
     "a21_receipts_and_revenue",
     with_views(
         "ord journal",
-        """with m as (select entity_id, (year(day) * 12 + month(day) - 1)::int as k, total // 2 as amount, case order_id % 5 when 0 then '1190' when 1 then '2100' when 2 then null when 3 then '1999' else '4100' end as account from ord where total // 2 > 0),
-        f as (select entity_id, k from (select entity_id, min(k) as first from m group by 1), (select unnest(range(1998 * 12 + 5 - 11, 1998 * 12 + 6))::int as k) where k >= first),
-        s as (select entity_id, k, sum(amount)::bigint as money_in, sum(case when account = '1190' then amount else 0 end)::bigint as transfers, sum(case when account = '2100' then amount else 0 end)::bigint as financing,
-                     sum(case when account is null or account = '1999' then amount else 0 end)::bigint as unclassified, sum(case when account = '4100' then amount else 0 end)::bigint as operating from m group by all),
+        """with z as (select order_id, entity_id, (year(day) * 12 + month(day) - 1)::int as k, case when order_id % 6 = 0 then -(total // 2) else total // 2 end as amount,
+                  case order_id % 5 when 0 then '1190' when 1 then '2100' when 2 then null when 3 then '1999' else '4100' end as account, order_id % 13 = 0 as review from ord),
+        f as (select entity_id, k from (select entity_id, min(k) as first from z group by 1), (select unnest(range(1998 * 12 + 5 - 11, 1998 * 12 + 6))::int as k) where k >= first),
+        w as (select entity_id, k, sum(amount)::bigint as money_in from z where amount > 0 group by all),
+        m as (select entity_id, k, review, account, amount from z where amount > 0 and order_id % 9 <> 4
+              union all select entity_id, k, review, '2100', amount // 3 from z where amount > 0 and order_id % 9 = 4
+              union all select entity_id, k, review, '4100', amount - amount // 3 from z where amount > 0 and order_id % 9 = 4),
+        s as (select entity_id, k, sum(case when account = '1190' and not review then amount else 0 end)::bigint as transfers, sum(case when account = '2100' and not review then amount else 0 end)::bigint as financing,
+                     sum(case when review or account is null or account = '1999' then amount else 0 end)::bigint as unclassified, sum(case when account = '4100' and not review then amount else 0 end)::bigint as operating from m group by all),
         r as (select entity_id, (year(day) * 12 + month(day) - 1)::int as k, sum(credit - debit)::bigint as revenue from journal where account = '4100' group by all)
         select f.entity_id, (f.k // 12)::int as year, (f.k % 12 + 1)::int as month, coalesce(money_in, 0) as money_in, coalesce(transfers, 0) as transfers, coalesce(financing, 0) as financing,
                coalesce(unclassified, 0) as unclassified, coalesce(operating, 0) as operating, coalesce(revenue, 0) as revenue, case when revenue > 0 then coalesce(operating, 0) * 1000 // revenue end as ratio
-        from f left join s on s.entity_id = f.entity_id and s.k = f.k left join r on r.entity_id = f.entity_id and r.k = f.k""",
+        from f left join w on w.entity_id = f.entity_id and w.k = f.k left join s on s.entity_id = f.entity_id and s.k = f.k left join r on r.entity_id = f.entity_id and r.k = f.k""",
     ),
 )
 def a21(b):
     account = F.when(F.col("order_id") % 5 == 0, "1190").when(F.col("order_id") % 5 == 1, "2100").when(F.col("order_id") % 5 == 3, "1999").when(F.col("order_id") % 5 == 4, "4100")
-    receipts = b.order().select("entity_id", "day", m.div("total", 2).alias("amount"), account.alias("account"))
-    return p.receipts_and_revenue(receipts, b.journal_line(("4100",)), b.chart(), 1998, 6)
+    half, n = m.div("total", 2), F.col("order_id")
+    status = F.when(n % 13 == 0, "NEEDS_REVIEW").otherwise("CONFIRMED")
+    bank = b.order().select(n.alias("line_id"), "entity_id", "day", F.when(n % 6 == 0, -half).otherwise(half).alias("amount"), account.alias("account"), status.alias("status"))
+    split, third = bank.filter("amount > 0 and line_id % 9 = 4"), m.div("amount", 3)
+    parts = split.select("line_id", F.lit("2100").alias("account"), third.alias("amount")).unionByName(split.select("line_id", F.lit("4100").alias("account"), (F.col("amount") - third).alias("amount")))
+    return p.receipts_and_revenue(bank, b.journal_line(("4100",)), b.chart(), 1998, 6, parts=parts)
 
 
 @register("a55_lines_of_month", with_views("journal", "select entity_id, account, count(*) as n_lines, count(distinct entry_id) as n_entries from journal where day between date '1998-06-01' and date '1998-06-30' group by all"))

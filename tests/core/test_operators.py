@@ -262,11 +262,62 @@ def test_posting_refuses_with_a_reason(spark):
     made, refused = posting.reversals(lines, asked)
     assert sorted((r.entry_id, r.account, r.debit, r.credit, str(r.day), r.reverses_id) for r in made.collect()) == [("Rm", "1", 0, 7, "2024-02-01", "m"), ("Rm", "4", 7, 0, "2024-02-01", "m")]
     assert sorted((r.entry_id, r.reason) for r in refused.collect()) == [("d", "AGAIN"), ("k", "KIND"), ("m", "AGAIN"), ("one", "EARLY"), ("x", "UNKNOWN")]
-    assert posting.opening_bridge(lines.filter("entity_id = 1"), chart, "2024-01-31").collect() == []
-    bridge = posting.opening_bridge(lines.filter("entity_id = 1 and entry_id <> 'k'"), chart, "2024-01-31").collect()
+    assert posting.opening_bridge(lines.filter("entity_id = 1"), chart, "2024-01-31", held=("2",)).collect() == []
+    bridge = posting.opening_bridge(lines.filter("entity_id = 1 and entry_id <> 'k'"), chart, "2024-01-31", held=("2",)).collect()
     assert sorted((str(r.day), r.account, r.debit, r.credit) for r in bridge) == [("2024-01-04", "1", 0, 7), ("2024-01-04", "3200", 7, 0)]
 
 
+def test_posting_drops_zero_lines_first(spark):
+    chart = spark.createDataFrame([("1", "ASSET"), ("4", "INCOME")], "account string, type string")
+    rows = [("a", "1", 7, 0), ("a", "4", 0, 7), ("a", "9", 0, 0), ("b", "1", 7, 0), ("b", "4", 0, 0), ("c", "1", 7, 7), ("c", "4", 0, 0), ("d", "1", -7, 0), ("d", "4", 0, -7), ("e", "1", 0, 0), ("f", "1", 7, None), ("f", "4", None, 7)]
+    lines = spark.createDataFrame([(e, 1, a, day(1), d, c) for e, a, d, c in rows], "entry_id string, entity_id int, account string, day date, debit long, credit long")
+    got = {r.entry_id: (r.n, r.reason) for r in posting.post_checks(lines, chart, "2023-12-31").collect()}
+    assert got == {"a": (2, None), "b": (1, "ONE_LINE"), "c": (1, "SIDES"), "d": (2, "SIDES"), "e": (0, "ONE_LINE"), "f": (2, None)}
+    assert sorted((r.entry_id, r.account) for r in posting.posted(lines, chart, "2023-12-31").collect()) == [("a", "1"), ("a", "4"), ("f", "1"), ("f", "4")]
+
+
+def test_reversals_of_reversals_and_owned_entries(spark):
+    schema = "entry_id string, entry_kind string, entity_id int, account string, day date, debit long, credit long, reverses_id string"
+    lines = spark.createDataFrame([(e, "MANUAL", 1, a, day(5), d, 7 - d, r) for e, r in (("m", None), ("n", None), ("d", None), ("Rd", "d"), ("i", None), ("x", None)) for a, d in (("1", 7), ("4", 0))], schema)
+    asked = spark.createDataFrame([("m", day(1)), ("m", day(8)), ("m", day(9)), ("n", day(2)), ("d", day(9)), ("Rd", day(9)), ("i", day(9)), ("x", day(9))], "entry_id string, day date")
+    owned = spark.createDataFrame([("i", "ASSET"), ("i", "SCHEDULE"), ("x", "CURRENCY")], "entry_id string, owner string")
+    made, refused = posting.reversals(lines, asked, owned=owned)
+    assert sorted((r.entry_id, r.day) for r in made.collect()) == [("Rm", day(8))] * 2
+    assert sorted((r.entry_id, r.day, r.reason) for r in refused.collect()) == [
+        ("Rd", day(9), "REVERSAL"), ("d", day(9), "AGAIN"), ("i", day(9), "SCHEDULE"), ("m", day(1), "EARLY"), ("m", day(9), "AGAIN"), ("n", day(2), "EARLY"), ("x", day(9), "CURRENCY"),
+    ]
+
+
+def test_openings_look_at_bank_lines(spark):
+    lines = spark.createDataFrame([("MANUAL", 1, day(0)), ("BANK", 1, day(20)), ("BANK", 2, day(5))], "entry_kind string, entity_id int, day date")
+    typed = spark.createDataFrame([(1, "1", 9, 0), (2, "1", 9, 0), (3, "1", 9, 4), (4, "1", 0, 0)], "entity_id int, account string, debit long, credit long")
+    made, heads = posting.openings(typed, lines, "2024-01-10")
+    assert {r.entity_id: r.reason for r in heads.collect()} == {1: None, 2: "LATE", 3: "SIDES", 4: "EMPTY"}
+    assert sorted((r.entity_id, r.account, r.debit, r.credit) for r in made.collect()) == [(1, "1", 9, 0), (1, "3290", 0, 9)]
+
+
+def test_bridge_starts_before_the_first_entry_and_keeps_unknown_accounts(spark):
+    chart = spark.createDataFrame([("1", "ASSET"), ("2", "LIABILITY"), ("4", "INCOME")], "account string, type string")
+    rows = [(1, "1", day(0), 5, 0), (1, "2", day(0), 0, 5), (1, "1", day(3), 0, 5), (1, "2", day(3), 5, 0), (1, "1", day(9), 8, 0), (1, "4", day(9), 0, 8)]
+    rows += [(2, "1", day(2), 4, 0), (2, "1999", day(2), 0, 4), (3, "1", day(2), 4, 0), (3, "7777", day(2), 0, 4), (4, "1", day(60), 1, 0), (4, "4", day(60), 0, 1)]
+    lines = spark.createDataFrame(rows, "entity_id int, account string, day date, debit long, credit long")
+    got = sorted((r.entity_id, r.day, r.account, r.debit, r.credit) for r in posting.opening_bridge(lines, chart, "2024-01-31").collect())
+    before = dt.date(2023, 12, 31)
+    assert got == [(1, before, "1", 0, 8), (1, before, "3200", 8, 0), (3, day(1), "1", 0, 4), (3, day(1), "7777", 4, 0)]
+
+
+def test_receipts_start_at_the_first_bank_line(spark):
+    chart = spark.createDataFrame([("4100", "INCOME", "REVENUE"), ("2100", "LIABILITY", "PAYABLES")], "account string, type string, fs_line string")
+    bank = [(1, dt.date(2024, 1, 9), -5, "4100", "POSTED"), (2, dt.date(2024, 3, 9), 90, "4100", "POSTED"), (3, dt.date(2024, 3, 9), 10, "4100", "NEEDS_REVIEW"), (4, dt.date(2024, 4, 9), 50, None, "POSTED"), (5, dt.date(2024, 4, 1), 7, None, "POSTED"), (6, dt.date(2024, 4, 2), 9, "1190", "POSTED")]
+    frame = spark.createDataFrame([(i, 1, *r) for i, *r in bank], "line_id long, entity_id int, day date, amount long, account string, status string")
+    parts = spark.createDataFrame([(4, "2100", 20), (4, "4100", 30)], "line_id long, account string, amount long")
+    lines = spark.createDataFrame([(1, "4100", dt.date(2024, 3, 5), 0, 60)], "entity_id int, account string, day date, debit long, credit long")
+    got = posting.receipts_and_revenue(frame, lines, chart, 2024, 4, parts=parts).orderBy("year", "month").collect()
+    assert [(r.month, r.money_in, r.transfers, r.financing, r.unclassified, r.operating, r.revenue, r.ratio) for r in got] == [
+        (1, 0, 0, 0, 0, 0, 0, None), (2, 0, 0, 0, 0, 0, 0, None), (3, 100, 0, 0, 10, 90, 60, 1500), (4, 66, 9, 20, 7, 30, 0, None),
+    ]
+
+
 def proofs_by_loop(rows, opening, chained):
     """States and expected balances of (day, debit, credit, balance) rows, one after the other."""
     states, expected, prev, pending = [], [], opening, []
