@@ -7,6 +7,9 @@ entries, urgent ones an intercompany transfer within the client. All amounts are
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ CHART = [
     ("7100", "Returns written off", "EXPENSE", "CAPITAL", "PLAIN"),
     ("8100", "Income tax", "EXPENSE", "TAX", "PLAIN"),
 ]
+JOURNAL = "entry_id string, entry_kind string, client_id int, entity_id int, day date, month int, account string, debit bigint, credit bigint, contact_id bigint"
 # Rates of USD in IDR by date and kind.
 RATES = [
     ("1994-12-31", "SPOT", 2200), ("1995-01-31", "SPOT", 2212), ("1995-12-31", "SPOT", 2308), ("1996-06-30", "SPOT", 2342), ("1996-12-31", "SPOT", 2383), ("1996-12-31", "AVERAGE", 2349),
@@ -43,8 +47,21 @@ RATES = [
 ]
 
 
+#: Where an application has stored the journal of a folder.
+_journals: dict[tuple[str, str], str] = {}
+
+
+def _shared_dir(spark: SparkSession) -> str | None:
+    """The folder that all executors share, a temporary one of a local session, or None on a cluster that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    return tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else None
+
+
 class Books:
-    """The derived tables of one folder of Parquet files; frames are plans, nothing runs here."""
+    """The derived tables of one folder of Parquet files. Frames are plans; only the journal is a table, written
+    once an application and folder, so that a report that reads it many times derives it once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -112,8 +129,25 @@ class Books:
         """entry_id, entry_kind, client_id, entity_id, day, month, account, debit, credit, contact_id.
 
         Legs that are zero are left out, so exactly one side of a line is set. Of ``accounts`` alone if
-        given; other legs are then never built.
+        given: the stored table is partitioned by account, so others are not read.
         """
+        path = self._journal()
+        if path is None:
+            return self._derived(accounts)
+        rows = self.spark.read.schema(JOURNAL).parquet(path).select(*(c.split()[0] for c in JOURNAL.split(", ")))
+        return rows if accounts is None else rows.filter(F.col("account").isin(*accounts))
+
+    def _journal(self) -> str | None:
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        folder = _shared_dir(self.spark)
+        if key not in _journals and folder is not None:
+            path = f"{folder}/{key[0]}/journal-{uuid.uuid4().hex}"
+            # dealt by account and month, so that an account's files are as many as its months allow
+            self._derived(None).repartition("account", "month").sortWithinPartitions("account", "entity_id", "day").write.partitionBy("account").parquet(path)
+            _journals[key] = path
+        return _journals.get(key)
+
+    def _derived(self, accounts: tuple[str, ...] | None) -> DataFrame:
         heads = self.order().select("order_id", "contact_id", "entity_id", "client_id")
         by_day = self.sale().groupBy("order_id", "ship_day").agg(
             F.sum("net").alias("net"), F.sum("tax").alias("tax"), F.sum("cost").alias("cost"), F.sum(F.when(F.col("returned"), F.col("net")).otherwise(0)).alias("returned")

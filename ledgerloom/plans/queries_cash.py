@@ -13,7 +13,7 @@ from .oracle import with_views
 def booked(b):
     """The journal's cash and receivables with line_id and the bank line behind an entry; sales of every seventh order are the proceeds."""
     lines = b.journal_line(("1100", "1130")).withColumn("line_id", F.concat_ws("-", "entry_id", "account"))
-    bank_id = F.when(F.col("entry_id").startswith("C"), F.expr("substring(entry_id, 2)").cast("long"))
+    bank_id = F.when(F.col("entry_id").startswith("C"), F.expr("try_cast(substring(entry_id, 2) as bigint)"))
     lines = lines.withColumn("bank_id", bank_id)
     order = F.expr("substring(entry_id, 2)")
     asked = lines.filter(F.col("entry_id").startswith("S") & (F.substring_index(order, "-", 1).cast("long") % 7 == 0) & (F.col("account") == "1130"))

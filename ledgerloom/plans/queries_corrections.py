@@ -111,7 +111,7 @@ def x7(b):
 
 def with_differences(b):
     """The purchases, of which every fourth has its payable as a source difference on suspense, and an old balance of every third entity."""
-    rows = b.journal_line().filter("entry_kind = 'MANUAL'").withColumn("n", F.expr("substring(entry_id, 2)").cast("long"))
+    rows = b.journal_line().filter("entry_kind = 'MANUAL'").withColumn("n", F.expr("try_cast(substring(entry_id, 2) as bigint)"))
     turned = (F.col("account") == "2100") & (F.col("n") % 4 == 0)
     rows = rows.withColumn("line_id", F.concat_ws("-", "entry_id", "account")).withColumn("source", turned).withColumn("account", F.when(turned, c.SUSPENSE).otherwise(F.col("account")))
     old = b.entity().filter("entity_id % 3 = 0").select(
@@ -144,7 +144,7 @@ def t15(b):
 
 def imported(b):
     """Cash entries as statements and purchases as ledger files, by entity and month, and what rests on some of them."""
-    lines = b.journal_line().filter("entry_kind in ('BANK', 'MANUAL') and (entry_id like 'C%' or entry_id like 'P%')").withColumn("n", F.expr("substring(entry_id, 2)").cast("long"))
+    lines = b.journal_line().filter("entry_kind in ('BANK', 'MANUAL') and (entry_id like 'C%' or entry_id like 'P%')").withColumn("n", F.expr("try_cast(substring(entry_id, 2) as bigint)"))
     lines = lines.withColumn("kind", F.substring("entry_id", 1, 1)).withColumn("import_id", F.concat_ws("-", "kind", "entity_id", "month"))
     lines = lines.withColumn("entry_kind", F.when((F.col("kind") == "P") & (F.col("n") % 503 == 0), "OPENING").otherwise(F.col("entry_kind")))
     imports = lines.groupBy("import_id").agg(F.min("entity_id").alias("entity_id"), F.when(F.min("kind") == "C", "STATEMENT").otherwise("LEDGER").alias("kind"), F.when(F.min("month") % 11 == 0, "DRAFT").otherwise("POSTED").alias("status"))

@@ -410,3 +410,13 @@ def test_settings_and_periods(spark):
         4: (d(2024, 7, 1), first, None, None, None),
         5: (first, first, None, None, None),
     }
+
+
+def test_stored_journal_equals_the_derived_one(spark):
+    from ledgerloom.plans.model import Books
+
+    books = Books(spark, "/root/testdata/sf0.001")
+    stored, derived = books.journal_line(), books._derived(None)
+    assert stored.dtypes == derived.dtypes and stored.exceptAll(derived).isEmpty() and derived.exceptAll(stored).isEmpty()
+    assert books.journal_line(("1130", "4100")).exceptAll(books._derived(("1130", "4100"))).isEmpty()
+    assert Books(spark, "/root/testdata/sf0.001")._journal() == books._journal()
