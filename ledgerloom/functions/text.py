@@ -129,3 +129,35 @@ def amount_marker(text) -> Column:
     # The forms of the marker.
     word = F.upper(F.regexp_extract(t, r"(?i)\d[^A-Za-z]*\b?(CR|DB|DR|D|C|K)\.?$", 1))
     return F.when(word.isin("DB", "DR", "D"), "DB").when(word != "", "CR").when(t.rlike(r"^[\d.,\s]*\d[\d.,\s]*-$"), "DB")
+
+
+# Words of loans, capital and moved money, of what they cost, and of tax payments.
+FINANCING = r"(?i)\b(PINJAMAN|LOAN|PRK|PLAFON|ANGSURAN|POKOK|PENCAIRAN (?:KREDIT|KMK|KI)|PELUNASAN (?:KREDIT|KMK|KI)|SETORAN MODAL|MODAL|DEPOSITO|PENEMPATAN|PINDAH ?BUKU|OVERBOOK\w*|ANTAR REKENING)\b"
+FINANCING_COST = r"(?i)\b(BUNGA|INTEREST|BIAYA|FEE|ADM\w*|PAJAK|TAX|MATERAI|STAMP|PROVISI)\b"
+INTEREST = r"(?i)\b(BUNGA|INTEREST)\b"
+FEES = r"(?i)\b(BIAYA|FEE|ADM\w*|MATERAI|STAMP|PROVISI)\b"
+CAPITAL = r"(?i)\b(SETORAN MODAL|MODAL)\b"
+LOAN_IN = r"(?i)\b(PINJAMAN|LOAN|PLAFON|PRK|PENCAIRAN (?:KREDIT|KMK|KI))\b"
+LOAN_OUT = r"(?i)\b(ANGSURAN|POKOK|PINJAMAN|LOAN|PLAFON|PRK|PELUNASAN (?:KREDIT|KMK|KI))\b"
+OWN_MOVE = r"(?i)\b(PINDAH ?BUKU|OVERBOOK\w*|ANTAR REKENING)\b"
+TAX_PAYMENT = r"(?i)\b(MPN|DJP|SSP|KPP|NTPN|KODE BILLING|PENERIMAAN NEGARA|(?:BAYAR|SETOR|SETORAN|PEMBAYARAN) PAJAK)\b|^\s*PAJAK\s*$"
+REGIONAL_TAX = r"(?i)\b(KONSULTAN|KENDARAAN|PKB|PBB|BPHTB|REKLAME|HOTEL|RESTORAN|SAMSAT|BBNKB|AIR TANAH|PARKIR|DAERAH|BAPENDA|BAPPEDA)\b"
+
+
+def text_account(description, direction) -> Column:
+    """C4: the account that a description's words suggest, else null. Words of financing come first: interest and fees that go out are
+    costs, other costs suggest nothing, loans go before capital and before money that only moves. Then a payment of a tax to
+    the state; regional taxes and advisers are costs."""
+    has = lambda p: _col(description).rlike(p)
+    out = _col(direction) == "OUT"
+    financing = (
+        F.when(has(INTEREST), F.when(out, "7110"))
+        .when(has(FEES), F.when(out, "7100"))
+        .when(has(FINANCING_COST), F.lit(None).cast("string"))
+        .when(~out & has(LOAN_IN), "2210")
+        .when(~out & has(CAPITAL), "3100")
+        .when(out & has(LOAN_OUT), "2210")
+        .when(has(OWN_MOVE), "1199")
+    )
+    tax = F.when(out & has(TAX_PAYMENT) & ~has(REGIONAL_TAX), "2145")
+    return F.coalesce(F.when(has(FINANCING), financing), tax)

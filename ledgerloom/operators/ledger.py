@@ -198,7 +198,7 @@ def account_ledger(lines: DataFrame, account: str, start: str, end: str) -> Data
     opening = rows.filter(F.col("day") < date(start)).groupBy("entity_id").agg(total(net()).alias("opening"))
     entries = rows.filter(F.col("day") >= date(start)).groupBy("entity_id", "day", "entry_id").agg(total("debit").alias("debit"), total("credit").alias("credit"))
     running = Window.partitionBy("entity_id").orderBy("day", "entry_id").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.join(F.broadcast(opening), "entity_id", "left").select(
+    return entries.join(opening, "entity_id", "left").select(
         "entity_id", "day", "entry_id", "debit", "credit", (F.coalesce("opening", F.lit(0)) + F.sum(net()).over(running)).cast("long").alias("balance")
     )
 
@@ -250,7 +250,7 @@ def flux(lines: DataFrame, chart: DataFrame, month: str, baseline: int = 3) -> D
         total(F.when(now, natural)).alias("current"), total(F.when(~now, natural)).alias("before"), F.count_distinct(F.when(~now, F.col("month"))).alias("n_before"), F.count_if(now).alias("_now")
     )
     volume = base.filter((F.col("month") < m) & F.col("type").isin("INCOME", "EXPENSE")).groupBy("client_id").agg(total(F.abs(natural)).alias("volume"))
-    rows = rows.join(F.broadcast(volume), "client_id", "left").fillna(0, ["volume"])
+    rows = rows.join(volume, "client_id", "left").fillna(0, ["volume"])
     change = F.col("current") * F.lit(baseline) - F.col("before")
     kind = (
         F.when((F.col("_now") == 0) & (F.col("n_before") == baseline), "DORMANT")

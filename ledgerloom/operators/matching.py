@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import business_days_apart
-from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, tax_id, third_party_name
+from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, plain_words, tax_id, text_account, third_party_name
 from .ledger import total
 
 
@@ -38,7 +38,7 @@ def transfer_lines(lines: DataFrame, entity: DataFrame | None = None) -> DataFra
         own = own.groupBy(by).agg(
             F.array_distinct(F.concat(F.collect_list("name"), F.collect_list("bare"))).alias("_names"), F.transform(longest, lambda x: x["pattern"]).alias("_patterns")
         )
-        rows = lines.join(F.broadcast(own), by, "left").withColumn("_names", F.coalesce("_names", empty)).withColumn("_patterns", F.coalesce("_patterns", empty)).drop("_group")
+        rows = lines.join(own, by, "left").withColumn("_names", F.coalesce("_names", empty)).withColumn("_patterns", F.coalesce("_patterns", empty)).drop("_group")
     rows = rows.withColumn("third_party", third_party_name("description", "_patterns"))
     hint = F.upper("description").rlike(TRANSFER_HINT) | mentions("description", "_names")
     return rows.withColumn("hinted", F.coalesce(hint & free, F.lit(False))).drop("_names", "_patterns")
@@ -97,10 +97,14 @@ def transfer_suggestions(lines: DataFrame, entity: DataFrame | None = None) -> D
 
 
 def own_name_lines(lines: DataFrame, entity: DataFrame) -> DataFrame:
-    """Unpaired lines with a transfer hint whose description names an own entity."""
-    names = F.broadcast(entity.select(F.col("entity_id").alias("named_id"), F.col("entity_name").alias("name")))
-    rows = lines.filter(F.upper("description").rlike(TRANSFER_HINT)).join(names, F.expr("upper(description) rlike concat('\\\\b', name, '\\\\b')"))
-    return rows.groupBy("line_id").agg(F.min("named_id").alias("named_id"))
+    """Unpaired lines with a transfer hint whose description names an own entity, as whole words.
+
+    Lines meet the names of which they hold the first word, and only those are looked for."""
+    names = entity.select(F.col("entity_id").alias("named_id"), plain_words("entity_name").alias("name")).filter("name <> ''").withColumn("_word", F.substring_index("name", " ", 1))
+    rows = lines.filter(F.upper("description").rlike(TRANSFER_HINT)).select("line_id", plain_words("description").alias("_text"))
+    rows = rows.withColumn("_word", F.explode(F.array_distinct(F.split("_text", " ")))).join(names, "_word")
+    held = F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
+    return rows.filter(held).groupBy("line_id").agg(F.min("named_id").alias("named_id"))
 
 
 # Words of a text that identify no one.
@@ -170,18 +174,25 @@ def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, sin
 
     Entries of kind OPENING or RECLASS and those under ``materiality`` never pair, nor do two of kind
     BANK, nor two of one ``import_id`` whose ``memo`` differs; the later one is not before ``since``.
-    Columns that aren't there exclude nothing. Only entries with a neighbour near enough are grouped."""
+    Columns that aren't there exclude nothing. Entries with no neighbour of the same amount, number of lines and
+    hash near enough are left at once; the lines of the others are compared, and only equal ones near enough are grouped."""
     has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
-    signature = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "account", "debit", "credit"))), "|"))
     memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")
     entries = lines.groupBy("entity_id", "entry_id").agg(
-        F.min("day").alias("day"), signature.alias("signature"), total("debit").alias("amount"),
+        F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("account", "debit", "credit")).alias("_mix"),
         has("entry_kind").cast("string").alias("kind"), has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo"),
     )
     entries = entries.filter(~F.coalesce("kind", F.lit("")).isin("OPENING", "RECLASS") & (F.col("amount") >= materiality))
-    order = Window.partitionBy("entity_id", "signature").orderBy("day", "entry_id")
-    near = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
-    entries = entries.withColumn("_near", near).filter("_near").drop("_near")
+
+    def near(rows, *by):
+        order = Window.partitionBy("entity_id", *by).orderBy("day", "entry_id")
+        there = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
+        return rows.withColumn("_near", there).filter("_near").drop("_near", *(c for c in by if c != "signature" and c != "amount"))
+
+    entries = near(entries, "amount", "_n", "_mix")
+    signature = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "account", "debit", "credit"))), "|"))
+    same = lines.join(entries.select("entity_id", "entry_id"), ["entity_id", "entry_id"], "left_semi").groupBy("entity_id", "entry_id").agg(signature.alias("signature"))
+    entries = near(entries.join(same, ["entity_id", "entry_id"]), "signature")
     entries = entries.withColumn("since", F.lit(since).cast("date"))
     types = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
     schema = f"entity_id {types['entity_id']}, entry_id {types['entry_id']}, other_id {types['entry_id']}, day date, other_day date, amount {types['amount']}"
@@ -256,19 +267,19 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def classified(lines: DataFrame, pairs: DataFrame, rules: DataFrame, memory: DataFrame) -> DataFrame:
     """The first that answers: transfer, rule, memory, tax text, guess; and whether to post.
 
-    A line's rule is the one of the least priority and the longest pattern that its description holds;
-    rules and memory are small dimensions."""
+    A line's rule is the one of the least priority and the longest pattern that its description holds; rules
+    are a list that people keep by hand, memory grows with the merchants and is joined."""
     keyed = lines.withColumn("merchant", merchant_key("description")).withColumn("direction", F.when(F.col("amount") < 0, "OUT").otherwise("IN"))
     sure = pairs.filter("confidence_pct = 99")
     pair = sure.select(F.col("out_id").alias("line_id"), F.col("account").alias("_t")).unionByName(sure.select(F.col("in_id").alias("line_id"), F.col("account").alias("_t")))
     hit = keyed.select("line_id", "description").join(F.broadcast(rules), F.upper("description").contains(F.col("pattern")))
     hit = hit.groupBy("line_id").agg(F.min_by("rule_account", F.struct("priority", -F.length("pattern"), "pattern")).alias("_r"))
-    known = F.broadcast(memory.select("merchant", "direction", F.col("memory_account").alias("_m")))
+    known = memory.select("merchant", "direction", F.col("memory_account").alias("_m"))
     rows = keyed.join(pair, "line_id", "left").join(hit, "line_id", "left").join(known, ["merchant", "direction"], "left")
     m = F.when(~is_generic_key("merchant"), F.col("_m"))
-    tax = F.upper("description").rlike(r"\bPAJAK\b|\bPPH\b|\bPPN\b|DJP")
-    method = F.when(F.col("_t").isNotNull(), "TRANSFER").when(F.col("_r").isNotNull(), "RULE").when(m.isNotNull(), "MEMORY").when(tax, "TEXT").otherwise("HEURISTIC")
-    account = F.coalesce("_t", "_r", m, F.when(tax, "2130"), F.when(F.col("direction") == "OUT", "6200").otherwise("4100"))
+    text = text_account("description", "direction")
+    method = F.when(F.col("_t").isNotNull(), "TRANSFER").when(F.col("_r").isNotNull(), "RULE").when(m.isNotNull(), "MEMORY").when(text.isNotNull(), "TEXT").otherwise("HEURISTIC")
+    account = F.coalesce("_t", "_r", m, text, F.when(F.col("direction") == "OUT", "6200").otherwise("4100"))
     confidence = F.when(method == "TRANSFER", 99).when(method == "RULE", 97).when(method == "MEMORY", 95).when(method == "TEXT", 50).otherwise(30)
     post = (confidence >= 90) & ~method.isin("AI", "HEURISTIC")
     return rows.select("line_id", "merchant", method.alias("method"), account.alias("account"), confidence.alias("confidence_pct"), F.when(post, account).otherwise("1999").alias("posted_to"))

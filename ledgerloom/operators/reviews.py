@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import fiscal_year_start, month_start
+from ..functions.text import FINANCING, FINANCING_COST
 from .ledger import date
 
-# Words of loans, capital and moved money, and of what they cost.
-FINANCING = r"(?i)\b(PINJAMAN|LOAN|PRK|PLAFON|ANGSURAN|POKOK|PENCAIRAN (?:KREDIT|KMK|KI)|PELUNASAN (?:KREDIT|KMK|KI)|SETORAN MODAL|MODAL|DEPOSITO|PENEMPATAN|PINDAH ?BUKU|OVERBOOK\w*|ANTAR REKENING)\b"
-FINANCING_COST = r"(?i)\b(BUNGA|INTEREST|BIAYA|FEE|ADM\w*|PAJAK|TAX|MATERAI|STAMP|PROVISI)\b"
 #: An answer of a model below it is a guess.
 GUESS_PERCENT = 60
 

@@ -1,5 +1,7 @@
 """Statements from the journal (balances, income, equity, cash flow, controls on them)."""
 
+from pyspark.sql import functions as F
+
 from ..operators import currency as fx
 from ..operators import ledger as gl
 from .catalog import register
@@ -98,9 +100,9 @@ def a7c(b):
     return gl.balance_check(b.journal_line(), b.chart(), AS_OF)
 
 
-@register("a8_unmapped_accounts", with_views("chart", "select account, type, fs_line from chart where account = '7100'"))
+@register("a8_unmapped_accounts", with_views("chart journal", "select account, type, fs_line from chart where account = '7100' and account in (select account from journal)"))
 def a8(b):
-    return gl.unmapped(b.chart())
+    return gl.unmapped(b.chart().join(b.journal_line().select("account").distinct(), "account", "left_semi"))
 
 
 @register(
@@ -324,6 +326,8 @@ def j8(b):
     return fx.rates_as_of(b.order().select("day").distinct(), b.rates())
 
 
-@register("m7_inverse_rates", with_views("rates", "select rate_date, ((10000000000 * 2 + rate) // (2 * rate))::bigint as inverse from rates where kind = 'SPOT'"))
+@register("m7_inverse_rates", with_views("ord", "select day as rate_date, ((10000000000 * 2 + rate) // (2 * rate))::bigint as inverse from (select day, max(total) // 1000 as rate from ord group by 1)"))
 def m7(b):
-    return fx.inverse_rates(b.rates())
+    # the largest order of a day as its rate
+    rates = b.order().groupBy(F.col("day").alias("rate_date")).agg(F.expr("max(total) div 1000").alias("rate")).withColumn("kind", F.lit("SPOT"))
+    return fx.inverse_rates(rates)

@@ -46,9 +46,21 @@ def j4(b):
     return mt.transfer_pairs(b.bank_line(), b.entity())
 
 
-@register("j5_own_name_lines", with_views("bank_line entity", f"select line_id, min(e.entity_id) as named_id from bank_line b join entity e on regexp_matches(upper(description), '\\b' || entity_name || '\\b') where {HINT} group by 1"))
+@register(
+    "j5_own_name_lines",
+    with_views(
+        "bank_line entity",
+        f"""with x as (select line_id, case when line_id % 5 = 0 then description || ' ' || n.entity_name when line_id % 5 = 1 then description || ' ' || n.entity_name || 'S' else description end as description
+                       from bank_line join entity n on n.entity_id = line_id % 25)
+        select line_id, min(e.entity_id) as named_id from x join entity e on contains(' ' || regexp_replace(upper(description), '[^A-Z0-9]+', ' ', 'g') || ' ', ' ' || trim(regexp_replace(upper(entity_name), '[^A-Z0-9]+', ' ', 'g')) || ' ') where {HINT} group by 1""",
+    ),
+)
 def j5(b):
-    return mt.own_name_lines(b.bank_line(), b.entity())
+    """Every fifth line names an entity, and every fifth one a longer word."""
+    names = b.entity().select(F.col("entity_id").alias("_k"), "entity_name")
+    rows = b.bank_line().withColumn("_k", (F.col("line_id") % 25).cast("int")).join(names, "_k")
+    said = F.when(F.col("line_id") % 5 == 0, F.concat_ws(" ", "description", "entity_name")).when(F.col("line_id") % 5 == 1, F.concat(F.col("description"), F.lit(" "), F.col("entity_name"), F.lit("S")))
+    return mt.own_name_lines(rows.withColumn("description", F.coalesce(said, "description")), b.entity())
 
 
 @register(
@@ -75,13 +87,22 @@ def j12(b):
     "j21_duplicate_entries",
     with_views(
         "journal",
-        """with e as (select entity_id, entry_id, min(day) as day, string_agg(account || ':' || debit || ':' || credit, '|' order by account || ':' || debit || ':' || credit) as s, sum(debit)::bigint as amount from journal group by all),
+        """with j as (select entity_id, entry_id, day, account, debit, credit from journal
+                      union all select entity_id, 'D' || entry_id, (day + 1)::date, account, debit, credit from journal where entry_id[1] = 'P' and try_cast(entry_id[2:] as bigint) % 50 = 0
+                      union all select entity_id, 'F' || entry_id, (day + 9)::date, account, debit, credit from journal where entry_id[1] = 'P' and try_cast(entry_id[2:] as bigint) % 70 = 0),
+        e as (select entity_id, entry_id, min(day) as day, string_agg(account || ':' || debit || ':' || credit, '|' order by account || ':' || debit || ':' || credit) as s, sum(debit)::bigint as amount from j group by all),
         n as (select *, lead(entry_id) over w as other_id, lead(day) over w as other_day from e window w as (partition by entity_id, s order by day, entry_id))
         select entity_id, entry_id, other_id, day, other_day, amount from n where other_day - day <= 3""",
     ),
 )
 def j21(b):
-    return mt.duplicate_entries(b.journal_line())
+    """Purchases of every fiftieth order are booked again a day later, and of every seventieth too late to count."""
+    lines = b.journal_line()
+    n = F.expr("try_cast(substring(entry_id, 2) as bigint)")
+    bought = lines.filter("entry_id like 'P%'")
+    again = bought.filter(n % 50 == 0).withColumn("entry_id", F.concat(F.lit("D"), "entry_id")).withColumn("day", F.date_add("day", 1))
+    late = bought.filter(n % 70 == 0).withColumn("entry_id", F.concat(F.lit("F"), "entry_id")).withColumn("day", F.date_add("day", 9))
+    return mt.duplicate_entries(lines.unionByName(again).unionByName(late))
 
 
 @register(
@@ -351,3 +372,31 @@ def a47(b):
     lines = b.journal_line()
     items = open_items(b.invoice(), b.settlement(), "1998-06-30")
     return c.entity_controls(trial_balance(lines, b.chart(), "1998-06-30", ("client_id", "entity_id")), subledger_proof(b.journal_line(("1130",)), items, "1130", "1998-06-30"))
+
+
+PHRASES = [
+    "BAYAR PAJAK KPP", "PAJAK KENDARAAN SAMSAT", "ANGSURAN POKOK KREDIT", "BUNGA PINJAMAN", "SETORAN MODAL", "PENCAIRAN KREDIT MODAL KERJA", "PINDAHBUKU", "JASA KONSULTAN SETOR PAJAK", "PROVISI PLAFON",
+    "PAJAK DEPOSITO", "PEMBAYARAN PAJAK HOTEL", "NTPN 77", "PAJAKAN", "OVERBOOKING",
+]
+_say = lambda p: p.replace("(?i)", "").replace("'", "''")
+_has = lambda p: f"regexp_matches(said, '{_say(p)}', 'i')"
+
+
+@register(
+    "c4_text_accounts",
+    with_views(
+        "bank_line",
+        f"""with x as (select line_id, amount, description || ' ' || ({PHRASES!r})[line_id % {len(PHRASES)} + 1] as said from bank_line)
+        select line_id, case when {_has(t.FINANCING)} and {_has(t.INTEREST)} then case when amount < 0 then '7110' end
+                             when {_has(t.FINANCING)} and {_has(t.FEES)} then case when amount < 0 then '7100' end
+                             when {_has(t.FINANCING)} and not {_has(t.FINANCING_COST)} and amount >= 0 and {_has(t.LOAN_IN)} then '2210'
+                             when {_has(t.FINANCING)} and not {_has(t.FINANCING_COST)} and amount >= 0 and {_has(t.CAPITAL)} then '3100'
+                             when {_has(t.FINANCING)} and not {_has(t.FINANCING_COST)} and amount < 0 and {_has(t.LOAN_OUT)} then '2210'
+                             when {_has(t.FINANCING)} and not {_has(t.FINANCING_COST)} and {_has(t.OWN_MOVE)} then '1199'
+                             when amount < 0 and {_has(t.TAX_PAYMENT)} and not {_has(t.REGIONAL_TAX)} then '2145' end as account from x""",
+    ),
+)
+def c4(b):
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("line_id") % len(PHRASES) + 1).cast("int"))
+    direction = F.when(F.col("amount") < 0, "OUT").otherwise("IN")
+    return b.bank_line().select("line_id", t.text_account(F.concat_ws(" ", "description", phrase), direction).alias("account"))
