@@ -163,3 +163,89 @@ def progressive_tax(taxable) -> Column:
         total = total + div(F.greatest(F.lit(0), top - low) * percent, 100)
         low = high
     return total
+
+
+# Symbols of currencies, and what one unit may plausibly cost in IDR.
+SYMBOLS = {"IDR": "Rp", "SGD": "S$", "USD": "US$", "EUR": "€", "AUD": "A$", "MYR": "RM", "CNY": "CN¥", "JPY": "¥", "HKD": "HK$", "GBP": "£"}
+IDR_BAND = {"USD": (3000, 60000), "SGD": (3000, 60000), "EUR": (3000, 80000), "GBP": (3000, 90000), "AUD": (2000, 50000), "CNY": (500, 10000), "HKD": (500, 10000), "MYR": (500, 20000), "JPY": (20, 1000)}
+# Fixed value: digits before the decimals that a typed amount may have.
+MOST_DIGITS = 15
+
+
+def _of(currency, table: dict, item=lambda v: v) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, item(v))])[_col(currency)]
+
+
+def strict_money(text, currency) -> tuple[Column, Column]:
+    """M4: an amount as a person types it, dots between thousands and a comma before decimals, in minor units, and why it can't be
+    read (null: it can): FORM, UNSURE (thousands or decimals: "250,000"), LARGE, DECIMALS (more than the currency has). It is
+    never rounded and never guessed. Null or blank is 0."""
+    s = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"\s", "")
+    names = "|".join(rf"\Q{x}\E" for pair in SYMBOLS.items() for x in pair)
+    part = lambda n: F.regexp_extract(s, rf"(?i)^(\(?)(-?)((?:{names})\.?)?(\d{{1,3}}(?:\.\d{{3}})+|\d+)(?:,(\d+))?(\)?)$", n)
+    mark, grouped, fraction = F.upper(part(3)), part(4), part(5)
+    led = mark.isin("") | (mark == F.upper(_of(currency, SYMBOLS))) | (mark == F.upper(_of(currency, SYMBOLS, lambda v: f"{v}."))) | (mark == _col(currency))
+    shape = F.concat(part(1), part(2), part(6))  # brackets or a minus, not both
+    digits, places = F.regexp_replace(grouped, r"\.", ""), exponent(currency)
+    problem = (
+        F.when(s == "", F.lit(None).cast("string"))
+        .when((grouped == "") | ~shape.isin("", "-", "()") | ~led, "FORM")
+        .when(~grouped.contains(".") & (F.length(fraction) == 3) & ((places == 0) | ~fraction.rlike("[1-9]")), "UNSURE")
+        .when(F.length(F.regexp_replace(digits, "^0+", "")) > MOST_DIGITS, "LARGE")
+        .when(F.substring(fraction, places + 1, F.length(fraction)).rlike("[1-9]"), "DECIMALS")
+    )
+    minor = F.concat(digits, F.rpad(F.substring(fraction, F.lit(1), places), places, "0")).try_cast("long")
+    return F.when(s == "", F.lit(0).cast("long")).when(problem.isNull(), F.when(shape == "", minor).otherwise(-minor)), problem
+
+
+def parse_rate(text) -> tuple[Column, Column]:
+    """M8: a positive decimal rate as an integer and its decimals, both null if it is none or zero. Commas group thousands, or one
+    stands before the decimals."""
+    s = F.regexp_replace(_col(text), r"\s", "")
+    plain = F.when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.regexp_replace(s, ",", "")).when(s.rlike(r"^\d+,\d+$"), F.regexp_replace(s, ",", ".")).otherwise(s)
+    fine = plain.rlike(r"^\d+(\.\d+)?$") & plain.rlike("[1-9]")
+    number = F.when(fine, F.regexp_replace(plain, r"\.", "")).try_cast("decimal(38,0)")
+    return number, F.when(number.isNotNull(), F.length(F.regexp_extract(plain, r"\.(\d+)$", 1)))
+
+
+def normal_rate(text, currency=None, quote=None) -> Column:
+    """M8: a typed rate with a point before its decimals. Of two kinds of separators the last stands before decimals; groups of
+    three behind one kind are thousands, unless a zero leads. With a pair, one group is decimals between foreign
+    currencies, and against IDR what lies in the currency's plausible band alone."""
+    s = F.regexp_replace(_col(text), r"\s", "")
+    dots, commas = F.length(F.regexp_replace(s, r"[^.]", "")), F.length(F.regexp_replace(s, "[^,]", ""))
+    last_is_dot = s.rlike(r"\.[^.,]*$")
+    both = F.when(last_is_dot, F.replace(s, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(F.replace(s, F.lit("."), F.lit("")), "^([^,]*),", "$1."))
+    groups = s.rlike(r"^\d{1,3}(\.\d{3})+$") | s.rlike(r"^\d{1,3}(,\d{3})+$")
+    thousands = F.regexp_replace(s, "[.,]", "")
+    decimal = F.regexp_replace(s, "^([^.,]*)[.,]", "$1.")
+    guess = thousands
+    if currency is not None:
+        foreign = (_col(currency) != "IDR") & (_col(quote) != "IDR")
+        to_idr = _col(quote) == "IDR"
+        base = F.when(to_idr, _col(currency)).otherwise(_col(quote))
+        low, high = _of(base, IDR_BAND, lambda v: float(v[0])), _of(base, IDR_BAND, lambda v: float(v[1]))
+        lies = lambda n: F.coalesce(F.when(to_idr, n.between(low, high)).otherwise(n.between(1 / high, 1 / low)), F.lit(False))
+        as_decimal = lies(decimal.try_cast("double")) & ~lies(thousands.try_cast("double"))
+        guess = F.when(foreign, F.when(dots + commas > 1, thousands).otherwise(decimal)).when(low.isNull(), thousands).when(as_decimal, decimal).otherwise(thousands)
+    return F.when((dots > 0) & (commas > 0), both).when(dots + commas == 0, s).when(~groups | s.startswith("0"), decimal).otherwise(guess)
+
+
+def format_rate(number, scale) -> Column:
+    """A rate's canonical text: no zeros at its end."""
+    digits = _col(number).cast("string")
+    digits = F.lpad(digits, F.greatest(F.length(digits), _col(scale) + 1), "0")
+    cut = F.length(digits) - _col(scale)
+    fraction = F.regexp_replace(F.substring(digits, cut + 1, F.length(digits)), "0+$", "")
+    return F.concat(F.substring(digits, F.lit(1), cut), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+
+
+def format_money(value, currency, accounting: bool = False, bare: bool = False) -> Column:
+    """M9: minor units as text, dots between thousands and a comma before decimals; below zero with a minus or in brackets."""
+    places, amount = exponent(currency), F.abs(_col(value).cast(WIDE))
+    unit = power10(places)
+    whole = F.regexp_replace(F.regexp_replace(div(amount, unit).cast("string"), r"(?<=\d)(?=(\d{3})+$)", "."), "^$", "0")
+    body = F.concat(whole, F.when(places > 0, F.concat(F.lit(","), F.lpad((amount % unit).cast("long").cast("string"), places, "0"))).otherwise(""))
+    shown = body if bare else F.concat(_of(currency, SYMBOLS), F.lit(" "), body)
+    below = F.concat(F.lit("("), shown, F.lit(")")) if accounting else F.concat(F.lit("-"), shown)
+    return F.when(_col(value) < 0, below).otherwise(shown)

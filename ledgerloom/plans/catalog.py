@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_cash, queries_corrections, queries_headers, queries_ledger, queries_matching, queries_posting, queries_receivables, queries_registers, queries_relational, queries_reviews, queries_staging  # noqa: F401
+    from . import queries_cash, queries_corrections, queries_headers, queries_ledger, queries_matching, queries_posting, queries_receivables, queries_registers, queries_relational, queries_reviews, queries_staging, queries_typed  # noqa: F401
