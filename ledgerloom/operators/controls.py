@@ -68,3 +68,33 @@ def completeness(rows: DataFrame, year: int, least: int = 1) -> DataFrame:
     cells = cells.join(found, ["entity_id", "month"], "left").join(first, "entity_id", "left")
     state = F.when(F.col("first").isNull() | (F.col("month") < F.col("first")), "BEFORE").when(F.col("n").isNull(), "MISSING").when(F.col("n") < least, "BROKEN").otherwise("OK")
     return cells.select("entity_id", "month", state.alias("state"))
+
+
+def opening_controls(lines: DataFrame, start: str, end: str, difference: str = "3290") -> DataFrame:
+    """By entity with lines up to ``end``, entity_id, check_key, status, amount of two checks.
+
+    OPENING_DIFFERENCE fails while the account that took an opening's imbalance holds money. OPENING_RECORDED is to be
+    reviewed in the month in which the books begin without an OPENING or an IMPORTED entry: their first balance is zero."""
+    held = lines.filter(F.col("day") <= date(end)).groupBy("entity_id").agg(
+        total(F.when(F.col("account") == difference, F.col("debit") - F.col("credit")).otherwise(0)).alias("amount"),
+        F.min("day").alias("first"),
+    )
+    # an opening may be dated at any day, and an import be recorded later
+    begun = lines.groupBy("entity_id").agg(F.max(F.col("entry_kind").isin("OPENING", "IMPORTED")).alias("begun"))
+    rows = held.join(begun, "entity_id")
+    asked = ~F.col("begun") & (F.col("first") >= date(start))
+    cells = F.array(
+        F.struct(F.lit("OPENING_DIFFERENCE").alias("check_key"), F.when(F.col("amount") != 0, "FAIL").otherwise("PASS").alias("status"), F.abs("amount").alias("amount")),
+        F.struct(F.lit("OPENING_RECORDED").alias("check_key"), F.when(asked, "REVIEW").otherwise("PASS").alias("status"), F.lit(0).cast("long").alias("amount")),
+    )
+    return rows.select("entity_id", F.inline(cells))
+
+
+def foreign_banks(lines: DataFrame, banks: DataFrame, end: str) -> DataFrame:
+    """Entities whose books hold money on a bank account of another entity: entity_id, amount, accounts (a text).
+
+    ``banks``: account, entity_id of its owner; an account with several owners is foreign to each entity that isn't the only one."""
+    owners = banks.select("account", F.col("entity_id").alias("owner")).distinct()
+    sums = lines.filter(F.col("day") <= date(end)).groupBy("entity_id", "account").agg(total(F.col("debit") - F.col("credit")).alias("net")).filter("net <> 0")
+    others = sums.join(owners, "account").filter(F.col("owner") != F.col("entity_id")).select("entity_id", "account", "net").distinct()
+    return others.groupBy("entity_id").agg(total("net").alias("amount"), F.array_join(F.array_sort(F.collect_list("account")), ", ").alias("accounts"))
