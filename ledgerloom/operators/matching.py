@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import business_days_apart
 from ..functions.text import LEGAL_FORMS, TRANSFER_HINT, is_generic_key, mentions, merchant_key, normal_name, own_name_pattern, plain_words, tax_id, text_account, third_party_name
+from .folds import folded
 from .ledger import total
 
 
@@ -178,44 +179,43 @@ def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, sin
     hash near enough are left at once; the lines of the others are compared, and only equal ones near enough are grouped."""
     has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
     memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")
-    entries = lines.groupBy("entity_id", "entry_id").agg(
-        F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("account", "debit", "credit")).alias("_mix"),
-        has("entry_kind").cast("string").alias("kind"), has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo"),
-    )
-    entries = entries.filter(~F.coalesce("kind", F.lit("")).isin("OPENING", "RECLASS") & (F.col("amount") >= materiality))
+    # numbers and days alone, so that the entries are hashed and not sorted
+    entries = lines.groupBy("entity_id", "entry_id").agg(F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("account", "debit", "credit")).alias("_mix"))
 
     def near(rows, *by):
         order = Window.partitionBy("entity_id", *by).orderBy("day", "entry_id")
         there = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
-        return rows.withColumn("_near", there).filter("_near").drop("_near", *(c for c in by if c != "signature" and c != "amount"))
+        return rows.withColumn("_near", there).filter("_near").drop("_near")
 
-    entries = near(entries, "amount", "_n", "_mix")
+    alike = near(entries.filter(F.col("amount") >= materiality), "amount", "_n", "_mix").select("entity_id", "entry_id", "day", "amount")
     signature = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "account", "debit", "credit"))), "|"))
-    same = lines.join(entries.select("entity_id", "entry_id"), ["entity_id", "entry_id"], "left_semi").groupBy("entity_id", "entry_id").agg(signature.alias("signature"))
-    entries = near(entries.join(same, ["entity_id", "entry_id"]), "signature")
+    same = lines.join(alike.select("entity_id", "entry_id"), ["entity_id", "entry_id"], "left_semi").groupBy("entity_id", "entry_id").agg(
+        signature.alias("signature"), has("entry_kind").cast("string").alias("kind"), has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo")
+    )
+    entries = alike.join(same, ["entity_id", "entry_id"]).filter(~F.coalesce("kind", F.lit("")).isin("OPENING", "RECLASS"))
+    entries = near(entries, "signature")
     entries = entries.withColumn("since", F.lit(since).cast("date"))
     types = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
     schema = f"entity_id {types['entity_id']}, entry_id {types['entry_id']}, other_id {types['entry_id']}, day date, other_day date, amount {types['amount']}"
 
     def pairs(rows):
-        import pandas as pd
-
-        rows = rows.sort_values(["day", "entry_id"]).to_dict("records")
-        out, used = [], set()
-        for i, x in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                y = rows[j]
-                if i in used or (y["day"] - x["day"]).days > days:
-                    break
-                late = not pd.isna(y["since"]) and y["day"] < y["since"]
+        waiting: list[dict] = []  # free entries of the last days, in order
+        for y in rows:
+            waiting = [x for x in waiting if (y["day"] - x["day"]).days <= days]
+            late = y["since"] is not None and y["day"] < y["since"]
+
+            def allowed(x, y=y):
                 same_file = x["import_id"] is not None and x["import_id"] == y["import_id"] and x["memo"] != y["memo"]
-                if j in used or late or same_file or x["kind"] == y["kind"] == "BANK":
-                    continue
-                used |= {i, j}
-                out.append((x["entity_id"], x["entry_id"], y["entry_id"], x["day"], y["day"], x["amount"]))
-        return pd.DataFrame(out, columns=["entity_id", "entry_id", "other_id", "day", "other_day", "amount"])
+                return not same_file and not x["kind"] == y["kind"] == "BANK"
+
+            x = None if late else next(filter(allowed, waiting), None)
+            if x is None:
+                waiting.append(y)
+            else:
+                waiting.remove(x)
+                yield {"entity_id": x["entity_id"], "entry_id": x["entry_id"], "other_id": y["entry_id"], "day": x["day"], "other_day": y["day"], "amount": x["amount"]}
 
-    return entries.groupBy("entity_id", "signature").applyInPandas(pairs, schema)
+    return folded(entries, ["entity_id", "signature"], ["day", "entry_id"], pairs, schema)
 
 
 def overlapping_ranges(rows: DataFrame, key: str, start: str, end: str, row_id: str) -> DataFrame:
