@@ -26,6 +26,9 @@ class DigestIndex:
     keep_id is null and every row is kept. Repeated rows with the winning doc_id are the same
     document and are all kept. An empty batch gives an empty result. Columns other than doc_id and
     text are not looked at.
+
+    A batch that is added again under the ``batch`` name it had, as after a driver was lost before the
+    answer was stored, gets the answer of the first time, and only what is missing of it is appended.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
@@ -43,9 +46,11 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Returns doc_id, keep_id, group_size, kept, known (in the index before), text_sha256."""
-        batch = uuid.uuid4().hex
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Returns doc_id, keep_id, group_size, kept, known (in the index before), text_sha256.
+
+        ``batch`` names the rows; without a name they are a batch of their own each time."""
+        batch = uuid.uuid4().hex if batch is None else batch
         keyed = stage(docs.select("doc_id", text_digest(docs["text"]).alias("digest")), "digests")
         groups = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         index = self.spark.table(self.table)
