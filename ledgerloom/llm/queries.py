@@ -123,10 +123,19 @@ ORACLES = {
             union all select conv_id, turn, line from g where level = 0
             union all select conv_id, turn, body from b),
         f as (select conv_id, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) as norm, min(turn) as origin from w group by all),
+        c as (select conv_id, turn, copy, passage, level, n, trim(regexp_replace(lower(line), '[ \t\r\n]+', ' ', 'g')) as norm from g),
+        y as (select conv_id, turn, copy, chr(10) || string_agg(norm, chr(10) order by n) || chr(10) as lines from c where level = 0 and norm <> '' group by all),
+        z as (
+            select conv_id, turn, copy, passage, chr(10) || string_agg(norm, chr(10) order by n) || chr(10) as lines
+            from c where level > 0 and norm <> '' group by all having count(*) > 1),
+        x as (
+            select z.conv_id, z.turn, z.copy, z.passage, min(y.turn) as origin
+            from z join y on y.conv_id = z.conv_id and contains(y.lines, z.lines) group by all),
         q as (
-            select r.conv_id, r.turn, r.copy, r.passage, r.level, case when f.origin < r.turn then f.origin end as origin
+            select r.conv_id, r.turn, r.copy, r.passage, r.level, case when f.origin < r.turn then f.origin when x.origin < r.turn then x.origin end as origin
             from (select *, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) as norm from r where level > 0) r
-            left join f on f.conv_id = r.conv_id and f.norm = r.norm where r.norm <> ''),
+            left join f on f.conv_id = r.conv_id and f.norm = r.norm
+            left join x on x.conv_id = r.conv_id and x.turn = r.turn and x.copy = r.copy and x.passage = r.passage where r.norm <> ''),
         k as (
             select conv_id, turn, copy, count(*) as n_quotes, count(origin) as n_linked,
                    arg_min(origin, level * 1000000000 + passage) filter (origin is not null) as origin

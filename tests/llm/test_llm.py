@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 from hashlib import sha256
 from itertools import combinations
@@ -11,7 +12,7 @@ import pytest
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import embedding_dedup, language_id, packing, repeats, shared, token_files, toxicity
+from ledgerloom.llm import embedding_dedup, language_id, packing, queries, repeats, shared, token_files, toxicity
 from ledgerloom.llm.embedding_dedup import near_vectors
 from ledgerloom.llm.exact_dedup import DigestIndex
 from ledgerloom.llm.graph import components
@@ -159,6 +160,129 @@ def test_quotations_of_several_lines_of_a_longer_message(spark):
     assert got[2, 1].n_linked == 0 and (got[2, 3].answers_turn, got[2, 3].n_linked) == (2, 1)
 
 
+def brute_quotations(rows):
+    """(conv, turn, copy): what it answers, quotes, links, depth, by looking at every pair of messages of a conversation."""
+    squeeze = lambda t: re.sub("[ \t\r\n]+", " ", t.lower()).strip(" ")
+    first, copies = lambda x: (x is not None, x or 0), collections.Counter()
+    parsed = collections.defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (first(r[0]), first(r[1]), (r[2] is not None, r[2] or ""), (r[3] is not None, r[3] or ""))):
+        runs = []
+        for line in (text or "").split("\n"):
+            marks = re.match(r"^([ \t]*>)+", line)
+            level = marks.group().count(">") if marks else 0
+            line = re.sub(r"^([ \t]*>)+ ?", "", line)
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(line)
+        parsed[conv].append((turn, copies[conv, turn], runs))
+        copies[conv, turn] += 1
+    out = {}
+    for conv, messages in parsed.items():
+        turns, ups = sorted({t for t, _, _ in messages}, key=first), {}
+        for turn, copy, runs in messages:
+            links, quotes = [], 0
+            for at, (level, lines) in enumerate(runs):
+                whole, parts = squeeze("\n".join(lines)), [squeeze(x) for x in lines if squeeze(x)]
+                if level == 0 or not whole:
+                    continue
+                quotes += 1
+                same, inside = [], []
+                for other, _, theirs in messages:
+                    own = [ls for k, ls in theirs if k == 0]
+                    body = [x for ls in own for x in ls]
+                    if whole in [squeeze("\n".join(ls)) for ls in own] + [squeeze(x) for x in body] + [squeeze("\n".join("\n".join(ls) for ls in own))]:
+                        same.append(other)
+                    said = [squeeze(x) for x in body if squeeze(x)]
+                    if len(parts) > 1 and any(said[i : i + len(parts)] == parts for i in range(len(said))):
+                        inside.append(other)
+                for found in (same, inside):
+                    if found and first(min(found, key=first)) < first(turn):
+                        links.append((level, at, min(found, key=first)))
+                        break
+            before = [t for t in turns if first(t) < first(turn)]
+            answers = min(links, key=lambda x: x[:2])[2] if links else before[-1] if before else "none"
+            out[conv, turn, copy] = [None if answers == "none" else answers, quotes, len(links), 0]
+            ups[turn] = min(ups.get(turn, answers), answers, key=lambda a: (a != "none", first(a) if a != "none" else 0))
+        for turn, copy, _ in messages:
+            up = ups[turn]
+            while up != "none":
+                out[conv, turn, copy][3] += 1
+                up = ups[up]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_quotations_match_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(21)
+    lines = ["a", "b", "A  b", "", "c d", "e"]
+    rows = []
+    for conv in [None, *range(40)]:
+        for turn in [None, *range(rng.randrange(2, 9))]:
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                text = "\n".join(rng.choice(["", "", "", "> ", "> ", ">> ", ">"]) + rng.choice(lines) for _ in range(rng.randrange(1, 8)))
+                rows.append((conv, turn, rng.choice(["user", "bot", None]), rng.choice([text] * 9 + [None])))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    result = queries.QUERIES["op2_chat_formatting"](spark, str(tmp_path))
+    got = result.collect()
+    want = brute_quotations(rows)
+    assert {(r.conv_id, r.turn, r.copy): (r.answers_turn, r.n_quotes, r.n_linked, r.depth) for r in got} == want
+    assert sum(v[2] for v in want.values()) > 100
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    said = con.execute(queries.ORACLES["op2_chat_formatting"]).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got))) == sorted(map(repr, said))
+
+
+def plain_features(text):
+    """The hashed words, stems, pairs and skip-pairs of a text, one by one."""
+    import xxhash
+
+    found = re.findall(r"[^\W_]+", text.lower())
+    hashes, most = [xxhash.xxh64_intdigest(w) for w in found], (1 << 64) - 1
+    a, b, c = (int(x) for x in toxicity.MULTIPLIERS)
+    out = hashes + [xxhash.xxh64_intdigest(w[: toxicity.STEM], 1) for w in found if len(w) > toxicity.STEM]
+    out += [(x * a + y * b) & most for x, y in zip(hashes, hashes[1:])] + [(x * b + y * c) & most for x, y in zip(hashes, hashes[2:])]
+    return {((((h ^ (h >> 31)) * a) & most) >> 34) & toxicity.SPACE for h in out}
+
+
+def test_toxicity_matches_a_plain_loop(spark):
+    """Weights and scores by FTRL one coordinate at a time; clashing names, a very long text and repeated rows."""
+    rng = random.Random(15)
+    rows = [(i, words(rng, 12, 40) + (" scoundrel" if i % 3 == 0 else ""), "x", 7, b"f") for i in range(160)]
+    rows += [(500, words(rng, 60_000, 40), "x", 7, b"f"), (501, "", "x", 7, b"f"), (502, None, "x", 7, b"f"), rows[3], rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, score int, features binary")
+    marks = [(i, int(i % 3 == 0)) for i in range(160)]
+    got = toxicity.score(docs, spark.createDataFrame([(i, t, 1, "y") for i, t in marks], "doc_id long, toxic int, shard int, text string"), l1=0.5).collect()
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    toxic = dict(marks)
+    seen = [(toxic[i], sorted(plain_features(t or ""))) for i, t, *_ in rows if i in toxic and not held(i)]
+    seen.sort(key=lambda x: (x[0], np.array(x[1], dtype="<i8").tobytes()))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(c):
+        penalty = 0.0 if c == "bias" else 0.5
+        return 0.0 if abs(z[c]) <= penalty else -(z[c] - np.sign(z[c]) * penalty) / (1.0 + n[c] ** 0.5)
+
+    for _ in range(3):
+        for k in np.random.default_rng(7).permutation(len(seen)):
+            label, features = seen[k]
+            used = [*features, "bias"]
+            w = {c: weight(c) for c in used}
+            g = 1 / (1 + np.exp(-max(-30, min(30, sum(w.values()))))) - label
+            for c in used:
+                z[c] += g - ((n[c] + g * g) ** 0.5 - n[c] ** 0.5) * w[c]
+                n[c] += g * g
+    final = {c: weight(c) for c in z if abs(weight(c)) > 1e-3}
+    for r in got:
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        total = final.get("bias", 0.0) + sum(final.get(c, 0.0) for c in plain_features(text or ""))
+        assert abs(r.score - 1 / (1 + np.exp(-max(-30, min(30, total))))) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == held(r.doc_id)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     bad = ["scum", "moron"]
@@ -192,6 +316,20 @@ def test_digest_index_keeps_and_remembers(spark):
     spark.sql("drop table digests_test")
 
 
+def test_a_batch_that_is_added_again_gets_its_answer(spark):
+    index = DigestIndex(spark, "digests_again", buckets=4)
+    answer = lambda rows: sorted((r.doc_id, r.keep_id, r.kept, r.known) for r in rows.collect())
+    index.add(documents(spark, ["a", "b"])).count()
+    first = documents(spark, ["b", "c", "C", "d"], [10, 11, 12, 13])
+    lost = index.add(first, batch="one")  # its answer is never read
+    index.add(documents(spark, ["d", "e"], [20, 21]), batch="two").count()
+    want = [(10, 1, False, True), (11, 12, False, False), (12, 12, True, False), (13, 13, True, False)]
+    assert answer(index.add(first, batch="one")) == want == answer(lost)
+    assert answer(index.add(documents(spark, ["d", "e"], [20, 21]), batch="two")) == [(20, 13, False, True), (21, 21, True, False)]
+    assert spark.table("digests_again").count() == 5
+    spark.sql("drop table digests_again")
+
+
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:
@@ -529,3 +667,14 @@ def test_pipeline_stages_keep_columns(spark, texts, tmp_path):
     taken = {r.doc_id for r in mix_plan(docs.filter(docs.doc_id.isin(kept))).collect() if r.taken}
     assert {r.doc_id for r in out} == taken
     check_places([(r.sequence_id, r.offset, r.length) for r in out], 2048)
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    documents(spark, texts).write.parquet(f"{tmp_path}/clash/documents.parquet")
+    documents(spark, texts).drop("digest", "k1", "anchor", "component", "n", "id").write.parquet(f"{tmp_path}/plain/documents.parquet")
+    out = [sorted(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/{k}").select("doc_id", "piece", "length", "ids_crc32").collect())) for k in ("clash", "plain")]
+    assert out[0] == out[1] and out[0]
