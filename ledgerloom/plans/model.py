@@ -147,6 +147,15 @@ class Books:
             _journals[key] = path
         return _journals.get(key)
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """A frame that is read several times, written to the shared folder; itself on a cluster that names none."""
+        folder = _shared_dir(self.spark)
+        if folder is None:
+            return df
+        path = f"{folder}/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _derived(self, accounts: tuple[str, ...] | None) -> DataFrame:
         heads = self.order().select("order_id", "contact_id", "entity_id", "client_id")
         by_day = self.sale().groupBy("order_id", "ship_day").agg(
