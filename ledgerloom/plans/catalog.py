@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_cash, queries_controls, queries_corrections, queries_coverage, queries_headers, queries_ledger, queries_mapping, queries_matching, queries_mt940, queries_posting, queries_receivables, queries_registers, queries_relational, queries_reviews, queries_staging, queries_typed  # noqa: F401
+    from . import queries_cash, queries_controls, queries_corrections, queries_coverage, queries_headers, queries_layouts, queries_ledger, queries_mapping, queries_matching, queries_mt940, queries_posting, queries_receivables, queries_registers, queries_relational, queries_reviews, queries_staging, queries_typed  # noqa: F401

@@ -47,11 +47,18 @@ def bank_of(text) -> Column:
 
 
 def delimiter(lines) -> Column:
-    """The separator that most of the first lines have most often."""
-    text = F.array_join(F.slice(lines, 1, 30), "\n")
-    count = lambda d: F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
-    tabs, semis, commas = count("\t"), count(";"), count(",")
-    return F.when((tabs >= semis) & (tabs >= commas) & (tabs > 0), "\t").when((semis >= commas) & (semis > 0), ";").otherwise(",")
+    """Of tab, semicolon and comma the one that splits most of the first twelve lines into the same number of
+    cells, by lines times separators (the first at a tie); separators within quotes don't count. A comma if none is there."""
+    first = F.slice(F.filter(lines, lambda line: F.trim(line) != ""), 1, 12)
+    bare = F.transform(first, lambda line: F.regexp_replace(line, '"[^"]*("|$)', ""))
+
+    def score(d: str) -> Column:
+        counts = F.filter(F.transform(bare, lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))), lambda n: n > 0)
+        most = F.array_max(F.transform(counts, lambda n: F.struct(F.size(F.filter(counts, lambda m: m == n)).alias("lines"), n.alias("n"))))
+        return F.coalesce(most["lines"] * most["n"], F.lit(0))
+
+    tabs, semis, commas = map(score, "\t;,")
+    return F.when((tabs > 0) & (tabs >= semis) & (tabs >= commas), "\t").when((semis > 0) & (semis >= commas), ";").otherwise(",")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -139,6 +146,37 @@ def day_month_evidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("order", F.when(F.col("day_first") & ~F.col("month_first"), "DMY").when(F.col("month_first") & ~F.col("day_first"), "MDY").when(F.col("day_first"), "CONFLICT").otherwise("UNKNOWN"))
 
 
+# A date of two numbers and an optional year and time.
+NUMERIC_DATE = r"^(\d{1,2})[/.-](\d{1,2})(?:[/.-](\d{2}|\d{4}))?(?:[ T]+\d{1,2}[:.]\d{2}(?:[:.]\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?(?:\s*(?:Z|[+-]\d{2}:?\d{2}))?)?$"
+
+
+def date_orders(rows: DataFrame) -> DataFrame:
+    """File, order, day_first and month_first (the first text that proves each), n: how a file writes numeric dates.
+
+    ``rows``: file, row_number, date_text. DMY or MDY by a number above 12, MIXED by both; without proof the order in which
+    the dates run in time, oldest or newest first, DMY if both do; UNKNOWN if neither does. Files without a numeric date have no row."""
+    text = F.trim(F.regexp_replace("date_text", "^'", ""))
+    rows = rows.select("file", "row_number", text.alias("t")).filter(F.col("t").rlike(NUMERIC_DATE))
+    part = lambda k: F.regexp_extract("t", NUMERIC_DATE, k)
+    year = F.when(part(3) == "", 0).when(F.length(part(3)) == 2, part(3).try_cast("int") + 2000).otherwise(part(3).try_cast("int"))
+    rows = rows.withColumn("a", part(1).cast("int")).withColumn("b", part(2).cast("int")).withColumn("y", year)
+    a, b = F.col("a"), F.col("b")
+    key = lambda d, m: F.when(m.between(1, 12) & d.between(1, 31), F.col("y") * 10_000 + m * 100 + d)
+    rows = rows.withColumn("dmy", key(a, b)).withColumn("mdy", key(b, a))
+    before = Window.partitionBy("file").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
+    for c in ("dmy", "mdy"):
+        rows = rows.withColumn(f"_{c}", F.col(c) - F.last(c, ignorenulls=True).over(before))
+    proof = lambda one, other: one.between(13, 31) & other.between(1, 12)
+    runs = lambda c: (F.coalesce(F.min(f"_{c}"), F.lit(0)) >= 0) | (F.coalesce(F.max(f"_{c}"), F.lit(0)) <= 0)
+    found = rows.groupBy("file").agg(
+        F.min_by("t", F.when(proof(a, b), F.col("row_number"))).alias("day_first"), F.min_by("t", F.when(proof(b, a), F.col("row_number"))).alias("month_first"),
+        runs("dmy").alias("_d"), runs("mdy").alias("_m"), F.count("*").alias("n"),
+    )
+    d, m = F.col("day_first").isNotNull(), F.col("month_first").isNotNull()
+    order = F.when(d & m, "MIXED").when(d, "DMY").when(m, "MDY").when(F.col("_d"), "DMY").when(F.col("_m"), "MDY").otherwise("UNKNOWN")
+    return found.select("file", order.alias("order"), "day_first", "month_first", "n")
+
+
 def unpivoted(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, str]]) -> DataFrame:
     """A trial balance's column groups (name to debit and credit columns) as rows of net amounts."""
     array = F.array(*[F.struct(F.lit(g).alias("column_group"), (F.coalesce(parse_cents(d), F.lit(0)) - F.coalesce(parse_cents(c), F.lit(0))).alias("net")) for g, (d, c) in groups.items()])
