@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_index
 
 
+def after(key: str, order: str) -> WindowSpec:
+    """All later rows of a key, read from its end: a frame that ends at the last row is summed anew for
+    each row, one that begins at the first row only grows. The next row is the last of the frame."""
+    return Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def rejects(rows: DataFrame, cap: int = 10**15) -> DataFrame:
     """Rows that may not be imported and why."""
     reason = F.when(F.col("amount") == 0, "ZERO").when(~F.year("day").between(2000, 2100), "DATE").when(F.abs("amount") > cap, "AMOUNT")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import after
 from .posting import proved_days
 
 
@@ -20,7 +21,7 @@ def repaired_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     all its balances and its closing then agree. Else nothing is changed, and what the balances suggest is
     noted as FLIP_UNPROVED or AMOUNT_UNPROVED."""
     along = Window.partitionBy(key).orderBy(order)
-    before, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    before, later = along.rowsBetween(Window.unboundedPreceding, -1), after(key, order)
     only = F.coalesce("balance_only", F.lit(False))
     rows = rows.withColumn("written", F.when(only, 0).otherwise(F.col("amount")).cast("long"))
     rows = rows.withColumn("_island", F.count("balance").over(before)).withColumn("_base", F.coalesce(F.last("balance", ignorenulls=True).over(before), "opening"))
