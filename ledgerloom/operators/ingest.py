@@ -79,8 +79,7 @@ def statement_proofs(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def later_balances(rows: DataFrame, key: str, order: str) -> DataFrame:
     """``confirmed``: whether a later row prints a balance."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("confirmed", F.coalesce(F.max(F.col("balance").isNotNull()).over(w), F.lit(False)))
+    return rows.withColumn("confirmed", F.coalesce(F.max(F.col("balance").isNotNull()).over(after(key, order)), F.lit(False)))
 
 
 def month_ranges(rows: DataFrame, key: str) -> DataFrame:

@@ -17,3 +17,10 @@ def test_repairs_read_later_balances_in_frames_that_only_grow(spark):
     found = rp.repaired_rows(df, "file", "n")
     assert "unboundedfollowing" not in plan(found)
     assert sorted((r["file"], r["n"], r["note"]) for r in found.collect()) == [("f", 1, None), ("f", 2, "FLIP_UNPROVED"), ("g", 1, None), ("g", 2, "FLIP_UNPROVED")]
+
+
+def test_later_balances_come_from_a_frame_that_only_grows(spark):
+    rows = [("a", n, 1 if n in (3, 6) else None) for n in range(1, 9)]
+    found = ing.later_balances(spark.createDataFrame(rows, "k string, n int, balance long"), "k", "n")
+    assert "unboundedfollowing" not in plan(found)
+    assert [r["confirmed"] for r in found.orderBy("n").collect()] == [True] * 5 + [False] * 3
