@@ -60,7 +60,7 @@ def proved_rows(rows: DataFrame, key: str, order: str, chained: bool = False) ->
         turn = F.when(F.col("day").eqNullSafe(F.lag("day").over(w)), 0).otherwise(1)
         rows = rows.withColumn("_turn", turn).withColumn("_turn", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         settled = F.when(F.col("state") != "NO_BALANCE", F.struct("state", "_turn"))
-        rows = rows.withColumn("_next", F.first(settled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        rows = rows.withColumn("_next", F.last(settled, ignorenulls=True).over(after(key, order)))
         proves = (F.col("state") == "NO_BALANCE") & (F.col("_next._turn") == F.col("_turn")) & F.col("_next.state").isin("OK", "BREAK")
         rows = rows.withColumn("state", F.when(proves, F.col("_next.state")).otherwise(F.col("state"))).drop("_turn", "_next")
     return rows.drop("_m", "_island", "_base")

@@ -24,3 +24,11 @@ def test_later_balances_come_from_a_frame_that_only_grows(spark):
     found = ing.later_balances(spark.createDataFrame(rows, "k string, n int, balance long"), "k", "n")
     assert "unboundedfollowing" not in plan(found)
     assert [r["confirmed"] for r in found.orderBy("n").collect()] == [True] * 5 + [False] * 3
+
+
+def test_chained_proofs_come_from_a_frame_that_only_grows(spark):
+    rows = [("a", 1, "2024-01-01", 0, 5, None, 0), ("a", 2, "2024-01-01", 0, 5, 10, 0), ("a", 3, "2024-01-01", 0, 1, None, 0), ("a", 4, "2024-01-02", 0, 1, 13, 0), ("a", 5, "2024-01-02", 0, 1, None, 0)]
+    df = spark.createDataFrame(rows, "k string, n int, d string, debit long, credit long, balance long, opening long").withColumn("day", F.to_date("d"))
+    found = ing.proved_rows(df, "k", "n", chained=True)
+    assert "unboundedfollowing" not in plan(found)
+    assert [r["state"] for r in found.orderBy("n").collect()] == ["OK", "OK", "NO_BALANCE", "BREAK", "NO_BALANCE"]
