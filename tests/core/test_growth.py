@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money as m
 from ledgerloom.operators import ingest as ing
+from ledgerloom.operators import matching, posting
 from ledgerloom.operators import repair as rp
+from ledgerloom.plans.model import Books
 
 
 def plan(df):
@@ -39,3 +41,12 @@ def test_amounts_are_small_expressions(spark):
     found = df.select(m.parse_rupiah("x").alias("r"), m.parse_cents("x").alias("c"))
     assert plan(found).count("regexp_replace") < 100  # names of one text by names of it grew beyond what compiles
     assert [tuple(r) for r in found.collect()] == [(-1235, -123456), (-1235, -123456), (1235, 123450), (0, 0), (0, 0), (None, None), (-7, -700)]
+
+
+def test_the_stored_journal_is_a_row_an_entry_dealt_once(spark):
+    b = Books(spark, "/root/testdata/sf0.001")
+    path, lines = b._journal(), b.journal_line()
+    rows = sum(spark.read.parquet(f"{path}/{part}").count() for part in ("heads", "sales"))
+    assert rows * 3 < lines.count()
+    # an entry's legs meet before the shuffle
+    assert plan(b._sales(spark.read.parquet(f"{path}/heads"))).count("Exchange hashpartitioning(order_id") <= 2
