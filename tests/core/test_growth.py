@@ -50,3 +50,9 @@ def test_the_stored_journal_is_a_row_an_entry_dealt_once(spark):
     assert rows * 3 < lines.count()
     # an entry's legs meet before the shuffle
     assert plan(b._sales(spark.read.parquet(f"{path}/heads"))).count("Exchange hashpartitioning(order_id") <= 2
+
+
+def test_checks_sum_entries_before_their_one_shuffle(spark):
+    lines = Books(spark, "/root/testdata/sf0.001").journal_line()
+    checked = posting.post_checks(lines, spark.createDataFrame([("1100",)], "account string"), "1993-12-31")
+    assert "LeftSemi" not in plan(checked) and plan(checked).split("== Physical Plan ==")[1].count("Exchange hashpartitioning(entry_id") == 1
