@@ -175,25 +175,30 @@ def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, sin
 
     Entries of kind OPENING or RECLASS and those under ``materiality`` never pair, nor do two of kind
     BANK, nor two of one ``import_id`` whose ``memo`` differs; the later one is not before ``since``.
-    Columns that aren't there exclude nothing. Entries with no neighbour of the same amount, number of lines and
-    hash near enough are left at once; the lines of the others are compared, and only equal ones near enough are grouped."""
+    Columns that aren't there exclude nothing. Lines are the same if their amount, number and 128 bits of
+    hashes are; entries without such a neighbour near enough are left at once. An entry has one kind."""
     has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
-    memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")
-    # numbers and days alone, so that the entries are hashed and not sorted
-    entries = lines.groupBy("entity_id", "entry_id").agg(F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("account", "debit", "credit")).alias("_mix"))
-
-    def near(rows, *by):
-        order = Window.partitionBy("entity_id", *by).orderBy("day", "entry_id")
-        there = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
-        return rows.withColumn("_near", there).filter("_near").drop("_near")
-
-    alike = near(entries.filter(F.col("amount") >= materiality), "amount", "_n", "_mix").select("entity_id", "entry_id", "day", "amount")
-    signature = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "account", "debit", "credit"))), "|"))
-    same = lines.join(alike.select("entity_id", "entry_id"), ["entity_id", "entry_id"], "left_semi").groupBy("entity_id", "entry_id").agg(
-        signature.alias("signature"), has("entry_kind").cast("string").alias("kind"), has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo")
-    )
-    entries = alike.join(same, ["entity_id", "entry_id"]).filter(~F.coalesce("kind", F.lit("")).isin("OPENING", "RECLASS"))
-    entries = near(entries, "signature")
+    kind = F.col("entry_kind") if "entry_kind" in lines.columns else F.lit(None).cast("string")
+    is_kind = lambda *kinds: F.coalesce(F.max(kind.isin(*kinds)), F.lit(False))
+    # the sums of two hashes of 64 bits, in halves that don't overflow, are the same for the same lines in any order;
+    # numbers and days alone, so that the entries are hashed and not sorted, and one pass over the lines
+    hashes = F.xxhash64("account", "debit", "credit"), F.xxhash64(F.lit("again"), "credit", "account", "debit")
+    halves = {f"_h{i}{j}": F.sum(half) for i, h in enumerate(hashes) for j, half in enumerate((F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))))}
+    entries = lines.groupBy("entity_id", "entry_id").agg(
+        F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), is_kind("BANK").alias("bank"), is_kind("OPENING", "RECLASS").alias("_never"),
+        *[h.alias(name) for name, h in halves.items()],
+    )
+    entries = entries.filter((F.col("amount") >= materiality) & ~F.col("_never"))
+    order = Window.partitionBy("entity_id", "amount", "_n", *halves).orderBy("day", "entry_id")
+    there = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
+    signature = F.concat_ws(":", "amount", "_n", *halves)
+    entries = entries.withColumn("_near", there).filter("_near").select("entity_id", "entry_id", "day", "amount", "bank", signature.alias("signature"))
+    if {"import_id", "memo"} & set(lines.columns):
+        memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")
+        said = lines.join(entries.select("entity_id", "entry_id"), ["entity_id", "entry_id"], "left_semi").groupBy("entity_id", "entry_id").agg(has("import_id").cast("string").alias("import_id"), F.coalesce(memo, F.lit("")).alias("memo"))
+        entries = entries.join(said, ["entity_id", "entry_id"])
+    else:
+        entries = entries.withColumn("import_id", F.lit(None).cast("string")).withColumn("memo", F.lit(""))
     entries = entries.withColumn("since", F.lit(since).cast("date"))
     types = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
     schema = f"entity_id {types['entity_id']}, entry_id {types['entry_id']}, other_id {types['entry_id']}, day date, other_day date, amount {types['amount']}"
@@ -206,7 +211,7 @@ def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, sin
 
             def allowed(x, y=y):
                 same_file = x["import_id"] is not None and x["import_id"] == y["import_id"] and x["memo"] != y["memo"]
-                return not same_file and not x["kind"] == y["kind"] == "BANK"
+                return not same_file and not (x["bank"] and y["bank"])
 
             x = None if late else next(filter(allowed, waiting), None)
             if x is None:

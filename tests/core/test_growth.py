@@ -56,3 +56,11 @@ def test_checks_sum_entries_before_their_one_shuffle(spark):
     lines = Books(spark, "/root/testdata/sf0.001").journal_line()
     checked = posting.post_checks(lines, spark.createDataFrame([("1100",)], "account string"), "1993-12-31")
     assert "LeftSemi" not in plan(checked) and plan(checked).split("== Physical Plan ==")[1].count("Exchange hashpartitioning(entry_id") == 1
+
+
+def test_duplicates_read_their_lines_once(spark):
+    rows = [(1, "a", 1, "A", 5, 0), (1, "a", 1, "B", 0, 5), (1, "b", 2, "B", 0, 5), (1, "b", 2, "A", 5, 0), (1, "c", 2, "A", 0, 5), (1, "c", 2, "B", 5, 0), (1, "d", 9, "A", 5, 0), (1, "d", 9, "B", 0, 5)]
+    df = spark.createDataFrame(rows, "entity_id int, entry_id string, d int, account string, debit long, credit long").selectExpr("*", "date_add(date'2024-01-01', d) as day")
+    found = matching.duplicate_entries(df)
+    assert plan(found).split("== Physical Plan ==")[1].count("Scan") == 1
+    assert [(r["entry_id"], r["other_id"]) for r in found.collect()] == [("a", "b")]
