@@ -132,35 +132,69 @@ def one_to_one(docs: DataFrame, book: DataFrame) -> DataFrame:
     return docs.groupBy("entity_id", "amount").cogroup(book.groupBy("entity_id", "amount")).applyInPandas(_choose, schema)
 
 
+class _Free:
+    """The free ones of places in order; those beside a place are found by paths that get shorter with each look."""
+
+    def __init__(self, places):
+        self.places = list(places)
+        self.after, self.before = list(range(len(self.places) + 1)), list(range(len(self.places) + 1))
+
+    @staticmethod
+    def _end(paths, k):
+        end = k
+        while paths[end] != end:
+            end = paths[end]
+        while paths[k] != end:
+            paths[k], k = end, paths[k]
+        return end
+
+    def take(self, place):
+        k = bisect_left(self.places, place)
+        self.after[k], self.before[k + 1] = k + 1, k
+
+    def near(self, at, first_of_day):
+        """The first free place from ``at`` on, and the first one of the day of the last free place before it."""
+        k = bisect_left(self.places, at)
+        later, earlier = self._end(self.after, k), self._end(self.before, k)
+        if later < len(self.places):
+            yield self.places[later]
+        if earlier:
+            yield self.places[self._end(self.after, bisect_left(self.places, first_of_day(self.places[earlier - 1])))]
+
+
 def _choose(docs, book):
     import pandas as pd
 
     docs, book = docs.sort_values(["doc_day", "doc_id"]), book.sort_values(["book_day", "book_id"])
     rows = list(zip(book["book_day"], book["book_id"], book["tax"], book["words"]))
-    free, days = list(range(len(rows))), [r[0] for r in rows]
-    by_tax, by_word = defaultdict(set), defaultdict(set)
+    days, left = [r[0] for r in rows], [True] * len(rows)
+    by_tax, by_word = defaultdict(list), defaultdict(list)
     for k, (_, _, tax, words) in enumerate(rows):
         if tax:
-            by_tax[tax].add(k)
+            by_tax[tax].append(k)
         for w in words:
-            by_word[w].add(k)
+            by_word[w].append(k)
+    by_tax, by_word = ({key: _Free(places) for key, places in d.items()} for d in (by_tax, by_word))
+    every = _Free(range(len(rows)))
+    first_of_day = lambda k: bisect_left(days, days[k])
     out = []
     for day, doc_id, tax, words in zip(docs["doc_day"], docs["doc_id"], docs["tax"], docs["words"]):
-        near = (by_tax.get(tax) if tax else None) or set().union(*(by_word[w] for w in words if w in by_word))
-        if not near and free:
-            at = bisect_left(days, day)
-            # the first of its day on either side has the least id
-            near = {free[at]} if at < len(free) else set()
-            near |= {free[bisect_left(days, days[at - 1])]} if at else set()
+        at = bisect_left(days, day)
+        # the first of its day on either side has the least id
+        for some in ([by_tax[tax]] if tax and tax in by_tax else [], [by_word[w] for w in words if w in by_word], [every]):
+            near = {k for free in some for k in free.near(at, first_of_day)}
+            if near:
+                break
         best = min(near, key=lambda k: (abs((rows[k][0] - day).days), rows[k][1]), default=None)
         out.append((doc_id, day, *((None, None) if best is None else (rows[best][1], rows[best][0]))))
         if best is not None:
-            at = bisect_left(free, best)
-            del free[at], days[at]
-            by_tax[rows[best][2]].discard(best)
+            left[best] = False
+            every.take(best)
+            if rows[best][2]:
+                by_tax[rows[best][2]].take(best)
             for w in rows[best][3]:
-                by_word[w].discard(best)
-    out += [(None, None, rows[k][1], rows[k][0]) for k in free]
+                by_word[w].take(best)
+    out += [(None, None, r[1], r[0]) for r, alone in zip(rows, left) if alone]
     some = docs if len(docs) else book
     found = pd.DataFrame(out, columns=["doc_id", "doc_day", "book_id", "book_day"], dtype=object)
     found.insert(0, "entity_id", some["entity_id"].iloc[0])
