@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import years_between
-from ..functions.money import half_up
+from ..functions.money import half_up, let
 from .ledger import date, total
 
 # Completed years of service from which so many months of reward are due; months of severance
@@ -64,22 +64,27 @@ def _factors(age: Column, service: Column) -> Column:
         span = F.least(F.lit(1.0), left - t)
         last = F.size("qx") - 1
         q = F.least(F.lit(1.0), F.get("qx", F.greatest(F.lit(0), F.least(last, F.floor(age + t).cast("int")))) * span)
-        exits = q * (1 + F.col("disability"))
-        mid = t + span / 2
+        return let(F.struct(span.alias("span"), (q * (1 + F.col("disability"))).alias("exits"), (t + span / 2).alias("mid")), lambda x: paid_out(at, t, x["span"], x["exits"], x["mid"]))
+
+    def paid_out(at, t, span, exits, mid):
         paid = service + mid
         value = at["alive"] * exits * (2 * severance_months(paid) + reward_months(paid)) * grow(mid) * discount(mid)
         stay = F.greatest(F.lit(0.0), 1 - exits - resign_rate(age + t) * span)
-        return F.struct((at["alive"] * stay).alias("alive"), (at["dbo"] + value * earned(service, mid, 0)).alias("dbo"), (at["next"] + value * earned(service, mid, 1)).alias("next"))
+        sums = lambda v: F.struct((at["alive"] * stay).alias("alive"), (at["dbo"] + v * earned(service, mid, 0)).alias("dbo"), (at["next"] + v * earned(service, mid, 1)).alias("next"))
+        return let(value, sums)
 
     years = F.sequence(F.lit(0), (F.ceil(left) - 1).cast("int"))
-    folded = F.aggregate(years, start, year)
     at_end = 1.75 * severance_months(service + left) + reward_months(service + left)
-    retired = folded["alive"] * at_end * grow(left) * discount(left)
     now = 1.75 * severance_months(service) + reward_months(service)
-    dbo = folded["dbo"] + retired * earned(service, left, 0)
-    then = folded["next"] + retired * earned(service, left, 1)
+
+    def at_last(folded):
+        retired = folded["alive"] * at_end * grow(left) * discount(left)
+        dbo = folded["dbo"] + retired * earned(service, left, 0)
+        then = folded["next"] + retired * earned(service, left, 1)
+        return F.struct(dbo.alias("dbo"), (then - dbo).alias("cost"), left.cast("double").alias("years"), (at_end * grow(left)).alias("benefit"))
+
     due = F.struct(now.alias("dbo"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("years"), now.alias("benefit"))
-    return F.when(left <= 0, due).otherwise(F.struct(dbo.alias("dbo"), (then - dbo).alias("cost"), left.cast("double").alias("years"), (at_end * grow(left)).alias("benefit")))
+    return F.when(left <= 0, due).otherwise(let(F.aggregate(years, start, year), at_last))  # folded once
 
 
 def valued_employees(employees: DataFrame, settings: DataFrame, mortality: DataFrame) -> DataFrame:
@@ -89,7 +94,8 @@ def valued_employees(employees: DataFrame, settings: DataFrame, mortality: DataF
     discount, salary, disability and resign (shares a year), retirement_age, flat_until, zero_age. ``mortality``:
     sex, age (from 0, none left out), qx; ages beyond its ends take the rate of the end."""
     rates = mortality.groupBy("sex").agg(F.transform(F.array_sort(F.collect_list(F.struct("age", "qx"))), lambda r: r["qx"]).alias("qx"))
-    rows = employees.join(settings, "entity_id").join(F.broadcast(rates), "sex")  # a row for each sex
+    tasks = employees.sparkSession.sparkContext.defaultParallelism * 4  # the rows are small and their folds are long
+    rows = employees.repartition(tasks, "employee_id").join(settings, "entity_id").join(F.broadcast(rates), "sex")  # a row for each sex
     rows = rows.withColumn("age", years_between(F.col("birth"), F.col("valued_on"))).withColumn("service", years_between(F.col("hired"), F.col("valued_on")))
     rows = rows.withColumn("_f", _factors(F.col("age"), F.col("service")))
     return rows.select(

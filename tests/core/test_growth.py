@@ -78,3 +78,10 @@ def test_documents_of_one_word_choose_in_near_linear_time():
     found = matching._choose(side("doc"), side("book"))
     assert time.perf_counter() - began < 15  # a minimum over all free rows took the square
     assert (found["doc_day"] == found["book_day"]).all() and len(found) == n
+
+
+def test_an_employee_is_folded_once(spark):
+    from ledgerloom.plans.queries_corrections import w12
+
+    text = plan(w12(Books(spark, "/root/testdata/sf0.001"))).split("== Physical Plan ==")[1]
+    assert 0 < text.count("aggregate(sequence(") <= 2 and "REPARTITION_BY_NUM" in text
