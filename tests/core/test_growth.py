@@ -85,3 +85,17 @@ def test_an_employee_is_folded_once(spark):
 
     text = plan(w12(Books(spark, "/root/testdata/sf0.001"))).split("== Physical Plan ==")[1]
     assert 0 < text.count("aggregate(sequence(") <= 2 and "REPARTITION_BY_NUM" in text
+
+
+def test_a_day_is_chained_in_linear_time():
+    import datetime as dt
+    import time
+
+    import pandas as pd
+
+    n = 30_000
+    day = pd.DataFrame({"bank_account": 1, "day": dt.date(2024, 1, 1), "amount": 2, "balance": range(2, 2 * n + 2, 2)})
+    began = time.perf_counter()
+    found = posting._chain(day).iloc[0]
+    assert time.perf_counter() - began < 5  # the set of balances was built anew for each row
+    assert found["proved"] and found["closing"] == 2 * n
