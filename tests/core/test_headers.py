@@ -81,3 +81,11 @@ def test_first_tables(spark):
     }
     assert [(t.column, t.key, t.header) for t in got["ledger"].typos] == [(0, "date", "Tanggall"), (5, "credit", "Kredti")]
     assert got["codes"].data_rows == 4 and got["ledger"].data_rows == 1
+
+
+def test_first_tables_join_words_alone(spark):
+    """Sheets are dealt once: no join, and so no broadcast, grows with their number."""
+    cells = spark.createDataFrame([("a", 0, 0, "Nama Akun"), ("a", 0, 1, "Jumlah"), ("a", 1, 0, "Kas")], "sheet string, row_no int, column int, text string")
+    plan = headers.first_tables(cells)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not [j for j in joins if "sheet#" in j]
