@@ -31,7 +31,8 @@ def fiscal_years(assets: DataFrame, groups: DataFrame) -> DataFrame:
     """Tax depreciation by year: asset_id, year, months, annual, book_value behind it.
 
     The yearly chain of a declining balance is folded over the years of an asset's life, at most 21."""
-    a = assets.join(F.broadcast(groups), "tax_group").withColumn("_first", month_index("acquired_on"))
+    # a register is small and its folds are not: dealt by asset, as what follows sums and orders by it
+    a = assets.repartition("asset_id").join(F.broadcast(groups), "tax_group").withColumn("_first", month_index("acquired_on"))
     a = a.withColumn("_last", F.col("_first") + F.col("life_years") * 12 - 1)
     declining = (F.col("method") == "DECLINING") & F.col("declining_bp").isNotNull()
     a = a.withColumn("_bp", F.when(declining, F.col("declining_bp")).otherwise(F.col("straight_bp")))

@@ -99,3 +99,13 @@ def test_a_day_is_chained_in_linear_time():
     found = posting._chain(day).iloc[0]
     assert time.perf_counter() - began < 5  # the set of balances was built anew for each row
     assert found["proved"] and found["closing"] == 2 * n
+
+
+def test_assets_are_dealt_before_their_years_are_folded(spark):
+    from ledgerloom.operators import registers
+
+    assets = spark.sql("select id as asset_id, 'G1' as tax_group, 'STRAIGHT' as method, date '2024-01-15' as acquired_on, 100L as cost from range(0, 100, 1, 1)")
+    groups = spark.createDataFrame([("G1", 4, 2500, 5000)], "tax_group string, life_years int, straight_bp int, declining_bp int")
+    years = registers.fiscal_years(assets, groups)
+    assert "RepartitionByExpression [asset_id" in years._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r)[1:] for r in years.filter("asset_id = 7").collect()) == [(2024, 12, 25, 75), (2025, 12, 25, 50), (2026, 12, 25, 25), (2027, 12, 25, 0)]
