@@ -7,12 +7,15 @@ import os
 import re
 from struct import pack
 
+import numpy as np
+
 from .shared import only
 
 #: White space other than a space and a newline, and what Python alone takes for white space.
 ODD = re.compile(r"[^\S \n]")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-DOUBLE = ("  ", "\n\n", " \n", "\n ")
+#: Units that are encoded in one text.
+TOGETHER = 256
 #: Letters and the marks behind them, which no tokenizer here merges; an apostrophe may begin a suffix.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -47,12 +50,34 @@ class Encoder:
         self.special = tuple(x["content"][:2] for x in kind.get("added_tokens", []))
         self.mode = "led" if levels and not before else "words" if drops and r"[^\s\p{L}\p{N}]+" in splits["pretokenizers"][0]["pattern"].get("Regex", "") else "whole"
         self.limit, self.new, self.old, self.marks = limit, {}, {}, {}
+        self.leads = np.zeros(self.vocabulary, dtype=bool)
+        if self.mode == "led":
+            # the pieces that begin with a space, which byte-level vocabularies write as a letter
+            self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
         self.strict = False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(x)}I", *x) for x in (c.ids for c in coded)]
 
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit. Words with a space before them are encoded many at once: no merge goes over a space, so
+        each has one piece that begins with one."""
+        if self.mode != "led":
+            return self._encode([self._written(u) for u in units])
+        out: dict[int, bytes] = {}
+        plain = [i for i, u in enumerate(units) if u and u[0] != "\n" and not ODD.search(u)]
+        runs = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join([units[i] for i in run]) for run in runs], add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            at = np.flatnonzero(self.leads[ids])
+            if len(at) == len(run):
+                raw, at = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+                out.update(zip(run, [raw[a:b] for a, b in zip(at, at[1:])]))
+        rest = [i for i in range(len(units)) if i not in out]
+        out.update(zip(rest, self._encode([self._written(units[i]) for i in rest])))
+        return [out[i] for i in range(len(units))]
+
     def _written(self, unit: str) -> str:
         """A unit as it stands in a text."""
         return unit if self.mode == "words" or unit[:1] == "\n" else " " + unit
@@ -81,7 +106,7 @@ class Encoder:
                 if self.mode == "led" and not self.strict and ODD.search(u[1:] if u[:1] == "\n" else u):
                     self.strict = True
         need = list(need)
-        new.update(zip(need, self._encode([self._written(u) for u in need])))
+        new.update(zip(need, self._encode_units(need)))
         for u, (stem, marks) in parts.items():
             new[u] = new[stem] + self.marks[marks]
 
@@ -95,7 +120,10 @@ class Encoder:
         units: list[str] = []
         spans = []
         for i, t in enumerate(texts):
-            odd = any(x in t for x in SEPARATORS) if self.mode == "words" else any(x in t for x in DOUBLE) or (self.strict and ODD.search(t))
+            if self.mode == "words":
+                odd = any(x in t for x in SEPARATORS)
+            else:
+                odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or (self.strict and ODD.search(t))
             if self.mode == "whole" or odd or any(x in t for x in self.special):
                 out[i] = self._encode([t])[0]
             elif t:

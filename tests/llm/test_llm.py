@@ -678,3 +678,23 @@ def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, texts, tmp_pa
     documents(spark, texts).drop("digest", "k1", "anchor", "component", "n", "id").write.parquet(f"{tmp_path}/plain/documents.parquet")
     out = [sorted(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/{k}").select("doc_id", "piece", "length", "ids_crc32").collect())) for k in ("clash", "plain")]
     assert out[0] == out[1] and out[0]
+
+
+def test_new_units_are_encoded_together(monkeypatch):
+    """Words with a space before them share texts when they are encoded; the ids are those of whole texts."""
+    import public_tokenizers
+
+    from ledgerloom.llm import tokens
+
+    text = "One " + " ".join(f"w{k}x foo-bar{k} d'uné{k}! Ġa{k}" for k in range(300)) + "\nend 日本 語"
+    coder, sent = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sent.append(len(texts))
+            return coded.encode_batch_fast(texts, **options)
+
+    coded, coder.tokenizer = coder.tokenizer, Counting()
+    for t in (text, "a\tb c", "x y", " lead trail "):
+        assert coder.encode([t])[0] == tokens.pack(f"<{len(ids := coded.encode(t, add_special_tokens=False).ids)}I", *ids)
+    assert max(sent) < 100
