@@ -80,10 +80,12 @@ def row_references(rows: DataFrame, key: str, longest: int = 500) -> DataFrame:
 
     ``rows``: key, sheet, cell ("A5" or "5"), position. The text ends at ``longest`` characters; a run has
     two of them at least, so runs behind the ``longest``-th can't show and aren't collected."""
-    rows = rows.withColumn("_c", F.regexp_extract("cell", r"^([A-Z]*)\d+$", 1)).withColumn("_n", F.regexp_extract("cell", r"^[A-Z]*(\d+)$", 1).try_cast("long"))
-    rows = rows.withColumn("_sheet", F.first("sheet").over(Window.partitionBy(key).orderBy("position")))
-    rows = rows.filter("_n is not null").withColumn("_island", F.col("_n") - F.row_number().over(Window.partitionBy(key, "_c").orderBy("_n")))
-    runs = rows.groupBy(key, "_sheet", "_c", "_island").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"), F.min("position").alias("_at"))
+    kept = rows.select(key, "sheet", "position", F.regexp_extract("cell", r"^([A-Z]*)\d+$", 1).alias("_c"), F.regexp_extract("cell", r"^[A-Z]*(\d+)$", 1).try_cast("long").alias("_n")).repartition(key)
+    kept = kept.withColumn("_island", F.col("_n") - F.row_number().over(Window.partitionBy(key, "_c").orderBy("_n")))
+    # cells without a row are a run of their own, which only tells the sheet
+    first = F.struct(F.col("position").isNotNull(), "position", "sheet")
+    runs = kept.groupBy(key, "_c", "_island").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"), F.min("position").alias("_at"), F.min(first).alias("_first"))
+    runs = runs.withColumn("_sheet", F.min("_first").over(Window.partitionBy(key))["sheet"]).drop("_first").filter("lo is not null")
     runs = runs.withColumn("_at", F.min("_at").over(Window.partitionBy(key, "_c")))
     runs = runs.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_at", "lo", "hi"))).filter(F.col("_rank") <= longest)
     text = F.concat("_c", "lo", F.when(F.col("hi") > F.col("lo"), F.concat(F.lit("-"), "hi")).otherwise(""))

@@ -109,3 +109,13 @@ def test_assets_are_dealt_before_their_years_are_folded(spark):
     years = registers.fiscal_years(assets, groups)
     assert "RepartitionByExpression [asset_id" in years._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r)[1:] for r in years.filter("asset_id = 7").collect()) == [(2024, 12, 25, 75), (2025, 12, 25, 50), (2026, 12, 25, 25), (2027, 12, 25, 0)]
+
+
+def test_references_carry_no_cells(spark):
+    """What is sorted by row holds no cell, and no window sorts all rows by position."""
+    from ledgerloom.operators import reviews
+
+    rows = spark.createDataFrame([(1, "S", "x", 1), (1, "T", "A2", 2), (1, "T", "A1", 3)], "k int, sheet string, cell string, position long")
+    found = reviews.row_references(rows, "k")
+    assert [r.reference for r in found.collect()] == ["S!A1-2"]
+    assert "first(sheet" not in found._jdf.queryExecution().optimizedPlan().toString()
