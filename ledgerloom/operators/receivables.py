@@ -142,44 +142,46 @@ def settlement_candidates(receipts: DataFrame, items: DataFrame) -> DataFrame:
     An item is a candidate if it is of the receipt's contact, if its open amount or that less the tax the
     payer withholds is the receipt, or if the description names its contact or number; one of another
     contact must be issued by the receipt's day. The caller leaves out receipts of locked months. Each
-    condition is a join on equal keys; a name is looked up by its word that the fewest receipts hold."""
+    condition is a join on equal keys; a name is looked up by its word that the fewest receipts hold.
+
+    Receipts meet contacts first, and these their items; what amounts and numbers find is only what
+    contacts haven't. So no pair is found twice, and pairs move once, to their receipt's ranks."""
     key = ["entity_id", "direction"]
-    receipts = receipts.filter("receipt > 0").withColumn("_text", plain_words("description"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    receipts = receipts.filter("receipt > 0").select(*key, "receipt_id", "contact_id", "receipt", "day", "account", plain_words("description").alias("_text"))
     tax = F.coalesce("expected_tax", F.lit(0))
-    items = items.filter("open > 0").withColumn("_net", F.when(tax > 0, F.col("open") - tax).otherwise(F.col("open")))
     named = F.filter(F.split(plain_words("contact_name"), " "), lambda w: (F.length(w) >= 3) & ~w.isin(NO_NAMES))
-    items = items.withColumn("_name", F.coalesce(F.array_distinct(named), F.array().cast("array<string>"))).withColumn("_number", plain_words("number"))
-
-    ids = ["receipt_id", "invoice_id"]
-    same = receipts.join(items, [*key, "contact_id"]).select(*ids)
-    amounts = items.select(*key, "invoice_id", F.explode(F.array_distinct(F.array("open", "_net"))).alias("receipt"))
-    exact = receipts.join(amounts, [*key, "receipt"]).select(*ids)
-    words = receipts.select(*key, "receipt_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("word")).filter("word <> ''")
-    contacts = items.filter("size(_name) > 0").select(*key, "contact_id", "_name").distinct()
+    items = items.filter("open > 0").select(
+        *key, "invoice_id", F.col("contact_id").alias("item_contact_id"), F.col("account").alias("item_account"), "issue_date", "due_date", "open",
+        F.when(tax > 0, F.col("open") - tax).otherwise(F.col("open")).alias("_net"),
+        F.coalesce(F.array_distinct(named), F.array().cast("array<string>")).alias("_name"), plain_words("number").alias("_number"),
+    )
+    same = flag(F.col("contact_id") == F.col("item_contact_id"))
+    by_name = flag((F.size("_name") > 0) & (F.size(F.array_except("_name", F.split("_text", " "))) == 0))
+    exact = flag(F.col("receipt").isin(F.col("open"), F.col("_net")))
+    says = flag(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_number", F.lit(" "))) & (F.length("_number") >= 3))
+
+    words = receipts.select("*", F.explode(F.array_distinct(F.split("_text", " "))).alias("word")).filter("word <> ''")
+    contacts = items.select(*key, "item_contact_id", "_name").distinct()
     rare = contacts.select("*", F.explode("_name").alias("word")).join(words.groupBy(*key, "word").agg(F.count("*").alias("_n")), [*key, "word"])
-    rare = rare.groupBy(*key, "contact_id", "_name").agg(F.min_by("word", F.struct("_n", "word")).alias("word"))
-    texts = receipts.select("receipt_id", F.split("_text", " ").alias("_words"))
-    found = words.join(rare, [*key, "word"]).select(*key, "receipt_id", "contact_id", "_name").join(texts, "receipt_id")
-    found = found.filter(F.size(F.array_except("_name", "_words")) == 0).select(*key, "receipt_id", "contact_id", "_name")
-    by_name = found.join(items, [*key, "contact_id", "_name"]).select(*ids)
-    first = items.filter(F.length("_number") >= 3).select(*key, "invoice_id", F.substring_index("_number", " ", 1).alias("word"))
-    by_number = words.join(first, [*key, "word"]).select(*ids)
-
-    pairs = same.unionByName(exact).unionByName(by_name).unionByName(by_number).distinct()
-    of_item = ["invoice_id", F.col("contact_id").alias("item_contact_id"), F.col("account").alias("item_account"), "issue_date", "due_date", "open", "_net", "_name", "_number"]
-    rows = pairs.join(receipts, "receipt_id").join(items.select(*of_item), "invoice_id")
-    text = F.concat(F.lit(" "), "_text", F.lit(" "))
-    says = F.contains(text, F.concat(F.lit(" "), "_number", F.lit(" "))) & (F.length("_number") >= 3)
-    flag = lambda c: F.coalesce(c, F.lit(False))
+    rare = rare.groupBy(*key, "item_contact_id", "_name").agg(F.min_by("word", F.struct("_n", "word")).alias("word"))
+    own = receipts.join(contacts.withColumn("contact_id", F.col("item_contact_id")), [*key, "contact_id"]).withColumn("_named", by_name)
+    met = own.unionByName(words.join(rare, [*key, "word"]).filter(by_name & ~same).drop("word").withColumn("_named", F.lit(True)))
+    who = F.struct("item_contact_id")  # a contact that is null is one, too
+    of_contacts = met.withColumn("_who", who).drop("item_contact_id").join(items.withColumn("_who", who), [*key, "_who", "_name"]).drop("_who")
+    amounts = items.select("*", F.explode(F.array_distinct(F.array("open", "_net"))).alias("receipt"))
+    by_amount = receipts.join(amounts, [*key, "receipt"]).filter(~same & ~by_name)
+    first = items.filter(F.length("_number") >= 3).withColumn("word", F.substring_index("_number", " ", 1))
+    by_number = words.join(first, [*key, "word"]).filter(says & ~same & ~by_name & ~exact).drop("word")
+    rows = of_contacts.unionByName(by_amount.unionByName(by_number).withColumn("_named", F.lit(False)))
+
     rows = rows.select(
-        "*",
-        flag(F.col("contact_id") == F.col("item_contact_id")).alias("same_contact"),
-        flag(F.col("receipt").isin(F.col("open"), F.col("_net"))).alias("exact"),
-        (flag((F.size("_name") > 0) & (F.size(F.array_except("_name", F.split("_text", " "))) == 0)) | flag(says)).alias("named"),
+        "receipt_id", "contact_id", "receipt", "invoice_id", "item_contact_id", "open", "due_date", "issue_date", "day",
+        same.alias("same_contact"), exact.alias("exact"), (F.col("_named") | says).alias("named"),
         flag(F.col("account") == F.col("item_account")).alias("on_account"),
         F.when(F.col("open") == F.col("receipt"), 2).when(F.col("open") > F.col("receipt"), 1).otherwise(0).alias("score"),
-    )
-    rows = rows.filter("same_contact or ((exact or named) and (issue_date is null or issue_date <= day))")
+    )
+    rows = rows.filter("same_contact or ((exact or named) and (issue_date is null or issue_date <= day))").drop("issue_date", "day")
     both = F.col("exact") & F.col("named")
     order = Window.partitionBy("receipt_id").orderBy(F.desc("same_contact"), both.desc(), F.desc("exact"), F.desc("named"), F.desc("on_account"), F.desc("score"), "due_date", "invoice_id")
     return rows.select("receipt_id", "contact_id", "receipt", "invoice_id", "item_contact_id", "open", "same_contact", "exact", "named", "score", F.row_number().over(order).alias("rank"))

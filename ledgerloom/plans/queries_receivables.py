@@ -161,7 +161,9 @@ def j18(b):
 def j17(b):
     paid = receipts(b).join(b.contact().select("contact_id", "entity_id", F.col("contact_name").alias("description")), "contact_id")
     paid = paid.select("*", F.col("contact_id").alias("receipt_id"), F.lit("IN").alias("direction"), F.to_date(F.lit(AS_OF)).alias("day"), F.lit(None).cast("string").alias("account"))
-    opened = items(b).join(b.contact().select("contact_id", "contact_name"), "contact_id")
+    # stored, as contacts, amounts and numbers each read the open items
+    opened = b.stored("items", items(b).filter("open > 0").select("invoice_id", "entity_id", "contact_id", "issue_date", "due_date", "open"))
+    opened = opened.join(b.contact().select("contact_id", "contact_name"), "contact_id")
     return ar.settlement_candidates(
         paid,
         opened.select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money as m
 from ledgerloom.operators import ingest as ing
-from ledgerloom.operators import matching, posting
+from ledgerloom.operators import matching, posting, receivables
 from ledgerloom.operators import repair as rp
 from ledgerloom.plans.model import Books
 
@@ -119,3 +119,13 @@ def test_references_carry_no_cells(spark):
     found = reviews.row_references(rows, "k")
     assert [r.reference for r in found.collect()] == ["S!A1-2"]
     assert "first(sheet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settlement_pairs_move_once_to_their_receipt(spark):
+    receipts = spark.createDataFrame([(1, 1, "IN", "2024-01-05", 50, 7, None, "bayar SINAR JAYA 0123")], "receipt_id long, entity_id int, direction string, d string, receipt long, contact_id long, account string, description string")
+    rows = [(10, 7, "Budi", "1"), (11, None, "PT Sinar Jaya", "2"), (12, 8, "Makmur", "0123"), (13, 8, "Makmur", "4")]
+    items = spark.createDataFrame([(i, 1, "IN", c, name, number, "1130", "2024-01-01", 70, 0) for i, c, name, number in rows], "invoice_id long, entity_id int, direction string, contact_id long, contact_name string, number string, account string, d string, open long, expected_tax long")
+    found = receivables.settlement_candidates(receipts.withColumn("day", F.to_date("d")), items.withColumn("issue_date", F.to_date("d")).withColumn("due_date", F.to_date("d")))
+    assert plan(found).split("== Physical Plan ==")[1].count("Exchange hashpartitioning(receipt_id") == 1
+    # a contact that is null is named like any other
+    assert [(r["invoice_id"], r["same_contact"], r["named"]) for r in found.orderBy("rank").collect()] == [(10, True, False), (11, False, True), (12, False, True)]
