@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import embedding_dedup, language_id, packing, queries, repeats, shared, token_files, toxicity
+from ledgerloom.llm import embedding_dedup, language_id, packing, queries, quotations, repeats, shared, token_files, toxicity
 from ledgerloom.llm.embedding_dedup import near_vectors
 from ledgerloom.llm.exact_dedup import DigestIndex
 from ledgerloom.llm.graph import components
@@ -698,3 +698,25 @@ def test_new_units_are_encoded_together(monkeypatch):
     for t in (text, "a\tb c", "x y", " lead trail "):
         assert coder.encode([t])[0] == tokens.pack(f"<{len(ids := coded.encode(t, add_special_tokens=False).ids)}I", *ids)
     assert max(sent) < 100
+
+
+def test_messages_without_quotes_are_not_linked(spark, monkeypatch):
+    # a join with no quotes is dropped while its other side runs, whose files then go
+    monkeypatch.setattr(quotations, "link_stretches", lambda *_: pytest.fail("nothing to link"))
+    rows = spark.createDataFrame([(1, 1, "user", "hello"), (1, 2, "assistant", "a > b"), (1, 3, "user", None)], "conv_id long, turn long, role string, text string")
+    assert [(r["turn"], r["answers_turn"], r["n_quotes"], r["depth"], r["text"]) for r in link_quotations(rows).orderBy("turn").collect()] == [(1, None, 0, 0, "hello"), (2, 1, 0, 1, "a > b"), (3, 2, 0, 2, "")]
+
+
+def test_turns_whose_depth_is_known_leave_the_doubling(spark, monkeypatch):
+    met = []
+
+    def joined(left, right, on, how):
+        met.append(left.count())
+        return join(left, right, on, how)
+
+    rows = [(1, t, t - 1 if t else None) for t in range(70)] + [(c, t, t - 1 if t else None) for c in range(2, 60) for t in range(2)]
+    links = spark.createDataFrame(rows, "conv_id long, turn long, up long")
+    join = type(links).join
+    monkeypatch.setattr(type(links), "join", joined)
+    got = {(r["conv_id"], r["turn"]): r["depth"] for r in quotations.reply_depths(links).collect()}
+    assert got == {(c, t): t for c, t, _ in rows} and met == [127, 68, 66, 62, 54, 38, 6]
