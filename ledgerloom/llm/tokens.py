@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import repeat
 from struct import pack
 
 import numpy as np
@@ -49,31 +50,45 @@ class Encoder:
         drops = splits.get("type") == "Sequence" and splits["pretokenizers"][0].get("behavior") == "Removed" and splits["pretokenizers"][0].get("invert")
         self.special = tuple(x["content"][:2] for x in kind.get("added_tokens", []))
         self.mode = "led" if levels and not before else "words" if drops and r"[^\s\p{L}\p{N}]+" in splits["pretokenizers"][0]["pattern"].get("Regex", "") else "whole"
+        self.ending = (kind.get("model") or {}).get("end_of_word_suffix") or ""
         self.limit, self.new, self.old, self.marks = limit, {}, {}, {}
         self.leads = np.zeros(self.vocabulary, dtype=bool)
         if self.mode == "led":
             # the pieces that begin with a space, which byte-level vocabularies write as a letter
             self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
+        self.mark, self.behind = "", 0
+        if self.mode == "words":
+            # the word between others, which is left out
+            self.mark, at = self._mark()
+            self.leads[at], self.behind = bool(self.mark), 4
         self.strict = False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(x)}I", *x) for x in (c.ids for c in coded)]
 
+    def _mark(self) -> tuple[str, int]:
+        """A short and rare plain word that is one piece, and its id."""
+        words = ((w.removesuffix(self.ending), i) for w, i in self.tokenizer.get_vocab().items())
+        words = sorted(((w, i) for w, i in words if w.isascii() and w.isalpha()), key=lambda x: (len(x[0]) < 3, len(x[0]), -x[1]))
+        return next(((w, i) for w, i in words if self.tokenizer.encode(w, add_special_tokens=False).ids == [i]), ("", -1))
+
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit. Words with a space before them are encoded many at once: no merge goes over a space, so
-        each has one piece that begins with one."""
-        if self.mode != "led":
+        """The ids of each unit. Words are encoded many at once, as no merge goes over a space: one with a space before it
+        has one piece that begins with one, and where white space is dropped a word of one piece stands between two."""
+        if self.mode == "whole" or (self.mode == "words" and not self.mark):
             return self._encode([self._written(u) for u in units])
         out: dict[int, bytes] = {}
-        plain = [i for i, u in enumerate(units) if u and u[0] != "\n" and not ODD.search(u)]
+        led = self.mode == "led"
+        plain = [i for i, u in enumerate(units) if u and u[0] != "\n" and not ODD.search(u)] if led else range(len(units))
         runs = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join([units[i] for i in run]) for run in runs], add_special_tokens=False)):
+        between = " " if led else f" {self.mark} "
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([between + between.join([units[i] for i in run]) for run in runs], add_special_tokens=False)):
             ids = np.array(coded.ids, dtype="<u4")
             at = np.flatnonzero(self.leads[ids])
             if len(at) == len(run):
                 raw, at = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-                out.update(zip(run, [raw[a:b] for a, b in zip(at, at[1:])]))
+                out.update(zip(run, [raw[a + self.behind : b] for a, b in zip(at, at[1:])]))
         rest = [i for i in range(len(units)) if i not in out]
         out.update(zip(rest, self._encode([self._written(units[i]) for i in rest])))
         return [out[i] for i in range(len(units))]
@@ -140,7 +155,7 @@ class Encoder:
                 return self.encode(texts)
             for i in missing:
                 found[i] = self.new[units[i]]
-        heads = iter(self._encode([s[3] for s in spans]))
+        heads = iter(self._encode([s[3] for s in spans])) if self.mode != "words" else repeat(b"")
         for i, at, n, head in spans:
             out[i] = next(heads) + b"".join(found[at : at + n])
         return out

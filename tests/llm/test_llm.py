@@ -720,3 +720,14 @@ def test_turns_whose_depth_is_known_leave_the_doubling(spark, monkeypatch):
     monkeypatch.setattr(type(links), "join", joined)
     got = {(r["conv_id"], r["turn"]): r["depth"] for r in quotations.reply_depths(links).collect()}
     assert got == {(c, t): t for c, t, _ in rows} and met == [127, 68, 66, 62, 54, 38, 6]
+
+
+def test_new_words_between_dropped_spaces_are_encoded_many_at_once(monkeypatch):
+    from ledgerloom.llm import tokens
+
+    coder, sent = tokens.Encoder(tokenizer_file("word_bpe_49k.json")), []
+    units = [f"w{k}x" for k in range(1000)] + [coder.mark, "12,5%", "don't", "̈x", "ẞ"]
+    one = [coder._encode([u])[0] for u in units]
+    fast = coder.tokenizer.encode_batch_fast
+    coder.tokenizer = type("Seen", (), {"encode_batch_fast": lambda self, texts, **k: (sent.append(len(texts)), fast(texts, **k))[1]})()
+    assert coder._encode_units(units) == one and sum(sent) < 300
