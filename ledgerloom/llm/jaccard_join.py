@@ -230,6 +230,20 @@ def _may_link(percent: int):
     return fits & (early | (F.col("n") == F.col("m"))) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) + F.least("pos", "pos2") >= least)
 
 
+def _with_partners(lists: DataFrame, percent: int) -> DataFrame:
+    """The rows of lists that sizes and places allow to link with some other row of their list, or that stand for several classes.
+
+    In order of size the nearest rows decide: a longer set needs a row that is early for the shorter one (``_may_link``)."""
+    early = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
+    by_size = Window.partitionBy("token").orderBy("n", "group")
+    shorter = F.last(F.when(early, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    rows = lists.withColumn("_early", early).withColumn("_next", F.lead("n").over(by_size)).withColumn("_last", F.lag("n").over(by_size)).withColumn("_shorter", shorter)
+    near = lambda less, more: F.lit(100) * less >= F.lit(percent) * more
+    same = (F.col("_next") == F.col("n")) | (F.col("_last") == F.col("n"))
+    some = (F.col("_early") & near(F.col("n"), F.col("_next"))) | near(F.col("_shorter"), F.col("n")) | same
+    return rows.filter(F.coalesce(some, F.lit(False)) | (F.col("members") > 1)).drop("_early", "_next", "_last", "_shorter")
+
+
 GROUP = ["token", "kind", "bi", "bj"]
 
 
@@ -298,7 +312,7 @@ def _across(percent: int):
     return run
 
 
-def _blocks_of(lists: DataFrame, placed: DataFrame) -> DataFrame:
+def _blocks_of(lists: DataFrame) -> DataFrame:
     """The rows of lists with several components, dealt out as pairs of blocks: those of a list's main
     component against all others, and the others against each other."""
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("k"))
@@ -313,8 +327,7 @@ def _blocks_of(lists: DataFrame, placed: DataFrame) -> DataFrame:
     with_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: pair(0, i, F.col("blk")))
     with_others = F.transform(others, lambda j: pair(1, F.least("blk", j), F.greatest("blk", j)))
     rows = rows.withColumn("pair", F.explode(F.when(F.col("main"), mine).otherwise(F.concat(with_main, with_others))))
-    rows = rows.select("token", "pair.kind", "pair.bi", "pair.bj", "blk", "main", "id", "n", "pos", "component")
-    return rows.join(placed.select("id", "sketch"), "id")
+    return rows.select("token", "pair.kind", "pair.bi", "pair.bj", "blk", "main", "id", "n", "pos", "component", "sketch")
 
 
 def _still_apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -382,12 +395,12 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     own = stage(own, "own")
     twins = own.join(own.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b")
 
-    # shingles that several classes have in their prefixes, by group
+    # shingles that several classes have in their prefixes, by group; counted as the rows pass, which are made and dealt once
     postings = groups.mapInArrow(_tokens, "token long, pos int, n long, group long, members long")
-    shared = postings.groupBy("token").agg(F.sum("members").alias("k"), F.count("*").alias("g")).filter("k > 1")
+    of_token = Window.partitionBy("token")
+    postings = postings.withColumn("k", F.sum("members").over(of_token)).filter("k > 1").withColumn("g", F.count("*").over(of_token))
     # in a list that isn't long, every class meets every other through the first ones
-    shared = shared.select("token", ((F.col("k") > F.col("g")) | (F.col("g") > FIRSTS + 1)).alias("long"))
-    postings = stage(postings.join(shared, "token"), "postings")
+    postings = stage(postings.select("token", "pos", "n", "group", "members", ((F.col("k") > F.col("g")) | (F.col("g") > FIRSTS + 1)).alias("long")), "postings")
     unstage(groups)
 
     by_hash = Window.partitionBy("token").orderBy(F.xxhash64("group"), "group")
@@ -403,10 +416,10 @@ def near_texts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     placed = classes.select("id", "sketch").join(joined, F.col("id") == F.col("node"), "left")
     placed = stage(placed.select("id", "sketch", F.coalesce("component", "id").alias("component")), "placed")
-    postings = postings.filter("long")
+    postings = _with_partners(postings.filter("long"), percent)
     expanded = postings.filter("members = 1").withColumn("id", F.col("group")).unionByName(postings.filter("members > 1").join(members, "group"))
-    lists = stage(expanded.select("token", "pos", "n", "id").join(placed.select("id", "component"), "id"), "lists")
-    dealt = _blocks_of(lists, placed).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    lists = stage(expanded.select("token", "pos", "n", "id").join(placed, "id"), "lists")
+    dealt = _blocks_of(lists).repartition(*GROUP).sortWithinPartitions(*GROUP)
     pairs2 = dealt.mapInArrow(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     pairs2 = stage(_allowed(stage(pairs2, "pairs"), classes, "wide", percent), "pairs")
     _, joined = _joining(docs, classes, pairs2, links, joined, width, percent)

@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import embedding_dedup, language_id, packing, queries, quotations, repeats, shared, token_files, toxicity
+from ledgerloom.llm import embedding_dedup, jaccard_join, language_id, packing, queries, quotations, repeats, shared, token_files, toxicity
 from ledgerloom.llm.embedding_dedup import near_vectors
 from ledgerloom.llm.exact_dedup import DigestIndex
 from ledgerloom.llm.graph import components
@@ -389,6 +389,20 @@ def test_shingle_join_of_very_long_texts(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_texts(documents(spark, texts)).collect()} == brute_components(texts, 3, 90)
 
 
+def test_list_rows_without_partners_go(spark):
+    """Of a list those rows stay whose size and place allow a link with another, and nothing else is joined or compared."""
+    rng = random.Random(18)
+    early = lambda n, pos: pos < n - -(-180 * n // 190) + 1
+    rows = [(t, rng.randrange(60), n, t * 100 + g, 1 + (g == 7)) for t in range(8) for g in range(12) for n in [rng.randrange(40, 1500)]]
+    rows += [(9, 80, 800, 900, 1), (9, 80, 800, 901, 1)]
+    rows = [(t, min(pos, n // 10), n, g, m) for t, pos, n, g, m in rows]
+    fits = lambda r, s: r[0] == s[0] and r[3] != s[3] and 100 * min(r[2], s[2]) >= 90 * max(r[2], s[2]) and (r[2] == s[2] or early(*min((r[2], r[1]), (s[2], s[1]))))
+    wanted = {r[3] for r in rows if r[4] > 1 or any(fits(r, s) for s in rows)}
+    lists = spark.createDataFrame(rows, "token long, pos int, n long, group long, members long")
+    assert {r.group for r in jaccard_join._with_partners(lists, 90).collect()} == wanted
+    assert 8 < len(wanted) < len(rows)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(100)] + [(200, 201), (202, 201), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
