@@ -203,15 +203,9 @@ def _choose(docs, book):
     return found
 
 
-def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, since: str | None = None) -> DataFrame:
-    """Disjoint pairs of entries of an entity with the same lines, at most ``days`` apart: each entry
-    takes the first later one that is free and allowed.
-
-    Entries of kind OPENING or RECLASS and those under ``materiality`` never pair, nor do two of kind
-    BANK, nor two of one ``import_id`` whose ``memo`` differs; the later one is not before ``since``.
-    Columns that aren't there exclude nothing. Lines are the same if their amount, number and 128 bits of
-    hashes are; entries without such a neighbour near enough are left at once. An entry has one kind."""
-    has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
+def _entries(lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row per entry with its day, amount and kind, and the columns that are the same for the same lines: amount,
+    number and 128 bits of hashes."""
     kind = F.col("entry_kind") if "entry_kind" in lines.columns else F.lit(None).cast("string")
     is_kind = lambda *kinds: F.coalesce(F.max(kind.isin(*kinds)), F.lit(False))
     # the sums of two hashes of 64 bits, in halves that don't overflow, are the same for the same lines in any order;
@@ -222,10 +216,34 @@ def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, sin
         F.min("day").alias("day"), total("debit").alias("amount"), F.count("*").alias("_n"), is_kind("BANK").alias("bank"), is_kind("OPENING", "RECLASS").alias("_never"),
         *[h.alias(name) for name, h in halves.items()],
     )
+    return entries, ["amount", "_n", *halves]
+
+
+def equal_neighbours(lines: DataFrame, days: int = 3) -> DataFrame:
+    """Each entry of an entity beside the next one (by day and entry_id) with the same lines, if that is at most ``days`` later.
+
+    These are the pairs that ``duplicate_entries`` chooses from where nothing is excluded: all kinds take part, and an
+    entry may stand in two of them."""
+    entries, same = _entries(lines)
+    order = Window.partitionBy("entity_id", *same).orderBy("day", "entry_id")
+    found = entries.withColumn("other_id", F.lead("entry_id").over(order)).withColumn("other_day", F.lead("day").over(order))
+    return found.filter(F.date_diff("other_day", "day") <= days).select("entity_id", "entry_id", "other_id", "day", "other_day", "amount")
+
+
+def duplicate_entries(lines: DataFrame, days: int = 3, materiality: int = 0, since: str | None = None) -> DataFrame:
+    """Disjoint pairs of entries of an entity with the same lines, at most ``days`` apart: each entry
+    takes the first later one that is free and allowed.
+
+    Entries of kind OPENING or RECLASS and those under ``materiality`` never pair, nor do two of kind
+    BANK, nor two of one ``import_id`` whose ``memo`` differs; the later one is not before ``since``.
+    Columns that aren't there exclude nothing. Lines are the same if their amount, number and 128 bits of
+    hashes are; entries without such a neighbour near enough are left at once. An entry has one kind."""
+    has = lambda c: F.first(c, True) if c in lines.columns else F.lit(None)
+    entries, same = _entries(lines)
     entries = entries.filter((F.col("amount") >= materiality) & ~F.col("_never"))
-    order = Window.partitionBy("entity_id", "amount", "_n", *halves).orderBy("day", "entry_id")
+    order = Window.partitionBy("entity_id", *same).orderBy("day", "entry_id")
     there = (F.date_diff(F.lead("day").over(order), "day") <= days) | (F.date_diff("day", F.lag("day").over(order)) <= days)
-    signature = F.concat_ws(":", "amount", "_n", *halves)
+    signature = F.concat_ws(":", *same)
     entries = entries.withColumn("_near", there).filter("_near").select("entity_id", "entry_id", "day", "amount", "bank", signature.alias("signature"))
     if {"import_id", "memo"} & set(lines.columns):
         memo = F.regexp_replace(F.trim(F.lower(has("memo").cast("string"))), r"\s+", " ")

@@ -206,6 +206,32 @@ def test_duplicate_entries_are_disjoint_and_exclude(spark):
     assert pairs(since="2024-01-03") == [("a", "c"), ("d", "f"), ("i", "k"), ("l", "m")]
 
 
+def test_duplicate_query_says_what_its_sql_says_of_bank_entries_and_three_of_a_kind(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("nation", "customer", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    # each order three times, two days between the copies: equal cash entries, and purchases that stand in two pairs
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    copies = [orders.withColumn("o_orderkey", F.col("o_orderkey") + 10_000 * k).withColumn("o_orderdate", F.col("o_orderdate") + F.make_dt_interval(F.lit(2 * k))) for k in range(3)]
+    copies[0].unionByName(copies[1]).unionByName(copies[2]).write.parquet(str(tmp_path / "copies"))
+    con.execute(f"copy (select * from '{tmp_path}/copies/*.parquet') to '{tmp_path}/orders.parquet' (format parquet)").fetchall()
+    for t in ("nation", "customer", "lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'").fetchall()
+    want = con.execute(entry.oracle_sql()["j21_duplicate_entries"])
+    names = [d[0] for d in want.description]
+    want = sorted(want.fetchall())
+    got = entry.queries()["j21_duplicate_entries"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == want and any(r[1].startswith("C") for r in want)
+    # the chosen ones are among them, of no bank entry, and no entry twice
+    chosen = [tuple(r) for r in entry.queries()["j21_disjoint_duplicates"](spark, str(tmp_path)).select(*names).collect()]
+    ids = [e for r in chosen for e in r[1:3]]
+    assert set(chosen) < set(want) and len(set(ids)) == len(ids) > 0 and not any(e[0] in "CTU" for e in ids)
+
+
 def test_proved_days_match_loop(spark):
     rng = random.Random(21)
     rows, want = [], {}
