@@ -133,6 +133,13 @@ def cut_off_candidates(lines: DataFrame, account: str, as_of: str, days: int = 7
     return rows.orderBy(F.abs("amount").desc(), "entry_id").limit(k)
 
 
+def rarest_words(contacts: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
+    """The word of each contact's ``_name`` that the fewest receipts of its key hold, of names whose words are all held by some."""
+    held = contacts.select("*", F.explode("_name").alias("word")).join(words.groupBy(*key, "word").agg(F.count("*").alias("_n")), [*key, "word"])
+    found = held.groupBy(*key, "item_contact_id", "_name").agg(F.min_by("word", F.struct("_n", "word")).alias("word"), F.count("*").alias("_held"))
+    return found.filter(F.col("_held") == F.size("_name")).drop("_held")
+
+
 def settlement_candidates(receipts: DataFrame, items: DataFrame) -> DataFrame:
     """All open items of a receipt's entity and direction that it could settle, ranked per receipt.
 
@@ -142,7 +149,8 @@ def settlement_candidates(receipts: DataFrame, items: DataFrame) -> DataFrame:
     An item is a candidate if it is of the receipt's contact, if its open amount or that less the tax the
     payer withholds is the receipt, or if the description names its contact or number; one of another
     contact must be issued by the receipt's day. The caller leaves out receipts of locked months. Each
-    condition is a join on equal keys; a name is looked up by its word that the fewest receipts hold.
+    condition is a join on equal keys; a name is looked up by its word that the fewest receipts hold, and not at all
+    if no receipt holds one of its words.
 
     Receipts meet contacts first, and these their items; what amounts and numbers find is only what
     contacts haven't. So no pair is found twice, and pairs move once, to their receipt's ranks."""
@@ -163,8 +171,7 @@ def settlement_candidates(receipts: DataFrame, items: DataFrame) -> DataFrame:
 
     words = receipts.select("*", F.explode(F.array_distinct(F.split("_text", " "))).alias("word")).filter("word <> ''")
     contacts = items.select(*key, "item_contact_id", "_name").distinct()
-    rare = contacts.select("*", F.explode("_name").alias("word")).join(words.groupBy(*key, "word").agg(F.count("*").alias("_n")), [*key, "word"])
-    rare = rare.groupBy(*key, "item_contact_id", "_name").agg(F.min_by("word", F.struct("_n", "word")).alias("word"))
+    rare = rarest_words(contacts, words, key)
     own = receipts.join(contacts.withColumn("contact_id", F.col("item_contact_id")), [*key, "contact_id"]).withColumn("_named", by_name)
     met = own.unionByName(words.join(rare, [*key, "word"]).filter(by_name & ~same).drop("word").withColumn("_named", F.lit(True)))
     who = F.struct("item_contact_id")  # a contact that is null is one, too

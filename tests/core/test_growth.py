@@ -121,6 +121,14 @@ def test_references_carry_no_cells(spark):
     assert "first(sheet" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_names_with_a_word_that_no_receipt_holds_are_not_looked_up(spark):
+    """By the word that all names share, each of them met every receipt."""
+    contacts = spark.createDataFrame([(1, 5, ["CUSTOMER", "0005"]), (1, 6, ["CUSTOMER", "0006"]), (2, 5, ["CUSTOMER", "0005"]), (1, None, ["CUSTOMER"]), (1, 7, [])], "entity_id int, item_contact_id long, _name array<string>")
+    words = spark.createDataFrame([(1, "CUSTOMER"), (1, "0005"), (1, "CUSTOMER"), (1, "0001"), (2, "CUSTOMER")], "entity_id int, word string")
+    found = receivables.rarest_words(contacts, words, ["entity_id"]).collect()
+    assert sorted((r["entity_id"], r["item_contact_id"] or 0, r["word"]) for r in found) == [(1, 0, "CUSTOMER"), (1, 5, "0005")]
+
+
 def test_settlement_pairs_move_once_to_their_receipt(spark):
     receipts = spark.createDataFrame([(1, 1, "IN", "2024-01-05", 50, 7, None, "bayar SINAR JAYA 0123")], "receipt_id long, entity_id int, direction string, d string, receipt long, contact_id long, account string, description string")
     rows = [(10, 7, "Budi", "1"), (11, None, "PT Sinar Jaya", "2"), (12, 8, "Makmur", "0123"), (13, 8, "Makmur", "4")]
