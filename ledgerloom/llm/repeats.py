@@ -9,11 +9,15 @@ and make a piece of text. Pieces that are equal are settled by their hashes; wha
 with an anchor in common and different text around it. Their suffixes are sorted, within an anchor
 and a place of it, by a mergesort whose comparisons find the common extension of two suffixes by
 binary search over prefix polynomial hashes; runs of equal strings are then verified byte by byte.
+An anchor of GRAM bytes stands in far more documents than a string of SPAN, so pieces are cut in parts,
+filed under all bytes that the strings of a part share, and files of one document are left: in two
+parts when they are dealt out, and in narrower ones before the sort.
 """
 
 from __future__ import annotations
 
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,13 @@ from .tokens import slices
 
 SPAN, GRAM = 50, 20
 WIDE = SPAN - GRAM + 1
+#: Strings of a piece with so many numbers of bytes before the anchor are dealt out together, and then sorted together.
+WIDTH, NARROW = (WIDE + 1) // 2, 4
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE = (1 << 31) - 1
 SETTLED = 1 << 30
-#: Variants of text around one anchor beyond which its strings are dealt out one by one.
+#: Parts of pieces in one file beyond which their strings are dealt out one by one.
 HOT = 20_000
 
 _powers: dict[int, np.ndarray] = {}
@@ -174,17 +180,57 @@ def _found(anchor, null: bool, k2, doc, t, hi) -> pa.RecordBatch:
 FOUND = "anchor long, doc long, t long, begin long, size int"
 
 
+def parts(pieces: list[bytes], width: int):
+    """Number of the piece, first byte, end and a hash of each part of some pieces.
+
+    Strings with k * width to (k + 1) * width - 1 bytes before their anchor are part k. They share more than the anchor:
+    the fewest bytes that any of them has before it and after it. The hash is of these; it hangs on the string alone, so
+    equal strings are in parts of one hash."""
+    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    hashes = PrefixHashes(np.frombuffer(b"".join(pieces), dtype=np.uint8))
+    at = np.arange(len(hashes.sums) - GRAM)
+    grams = mix(hashes.of(at, GRAM), 0xD6E8FEB86659FD93)
+    least = sliding_least(((grams >> np.uint64(33)) << np.uint64(31)) | at.astype(np.uint64), WIDE)
+    anchor = (least[starts] & np.uint64(PLACE)).astype(np.int64)
+    place, last = anchor - starts, sizes - SPAN
+    found = []
+    for few in range(0, WIDE, width):
+        many = min(few + width, WIDE) - 1
+        first, final = np.maximum(place - many, 0), np.minimum(place - few, last)
+        i = np.flatnonzero(first <= final)
+        found.append((i, first[i], final[i] + SPAN, mix(hashes.of(anchor[i] - few, SPAN - many + few) + np.uint64(few), 0xC2B2AE3D27D4EB4F)))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def of_several(files: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which rows are in files that hold several documents."""
+    order = np.argsort(files, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(files[order]) != 0])) if len(files) else order
+    some = np.zeros(len(files), dtype=bool)
+    if len(files):
+        several = np.minimum.reduceat(docs[order], starts) < np.maximum.reduceat(docs[order], starts)
+        some[order] = np.repeat(several, np.diff(np.append(starts, len(files))))
+    return some
+
+
 def _cut(batches):
-    """The text of the asked pieces: anchor, doc, t, begin, piece."""
+    """The text of the asked pieces, in parts: anchor (a hash of what its strings share), doc, t, begin, piece."""
     for batch in batches:
         docs, hashes, texts, asks = (batch.column(i).to_pylist() for i in range(4))
-        out: list[list] = [[], [], [], [], []]
-        for doc, t, text, ask in zip(docs, hashes, texts, asks):
+        begins, found, owner = [], [], []
+        for k, (text, ask) in enumerate(zip(texts, asks)):
             data = text.encode("utf-8", "surrogatepass")
-            for x in ask:
-                for o, v in zip(out, (x["anchor"], doc, t, x["begin"], data[x["begin"] : x["begin"] + x["size"]])):
-                    o.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], ["anchor", "doc", "t", "begin", "piece"])
+            begins += [x["begin"] for x in ask]
+            found += [data[x["begin"] : x["begin"] + x["size"]] for x in ask]
+            owner += [k] * len(ask)
+        for a in range(0, len(found), 20_000):
+            part = found[a : a + 20_000]
+            piece, begin, end, key = parts(part, WIDTH)
+            at = [a + int(i) for i in piece]
+            columns = [pa.array(key.view(np.int64)), *(pa.array([x[owner[i]] for i in at], pa.int64()) for x in (docs, hashes)), pa.array(np.array(begins[a : a + 20_000], dtype=np.int64)[piece] + begin)]
+            cuts = pa.array([found[i][b:e] for i, b, e in zip(at, begin.tolist(), end.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, cuts], ["anchor", "doc", "t", "begin", "piece"])
 
 
 class Suffixes:
@@ -283,12 +329,27 @@ def repeated(anchors: np.ndarray, docs: np.ndarray, texts: list[bytes]):
 
 
 def _sorted_suffixes(batches):
-    """Pieces in order of their anchor to the stretches (doc, t, begin, size) found in smaller documents."""
+    """Parts of pieces in order of their file to the stretches (doc, t, begin, size) found in smaller documents."""
 
     def answer(rows):
         anchors, docs, t, begin = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        piece, start, size = repeated(anchors, docs, [x for r in rows for x in r[4]])
-        return pa.RecordBatch.from_arrays([pa.array(docs[piece]), pa.array(t[piece]), pa.array(begin[piece] + start), pa.array(size.astype(np.int32))], ["doc", "t", "begin", "size"])
+        some = of_several(anchors, docs)
+        docs, t, begin, texts = docs[some], t[some], begin[some], list(compress((x for r in rows for x in r[4]), some))
+        row = start = end = np.zeros(0, dtype=np.int64)
+        if texts:
+            row, first, stop, files = parts(texts, NARROW)
+            some = of_several(files.view(np.int64), docs[row])
+            row, first, stop, files = (x[some] for x in (row, first, stop, files))
+        if len(row):
+            piece, start, size = repeated(files, docs[row], [texts[i][a:b] for i, a, b in zip(row.tolist(), first.tolist(), stop.tolist())])
+            row, start = row[piece], first[piece] + start
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], (start + size)[order]
+        if len(row):  # parts of a piece that follow each other are one stretch
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > end[:-1])])
+            end = end[np.append(np.flatnonzero(new)[1:], len(row)) - 1]
+            row, start = row[new], start[new]
+        return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(t[row]), pa.array(begin[row] + start), pa.array((end - start).astype(np.int32))], ["doc", "t", "begin", "size"])
 
     held, n = [], 0
     for batch in batches:
@@ -358,13 +419,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     found = stage(rows.mapInArrow(_settle, FOUND), "repeats")
 
     asks = found.filter("anchor is not null")
-    by_doc = asks.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "begin", "size")).alias("asks"))
+    by_doc = asks.groupBy("doc", "t").agg(F.collect_list(F.struct("begin", "size")).alias("asks"))
     texts = docs.join(by_doc, (F.col("doc_id") == F.col("doc")) & (docs["t"] == by_doc["t"]))
     cut = texts.select("doc_id", docs["t"], "text", "asks").mapInArrow(_cut, "anchor long, doc long, t long, begin long, piece binary")
     cut = stage(cut.dropDuplicates(["anchor", "doc", "t", "begin"]), "pieces")
 
-    # anchors with very many variants: their strings meet by text, the smallest document first
-    hot = asks.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
+    # files with very many parts: their strings meet by text, the smallest document first
+    hot = cut.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
     hot = stage(hot, "hot")
     strings = cut.join(hot, "anchor", "left_semi").select("anchor", "doc", "t", "begin", "piece").mapInArrow(_strings, "string binary, doc long, t long, begin long")
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))

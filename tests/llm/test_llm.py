@@ -8,6 +8,7 @@ from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ledgerloom.llm")
@@ -87,6 +88,44 @@ def test_repeats_of_hot_anchors(spark, texts, monkeypatch):
         assert {r.doc_id: tuple(r)[1:5] for r in got} == want
 
 
+def test_pieces_that_share_only_an_anchor_leave_the_sort(monkeypatch):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    word, passage = letters(30), letters(90)
+    sorted_pieces = []
+
+    def found(texts):
+        rows = list(zip(*(x.tolist() for x in repeats.pieces([t.encode() for t in texts])[:3])))
+        asks = [[{"begin": begin, "size": size} for doc, begin, size in rows if doc == k] for k in range(len(texts))]
+        batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "t": [0] * len(texts), "text": texts, "asks": asks})
+        cut = pa.Table.from_batches(repeats._cut([batch])).sort_by("anchor").combine_chunks()
+        return [r for b in repeats._sorted_suffixes(cut.to_batches(max_chunksize=100)) for r in b.to_pylist()]
+
+    real = repeats.repeated
+    monkeypatch.setattr(repeats, "repeated", lambda anchors, docs, texts: sorted_pieces.append(len(texts)) or real(anchors, docs, texts))
+    assert found([letters(200) + word + letters(200) for _ in range(40)]) == [] and sum(sorted_pieces) == 0
+    # what is there in full is found: all of the passage in the later documents, and no more than letters beside it that agree
+    told = found([letters(200) + passage + letters(200) for _ in range(3)])
+    covered = {k: {x for r in told if r["doc"] == k for x in range(r["begin"], r["begin"] + r["size"])} for k in range(3)}
+    assert not covered[0] and all(set(range(200, 290)) <= covered[k] and len(covered[k]) < 96 for k in (1, 2)) and sum(sorted_pieces) > 0
+
+
+@pytest.mark.parametrize("width", [1, 4, 16, 31])
+def test_parts_of_pieces_hold_each_string_once(width):
+    rng = random.Random(width)
+    data = bytes(rng.choice(b"ab") for _ in range(3000)) + bytes(rng.choice(b"abcdefgh") for _ in range(3000))
+    begin, size = repeats.pieces([data])[1:3]
+    texts = [data[b : b + s] for b, s in zip(begin.tolist(), size.tolist())]
+    piece, first, stop, files = repeats.parts(texts, width)
+    strings = sorted((p, x) for p, a, b in zip(piece.tolist(), first.tolist(), stop.tolist()) for x in range(a, b - repeats.SPAN + 1))
+    assert strings == [(p, x) for p, t in enumerate(texts) for x in range(len(t) - repeats.SPAN + 1)]
+    # equal strings are in files of one hash
+    held = {}
+    for p, a, b, f in zip(piece.tolist(), first.tolist(), stop.tolist(), files.tolist()):
+        for x in range(a, b - repeats.SPAN + 1):
+            assert held.setdefault(texts[p][x : x + repeats.SPAN], f) == f
+
+
 def test_repeats_odd_input(spark):
     t = "the quick brown fox jumps over the lazy dog again and again and again"
     got = repeats.remove_repeats(documents(spark, [t, t, t, None, t], [None, 7, 7, 8, 9])).collect()
