@@ -210,6 +210,8 @@ def test_duplicate_query_says_what_its_sql_says_of_bank_entries_and_three_of_a_k
     import duckdb
 
     import __spark_entry__ as entry
+    from ledgerloom.plans import queries_matching
+    from ledgerloom.plans.model import Books
 
     con = duckdb.connect()
     for t in ("nation", "customer", "lineitem"):
@@ -230,6 +232,20 @@ def test_duplicate_query_says_what_its_sql_says_of_bank_entries_and_three_of_a_k
     chosen = [tuple(r) for r in entry.queries()["j21_disjoint_duplicates"](spark, str(tmp_path)).select(*names).collect()]
     ids = [e for r in chosen for e in r[1:3]]
     assert set(chosen) < set(want) and len(set(ids)) == len(ids) > 0 and not any(e[0] in "CTU" for e in ids)
+    # and those that a plain loop chooses
+    entries, groups, loop = {}, {}, set()
+    for r in queries_matching.booked_again(Books(spark, str(tmp_path))).collect():
+        entries.setdefault((r.day, r.entry_id, r.entity_id, r.entry_kind), []).append((r.account, r.debit, r.credit))
+    for (at, e, entity, kind), legs in sorted(entries.items()):
+        groups.setdefault((entity, tuple(sorted(legs))), []).append((at, e, kind))
+    for rows in groups.values():
+        used = set()
+        for i, (at, x, kind) in enumerate(rows):
+            for later, y, other in rows[i + 1 :]:
+                if not {x, y} & used and (later - at).days <= 3 and not kind == other == "BANK":
+                    used |= {x, y}
+                    loop.add((x, y))
+    assert {r[1:3] for r in chosen} == loop
 
 
 def test_proved_days_match_loop(spark):
